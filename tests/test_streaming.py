@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+import random
+
+import pytest
+
+from gauge_data import STATION, level_lines, raw_rows, temperature_lines, write_exports
+from gaugeworks.operators import rollup
+from gaugeworks.sinks.store import write_raw
+from gaugeworks.sources.exports import export_paths, read_export
+from gaugeworks.sources.live import live_to_raw, read_live
+from gaugeworks.sources.store import read_daily, read_raw
+from gaugeworks.streaming import exports, live
+
+DAY = dt.datetime(2026, 1, 25)
+
+
+def line(when: dt.datetime, value, fetched="f1"):
+    return json.dumps({"timestamp": when.isoformat(), "value_cm": value, "station_id": "7", "fetched_at": fetched})
+
+
+def drop(root, name, lines):
+    root.mkdir(parents=True, exist_ok=True)
+    (root / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+
+def run(query):
+    query.awaitTermination(120)
+    assert query.exception() is None
+
+
+def collect(spark, stream, checkpoint, mode="append"):
+    """Run a stream over what is there and return the rows of its sink."""
+    name = f"sink_{random.randrange(10**9)}"
+    run(stream.writeStream.outputMode(mode).format("memory").queryName(name)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return spark.table(name).collect()
+
+
+def test_refetched_readings_are_dropped_and_malformed_lines_isolated(spark, tmp_path):
+    root = tmp_path / "live"
+    drop(root, "water_level_2026-01-25.jsonl", [line(DAY, 5), line(DAY, 5, "f2"), line(DAY, 6), "{broken", ""])
+    rows = collect(spark, live.dedup_stream(live.live_stream(spark, str(root))), str(tmp_path / "c"))
+    assert sorted((r.station_id, r.parameter, r.value) for r in rows) == [
+        (7, "water_level_cm", 5.0), (7, "water_level_cm", 6.0)]
+
+
+def test_rows_older_than_the_watermark_are_ignored(spark, tmp_path):
+    root = tmp_path / "live"
+    root.mkdir()
+    stream = live.dedup_stream(live.live_stream(spark, str(root)))
+    raw_path, checkpoint = str(tmp_path / "raw"), str(tmp_path / "c")
+    drop(root, "water_level_2026-01-25.jsonl", [line(DAY, 5)])
+    run(live.start_merge(stream, raw_path, checkpoint, available_now=True))
+    drop(root, "water_level_2026-01-26.jsonl", [
+        line(DAY - dt.timedelta(days=8), 1), line(DAY - dt.timedelta(days=6), 2), line(DAY, 5, "again")])
+    run(live.start_merge(stream, raw_path, checkpoint, available_now=True))
+    got = sorted((r.ts, r.value) for r in read_raw(spark, raw_path).collect())
+    assert got == [(DAY - dt.timedelta(days=6), 2.0), (DAY, 5.0)]
+
+
+def test_stream_merge_equals_batch_merge(spark, tmp_path):
+    root, raw_path, daily_path = tmp_path / "live", str(tmp_path / "raw"), str(tmp_path / "daily")
+    stored = raw_rows(spark, [("2026-01-25 00:00", 1, "Geprueft"), ("2025-12-01 00:00", 9, "Geprueft")], station=7)
+    write_raw(stored, raw_path)
+    root.mkdir()
+    stream = live.dedup_stream(live.live_stream(spark, str(root), max_files_per_trigger=1))
+    drop(root, "water_level_2026-01-24.jsonl", [line(DAY - dt.timedelta(hours=1), 3)])
+    drop(root, "water_level_2026-01-25.jsonl", [line(DAY, 5, "f1"), line(DAY, 6, "f2"), line(DAY + dt.timedelta(hours=1), 4)])
+    run(live.start_merge(stream, raw_path, str(tmp_path / "c"), daily_path, available_now=True))
+    got = {str(r.ts): r.value for r in read_raw(spark, raw_path).collect()}
+    assert got == {"2025-12-01 00:00:00": 9.0, "2026-01-24 23:00:00": 3.0, "2026-01-25 00:00:00": 6.0,
+                   "2026-01-25 01:00:00": 4.0}
+    daily = {str(r.date): (r["count"], r["mean"]) for r in read_daily(spark, daily_path).collect()}
+    assert daily == {"2026-01-24": (1, 3.0), "2026-01-25": (2, 5.0)}
+
+
+@pytest.mark.parametrize("width", ["1 day", "1 hour"])
+def test_rollup_of_the_stream_equals_the_batch(spark, tmp_path, width):
+    rnd = random.Random(2)
+    root = tmp_path / "live"
+    for day in range(3):
+        at = DAY + dt.timedelta(days=day)
+        drop(root, f"water_level_{at:%Y-%m-%d}.jsonl",
+             [line(at + dt.timedelta(minutes=15 * i), rnd.randrange(80, 120)) for i in range(40)])
+    stream = live.with_event_time(live.live_stream(spark, str(root), max_files_per_trigger=1))
+    out = str(tmp_path / "partials")
+    run(live.start_rollup(live.rollup_stream(stream, width, scale=1), out, str(tmp_path / "c"), available_now=True))
+    state = live.latest_emission(spark.read.parquet(out))
+    batch = live_to_raw(read_live(spark, str(root), "2026-01-27")[0])
+    if width == "1 day":
+        got, want = rollup.daily_from_partials(state), rollup.daily_rollup(batch, 1)
+    else:
+        got, want = live.hourly_from_partials(state), rollup.hourly_mean(batch, scale=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_current_values(spark, tmp_path):
+    root = tmp_path / "live"
+    drop(root, "water_level_2026-01-25.jsonl", [line(DAY, 5), line(DAY + dt.timedelta(hours=1), 6), line(DAY, 7, "f9")])
+    rows = collect(spark, live.current_values(live.live_stream(spark, str(root))), str(tmp_path / "c"), "complete")
+    assert [(r.station_id, r.value) for r in rows] == [(7, 6.0)]
+
+
+def test_export_files_are_picked_up_once(spark, tmp_path):
+    root, raw_path, daily_path = tmp_path / "exports", str(tmp_path / "raw"), str(tmp_path / "daily")
+    write_exports(root)
+    stream = exports.export_stream(spark, str(root), max_files_per_trigger=1)
+    checkpoint = str(tmp_path / "c")
+    run(exports.start_ingest(stream, raw_path, checkpoint, daily_path, str(tmp_path / "rejects"), 2, available_now=True))
+    run(exports.start_ingest(stream, raw_path, checkpoint, daily_path, str(tmp_path / "rejects"), 2, available_now=True))
+    batch = read_export(spark, export_paths(str(root), STATION)).raw
+    assert sorted(map(str, read_raw(spark, raw_path).collect())) == sorted(map(str, batch.collect()))
+    want = sorted(map(str, rollup.daily_rollup(batch, 2).collect()))
+    assert sorted(map(str, read_daily(spark, daily_path).collect())) == want
+    assert len(level_lines()) + len(temperature_lines()) > 100
