@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import live_time_parts, local_epoch, unit_of
 from gaugeworks.operators.rollup import daily_rollup
 from gaugeworks.schema import STATUS_CHECKED, STATUS_RAW, WATER_LEVEL, WATER_TEMPERATURE
@@ -105,7 +106,7 @@ def export_lines(raw: DataFrame) -> DataFrame:
         F.concat(F.lit('Datum;"'), cell, F.lit('";Prüfstatus')))
     heads = raw.select("station_id", "parameter").distinct().select(
         path.alias("file_path"), F.explode(preamble).alias("line"))
-    return rows.unionByName(heads)
+    return evaluated_once(rows).unionByName(heads)
 
 
 def live_json(raw: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def live_json(raw: DataFrame) -> DataFrame:
         parts["timestamp"].alias("fetched_at"))
     line = F.to_json(reading)
     cut = F.when(F.col("k") % 10 == 3, F.substring(line, 1, 30)).otherwise(line)
-    return raw.select("event_id", F.when(level, LEVEL_KIND).otherwise(TEMPERATURE_KIND).alias("kind"),
-                      cut.alias("line"))
+    return evaluated_once(raw.select("event_id", F.when(level, LEVEL_KIND).otherwise(TEMPERATURE_KIND).alias("kind"),
+                                     cut.alias("line")))
 
 
 def _cells(*cells: Column) -> Column:
@@ -144,7 +145,7 @@ def measurement_pages(raw: DataFrame) -> DataFrame:
         _cells(first_stamp, gap), F.lit("<tr><td>one cell</td></tr>"),
         _cells(german, F.concat(F.lit(" <b>"), value, F.lit("</b> "))),
         F.lit("</table><table><tr><td>other</td></tr></table></body></html>"))
-    return raw.select(F.col("event_id").alias("page_id"), html.alias("html"))
+    return evaluated_once(raw.select(F.col("event_id").alias("page_id"), html.alias("html")))
 
 
 def responses(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import (
     clean_text, decimal_comma, fold_status, int_or_null, meta_key, parameter_of_header, parse_ts,
 )
@@ -151,15 +152,14 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     ``rows`` has ``line``, ``station_id`` and ``parameter``; a row without a station
     is rejected too, so nothing is lost unseen.
     """
-    parts = F.split("line", ";")
-    typed = rows.withColumns({
-        "n_fields": F.size(parts),
-        "ts_text": clean_text(F.get(parts, 0)),
-        "value_text": clean_text(F.get(parts, 1)),
-        "status": fold_status(F.get(parts, 2)),
-    })
+    typed = rows.withColumn("parts", F.split("line", ";")).withColumns({
+        "n_fields": F.size("parts"),
+        "ts_text": clean_text(F.get("parts", 0)),
+        "value_text": clean_text(F.get("parts", 1)),
+        "status": fold_status(F.get("parts", 2)),
+    }).drop("parts")
     usable = F.col("station_id").isNotNull() & F.col("parameter").isNotNull() & (F.col("n_fields") >= 3)
-    return typed.withColumns({
+    parsed = typed.withColumns({
         "ts": F.when(usable, parse_ts("ts_text")),
         "value": decimal_comma("value_text"),
     }).withColumn(
@@ -169,6 +169,7 @@ def parse_rows(rows: DataFrame) -> DataFrame:
         .when(F.col("n_fields") < 3, "short_row")
         .when(F.col("ts").isNull(), "bad_ts")
         .when(F.col("value").isNull() & F.col("value_text").isNotNull(), "bad_value"))
+    return evaluated_once(parsed)
 
 
 def parse_export(lines: DataFrame, meta: DataFrame | None = None, identity: str = "header") -> Export:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import int_or_null, mixed_ts
 from gaugeworks.schema import KEYS, LIVE, STATUS_RAW, WATER_LEVEL, WATER_TEMPERATURE
 
@@ -39,7 +40,7 @@ def type_live(lines: DataFrame) -> DataFrame:
     is_level = F.coalesce(kind == LEVEL_KIND, F.col("value_cm").isNotNull())
     parameter = F.when(is_level, WATER_LEVEL).otherwise(WATER_TEMPERATURE)
     value = F.when(is_level, F.col("value_cm")).otherwise(F.col("value_celsius"))
-    return lines.withColumns({
+    typed = lines.withColumns({
         "station_key": int_or_null("station_id"),
         "parameter": parameter,
         "ts": mixed_ts("timestamp"),
@@ -50,6 +51,7 @@ def type_live(lines: DataFrame) -> DataFrame:
         .when(F.col("station_key").isNull(), "no_station")
         .when(F.col("ts").isNull(), "bad_ts")
         .when(F.col("value").isNull(), "no_value"))
+    return evaluated_once(typed)
 
 
 def read_live(spark: SparkSession, path: str | list[str], as_of: dt.date | str,

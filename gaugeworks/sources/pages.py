@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import (
     ColumnLike, _col, decimal_comma, int_or_null, parse_german_ts,
 )
@@ -34,21 +35,20 @@ def html_rows(pages: DataFrame, container: str = "table", row: str = "tr", cell:
     """Rows of the first container of each page, as position and list of cell texts."""
     body = F.regexp_extract(html, _element(container), 1)
     rows = F.regexp_extract_all(body, F.lit(_element(row)), 1)
-    return (
-        pages.select(page_key, F.posexplode(rows).alias("pos", "row_html"))
-        .select(page_key, "pos",
-                F.transform(F.regexp_extract_all("row_html", F.lit(_element(cell)), 1), plain_text).alias("cells"))
-    )
+    # The outer form spares the check for empty lists, which would extract the rows twice.
+    found = pages.select(page_key, F.posexplode_outer(rows).alias("pos", "row_html")).filter(F.col("pos").isNotNull())
+    cells = F.transform(F.regexp_extract_all("row_html", F.lit(_element(cell)), 1), plain_text)
+    return evaluated_once(found.select(page_key, "pos", cells.alias("cells")))
 
 
 def html_measurements(rows: DataFrame, page_key: str = "page_id") -> DataFrame:
     """Measurements of all rows but the first; rows that do not parse are skipped."""
-    return (
+    parsed = (
         rows.filter((F.col("pos") > 0) & (F.size("cells") >= 2))
         .select(page_key, "pos", parse_german_ts(F.get("cells", 0)).alias("ts"),
                 int_or_null(F.get("cells", 1)).alias("value"))
-        .filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
     )
+    return evaluated_once(parsed).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
 
 def drop_missing_tokens(df: DataFrame, column: str) -> DataFrame:
@@ -64,11 +64,9 @@ def first_valid_reading(rows: DataFrame, page_key: str = "page_id") -> DataFrame
     """
     cells = rows.filter((F.col("pos") > 0) & (F.size("cells") >= 2)).select(
         page_key, "pos", F.get("cells", 0).alias("ts_text"), F.get("cells", 1).alias("value_text"))
-    valid = (
-        drop_missing_tokens(cells, "value_text")
-        .withColumns({"ts": parse_german_ts("ts_text"), "value": decimal_comma("value_text")})
-        .filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
-    )
+    parsed = drop_missing_tokens(cells, "value_text").select(
+        page_key, "pos", parse_german_ts("ts_text").alias("ts"), decimal_comma("value_text").alias("value"))
+    valid = evaluated_once(parsed).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
     return (valid.groupBy(page_key)
             .agg(F.min(F.struct("pos", "ts", "value")).alias("r"))
             .select(page_key, "r.*"))
