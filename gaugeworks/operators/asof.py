@@ -4,29 +4,41 @@ Spark has no public as-of join. A window over a whole series would put a long
 series into one task, so time is cut into slots and every slot is answered on
 its own, after it has been given the nearest observation on either side of it:
 
+* observations and probes are folded to one row per (series, instant), which
+  also answers exact matches and makes copies harmless;
 * slots are summarised to their first and last observation (hash aggregate);
 * a window per (series, day) over slots and one per series over days carry the
   edges. They see at most one row per slot of a day and one per calendar day;
-* observations, carried edges and probes meet in one window per (series, slot).
+* instants and carried edges meet in one window per (series, slot).
 
-Choose ``slot`` so that it holds few readings. Equal timestamps are folded before,
-so the number of rows in a slot is bounded by the clock of the sensor and not by
-the number of copies.
+Choose ``slot`` so that it holds few readings. The number of rows in a slot is
+bounded by the clock of the sensor and not by the number of copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import day_of
 from gaugeworks.schema import KEYS
 
 
-def _slotted(df: DataFrame, slot: str) -> DataFrame:
-    return (df.withColumn("slot", F.window("ts", slot).getField("start"))
-            .withColumn("day", day_of("slot")))
+def _instants(probes: DataFrame, obs: DataFrame, slot: str) -> DataFrame:
+    """One row per (series, instant): the observed value, if any, and whether it is probed."""
+    observed = obs.select(*KEYS, "ts", "value", F.lit(0).alias("probe")).filter(F.col("value").isNotNull())
+    asked = probes.select(*KEYS, F.col("probe_ts").alias("ts"), F.lit(None).cast("double").alias("value"),
+                          F.lit(1).alias("probe"))
+    folded = (
+        observed.unionByName(asked).filter(F.col("ts").isNotNull())
+        .groupBy(*KEYS, "ts").agg(F.max("value").alias("value"), F.max("probe").alias("probe"))
+        .withColumn("slot", F.window("ts", slot).getField("start"))
+        .withColumn("day", day_of("slot"))
+    )
+    # All later steps read this one shuffle; the boundary keeps their filters out of it.
+    return evaluated_once(folded)
 
 
 def _carry(df: DataFrame, keys: list[str], order: str, prefix: str) -> DataFrame:
@@ -41,67 +53,54 @@ def _carry(df: DataFrame, keys: list[str], order: str, prefix: str) -> DataFrame
     })
 
 
-def _edges(obs: DataFrame, instants: DataFrame) -> DataFrame:
-    """Per slot with a probe: the nearest observation outside of it on either side."""
-    slots = (
-        obs.select(*KEYS, "day", "slot", "ts", "value", F.lit(0).alias("probe"))
-        .unionByName(instants.select(*KEYS, "day", "slot", F.lit(None).cast("timestamp_ntz").alias("ts"),
-                                     F.lit(None).cast("double").alias("value"), F.lit(1).alias("probe")))
-        .groupBy(*KEYS, "day", "slot")
-        .agg(F.min("ts").alias("first_ts"), F.min_by("value", "ts").alias("first_value"),
-             F.max("ts").alias("last_ts"), F.max_by("value", "ts").alias("last_value"),
-             F.max("probe").alias("probe"))
-    )
+def _observation(ts: str, value: str) -> Column:
+    return F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("ts"), F.col(value).alias("value")))
 
-    def observation(side: str):
-        return F.when(F.col(f"{side}_ts").isNotNull(),
-                      F.struct(F.col(f"{side}_ts").alias("ts"), F.col(f"{side}_value").alias("value")))
 
-    slots = slots.select(*KEYS, "day", "slot", "probe", observation("first").alias("first_obs"),
-                         observation("last").alias("last_obs"))
-    within_day = _carry(slots, [*KEYS, "day"], "slot", "slot")
+def _edges(instants: DataFrame) -> DataFrame:
+    """Per slot with a probe: the nearest observation outside of it on either side."""
+    seen_at = F.when(F.col("value").isNotNull(), F.col("ts"))
+    extremes = {"first_ts": F.min(seen_at), "first_value": F.min_by("value", seen_at),
+                "last_ts": F.max(seen_at), "last_value": F.max_by("value", seen_at)}
+    slots = instants.groupBy(*KEYS, "day", "slot").agg(
+        *[c.alias(name) for name, c in extremes.items()], F.max("probe").alias("probe"))
     days = slots.groupBy(*KEYS, "day").agg(
-        F.min("first_obs").alias("first_obs"), F.max("last_obs").alias("last_obs"))
-    across_days = _carry(days, KEYS, "day", "day").select(*KEYS, "day", "day_before", "day_after")
+        F.min("first_ts").alias("first_ts"), F.min_by("first_value", "first_ts").alias("first_value"),
+        F.max("last_ts").alias("last_ts"), F.max_by("last_value", "last_ts").alias("last_value"))
+
+    def sides(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*keys, _observation("first_ts", "first_value").alias("first_obs"),
+                         _observation("last_ts", "last_value").alias("last_obs"))
+
+    within_day = _carry(sides(slots, *KEYS, "day", "slot", "probe"), [*KEYS, "day"], "slot", "slot")
+    across_days = _carry(sides(days, *KEYS, "day"), KEYS, "day", "day")
     return (
         within_day.filter(F.col("probe") == 1)
-        .join(across_days, [*KEYS, "day"])
+        .join(across_days.select(*KEYS, "day", "day_before", "day_after"), [*KEYS, "day"])
         .select(*KEYS, "slot", F.explode(F.array(F.coalesce("slot_before", "day_before"),
                                                  F.coalesce("slot_after", "day_after"))).alias("obs"))
         .filter(F.col("obs").isNotNull())
-        .select(*KEYS, "slot", "obs.ts", "obs.value")
+        .select(*KEYS, "slot", "obs.ts", "obs.value", F.lit(0).alias("probe"))
     )
 
 
 def nearest_observation(probes: DataFrame, obs: DataFrame, slot: str = "1 hour",
-                        unique_obs: bool = False, unique_probes: bool = False) -> DataFrame:
+                        unique_probes: bool = False) -> DataFrame:
     """For each probe the observation nearest in time, of the same series.
 
     An exact match wins, a tie goes to the earlier observation, and a probe
     outside the data gets the first or the last observation. ``probes`` has
     ``station_id, parameter, probe_ts`` and any other columns; ``obs`` has
     ``station_id, parameter, ts, value``. Of equal timestamps the highest value
-    counts; set ``unique_obs`` to skip that fold, and ``unique_probes`` when no
-    instant occurs twice and no other columns are to be kept. ``slot`` must divide
-    a day.
+    counts. ``unique_probes`` saves the join back to the probes when no instant
+    occurs twice and no other columns are to be kept. ``slot`` must divide a day.
     """
-    obs = obs.filter(F.col("value").isNotNull() & F.col("ts").isNotNull()).select(*KEYS, "ts", "value")
-    if not unique_obs:
-        obs = obs.groupBy(*KEYS, "ts").agg(F.max("value").alias("value"))
-    instants = probes.select(*KEYS, F.col("probe_ts").alias("ts")).filter(F.col("ts").isNotNull())
-    if not unique_probes:
-        instants = instants.distinct()
-    obs, instants = _slotted(obs, slot), _slotted(instants, slot)
-
-    seen = F.struct("ts", "value")
-    none = F.lit(None).cast("struct<ts:timestamp_ntz,value:double>")
-    observed = obs.select(*KEYS, "slot", "ts", "value").unionByName(_edges(obs, instants))
+    instants = _instants(probes, obs, slot)
     events = (
-        observed.select(*KEYS, "slot", "ts", F.lit(0).alias("probe"), seen.alias("o"))
-        .unionByName(instants.select(*KEYS, "slot", "ts", F.lit(1).alias("probe"), none.alias("o")))
+        instants.select(*KEYS, "slot", "ts", "value", "probe").unionByName(_edges(instants))
+        .withColumn("o", _observation("ts", "value"))
     )
-    # Observations sort before a probe of the same instant, so "before" includes an exact match.
-    over_slot = "OVER (PARTITION BY station_id, parameter, slot ORDER BY ts, probe)"
+    over_slot = "OVER (PARTITION BY station_id, parameter, slot ORDER BY ts)"
     answered = (
         events.withColumns({
             "before": F.expr(f"lag(o, 1) IGNORE NULLS {over_slot}"),
@@ -110,12 +109,12 @@ def nearest_observation(probes: DataFrame, obs: DataFrame, slot: str = "1 hour",
         .filter(F.col("probe") == 1)
     )
 
-    def micros(c: str):
+    def micros(c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp"))
 
     nearer_after = (micros("after.ts") - micros("ts")) < (micros("ts") - micros("before.ts"))
-    chosen = F.when(F.col("before").isNull() | nearer_after, F.col("after")).otherwise(F.col("before"))
-    result = answered.withColumn("n", chosen).select(
+    neighbour = F.when(F.col("before").isNull() | nearer_after, F.col("after")).otherwise(F.col("before"))
+    result = answered.withColumn("n", F.coalesce("o", neighbour)).select(
         *KEYS, F.col("ts").alias("probe_ts"), F.col("n.ts").alias("obs_ts"), F.col("n.value").alias("value"))
     if unique_probes:
         return result

@@ -5,6 +5,7 @@ Timestamps and dates leave a query as text, as they do at the presentation edge.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,13 @@ from pyspark.sql import types as T
 from gaugeworks.functions import scalars as S
 from gaugeworks.operators import asof, climate, merge, quality, ranges, records, rollup, series
 from gaugeworks.plans import driver_tables as D
+from gaugeworks.plans import refresh
 from gaugeworks.plans import sql as Q
 from gaugeworks.schema import CATALOGUE, KEYS
+from gaugeworks.session import shared_dir
 from gaugeworks.sinks import store as sinks
-from gaugeworks.sources import catalogue, exports, live, manifest, pages
+from gaugeworks.sources import catalogue, exports, live, manifest, pages, store
+from gaugeworks.streaming import live as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -422,3 +426,117 @@ def catalogue_union(spark, sf):
                                       search(F.col("s_acctbal") > 2000, "second "))
 
 
+# --- stored tables and streams -------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared directory for the tables of one run."""
+    return f"{shared_dir(spark).rstrip('/')}/queries/{name}-{uuid.uuid4().hex}"
+
+
+def _gauge(spark: SparkSession, sf: str) -> DataFrame:
+    return D.as_gauge(D.raw_events(spark, sf))
+
+
+@query(Q.stored_raw())
+def raw_store(spark, sf):
+    path = _folder(spark, "raw")
+    sinks.write_raw(_gauge(spark, sf), path)
+    return store.read_raw(spark, path)
+
+
+@query(Q.stored_range(*RANGE))
+def raw_store_range(spark, sf):
+    """One parameter and range of a stored series: folders are pruned, the rest is pushed down."""
+    path = _folder(spark, "raw")
+    sinks.write_raw(_gauge(spark, sf), path)
+    return store.read_raw(spark, path, "water_level_cm", start=RANGE[0], end=RANGE[1], end_inclusive_day=True)
+
+
+@query(Q.daily_rollup(Q.ORDERS))
+def daily_store(spark, sf):
+    path = _folder(spark, "daily")
+    sinks.write_daily(D.daily_orders(spark, sf), path)
+    return store.read_daily(spark, path)
+
+
+@query(Q.stored_live())
+def live_store(spark, sf):
+    """Live lines appended by date and read back for the last 31 days."""
+    path = _folder(spark, "live")
+    sinks.append_live(sinks.live_lines(_gauge(spark, sf), "Pegel", "table", F.lit("2024-01-31T00:00:00")), path)
+    readings, _ = live.read_live(spark, path, "2024-01-31", days_back=31)
+    return live.live_to_raw(readings).select(*KEYS, "ts", "value", "status", "fetched_at")
+
+
+def _merged_store(spark: SparkSession, sf: str) -> refresh.Layout:
+    out = refresh.Layout(_folder(spark, "merge"))
+    raw = _gauge(spark, sf)
+    sinks.write_raw(raw, out.raw)
+    sinks.write_daily(rollup.daily_rollup(raw, D.SCALE), out.daily)
+    refresh.merge_into_store(spark, D.refetched(raw), out.raw, "once", daily_path=out.daily, scale=D.SCALE)
+    return out
+
+
+@query(Q.merged_store())
+def store_merge(spark, sf):
+    return store.read_raw(spark, _merged_store(spark, sf).raw)
+
+
+@query(Q.merged_store_daily())
+def store_merge_daily(spark, sf):
+    return store.read_daily(spark, _merged_store(spark, sf).daily)
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream, in the raw schema.
+
+    A stream reads folders; the pattern lets it read a table that is a single file too.
+    """
+    schema = D.table(spark, sf, "events").schema
+    return D.as_raw(spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet"))
+
+
+@query(Q.stream_dedup())
+def stream_dedup(spark, sf):
+    """Every reading sent twice; one of each is left."""
+    root = _folder(spark, "dedup")
+    sent = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = streams.naive(streams.dedup_stream(sent)).select(*KEYS, "ts", "value")
+    (once.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start(f"{root}/rows").awaitTermination())
+    return spark.read.parquet(f"{root}/rows")
+
+
+def _stream_partials(spark: SparkSession, sf: str, width: str) -> DataFrame:
+    root = _folder(spark, "rollup")
+    partials = streams.rollup_stream(streams.with_event_time(_event_stream(spark, sf)), width, D.SCALE)
+    streams.start_rollup(partials, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return streams.latest_emission(spark.read.parquet(f"{root}/rows"))
+
+
+@query(Q.daily_rollup())
+def stream_daily(spark, sf):
+    return rollup.daily_from_partials(_stream_partials(spark, sf, "1 day"))
+
+
+@query(Q.hourly_mean())
+def stream_hourly(spark, sf):
+    return streams.hourly_from_partials(_stream_partials(spark, sf, "1 hour"))
+
+
+@query(Q.latest_live())
+def stream_current(spark, sf):
+    root = _folder(spark, "current")
+    current = streams.current_values(series.with_value(_event_stream(spark, sf)))
+    streams.start_current(current, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/rows")
+
+
+@query(Q.merged_store())
+def stream_merge(spark, sf):
+    """The new readings arrive as a stream and are merged into the stored series."""
+    root = _folder(spark, "stream_merge")
+    sinks.write_raw(_gauge(spark, sf), f"{root}/raw")
+    new = streams.dedup_stream(D.refetched(D.as_gauge(_event_stream(spark, sf))))
+    streams.start_merge(new, f"{root}/raw", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store.read_raw(spark, f"{root}/raw")

@@ -462,3 +462,44 @@ def catalogue_union() -> str:
     return """SELECT CAST(s_suppkey AS VARCHAR) AS uuid,
        CASE WHEN s_acctbal > 2000 THEN 'second ' ELSE 'first ' END || s_name AS longname
 FROM supplier WHERE s_acctbal IS NOT NULL"""
+
+
+def stored_raw() -> str:
+    return f"""WITH {EVENTS}, {GAUGE}
+SELECT {KEYS}, CAST(ts AS VARCHAR) AS ts, value, status FROM gauge"""
+
+
+def stored_range(start: str, end: str) -> str:
+    return f"""{stored_raw()}
+WHERE parameter = 'water_level_cm' AND ts >= TIMESTAMP '{start} 00:00:00' AND ts < DATE '{end}' + INTERVAL 1 DAY"""
+
+
+def stored_live() -> str:
+    return f"""WITH {EVENTS}, {GAUGE}
+SELECT {KEYS}, CAST(date_trunc('second', ts) AS VARCHAR) AS ts, value, 'Rohdaten' AS status,
+       '2024-01-31T00:00:00' AS fetched_at
+FROM gauge WHERE value IS NOT NULL"""
+
+
+MERGED = f"""{EVENTS.replace("raw AS (", "events_raw AS (", 1)}, {GAUGE.replace("gauge AS (", "stored AS (", 1).replace("FROM raw", "FROM events_raw")},
+{NEW.replace("FROM raw", "FROM stored")}, every_row AS (
+  SELECT {KEYS}, ts, value, status, 0 AS origin, 0 AS turn FROM stored
+  UNION ALL SELECT {KEYS}, ts, value, status, 1, turn FROM new
+), raw AS (
+  SELECT {KEYS}, ts, value, status FROM (
+    SELECT *, row_number() OVER (PARTITION BY {KEYS}, ts ORDER BY origin DESC, turn DESC, value DESC NULLS LAST,
+                                 status DESC) AS rn FROM every_row)
+  WHERE rn = 1
+)"""
+
+
+def merged_store() -> str:
+    return f"WITH {MERGED} SELECT {KEYS}, CAST(ts AS VARCHAR) AS ts, value, status FROM raw"
+
+
+def merged_store_daily() -> str:
+    return daily_rollup(MERGED)
+
+
+def stream_dedup() -> str:
+    return f"WITH {EVENTS} SELECT DISTINCT {KEYS}, CAST(ts AS VARCHAR) AS ts, value FROM raw"

@@ -122,3 +122,14 @@ def current_values(readings: DataFrame) -> DataFrame:
     return (readings.groupBy(*KEYS)
             .agg(F.max_by(F.struct("ts", "value", "status"), F.struct(*order)).alias("r"))
             .select(*KEYS, "r.*"))
+
+
+def start_current(current: DataFrame, path: str, checkpoint: str,
+                  available_now: bool = False) -> StreamingQuery:
+    """ST6: keep a table with the current value of every series."""
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = current.writeStream.outputMode("complete").foreachBatch(store)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -45,7 +45,7 @@ def test_equal_timestamps_take_the_highest_value(spark):
 
 def test_unique_probes_need_no_join_back(spark):
     obs = raw_rows(spark, [(D + "00:00", 1, None)])
-    out = nearest_observation(probes(spark, [D + "05:00"]), obs, unique_obs=True, unique_probes=True)
+    out = nearest_observation(probes(spark, [D + "05:00"]), obs, unique_probes=True)
     assert out.columns == ["station_id", "parameter", "probe_ts", "obs_ts", "value"] and out.first().value == 1.0
 
 
