@@ -15,5 +15,6 @@ def spark(tmp_path_factory):
     session = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g",
                             spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "5000")
     yield session
     session.stop()
