@@ -45,3 +45,13 @@ def ts_between(df: DataFrame, start=None, end=None, end_inclusive_day: bool = Fa
     elif end is not None:
         df = df.filter(F.col("ts") <= as_ts(end))
     return df
+
+
+def in_folders(stored: DataFrame, touched: DataFrame, folders: list[str]) -> DataFrame:
+    """Rows of the stored folders that ``touched`` names; no other folder is opened.
+
+    ``touched`` has one row per folder, so its size is bounded by the folders of the
+    table and it may be broadcast. Catalyst prunes at run time only by a side that it
+    takes for selective; the comparison with 0 marks it as such.
+    """
+    return stored.join(F.broadcast(touched.filter(F.col("year") > 0)), folders, "left_semi")

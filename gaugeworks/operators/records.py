@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.scalars import day_of
+from gaugeworks.operators.ranges import in_folders
 from gaugeworks.schema import HISTORY_START, KEYS
 
 
@@ -36,19 +37,19 @@ def records_via_daily(raw: DataFrame, daily: DataFrame) -> DataFrame:
     """A5 with the daily table as an index.
 
     The earliest day whose ``min`` (``max``) equals the record holds the record
-    reading, so only those days of the raw series are read. Equal to ``records``
-    when ``daily`` is the rollup of ``raw``.
+    reading, so only the folders of those days are read. Equal to ``records`` when
+    ``daily`` is the rollup of ``raw``. It pays for a handful of series; the record
+    days of very many series lie in all folders, and ``records`` needs one pass.
     """
     days = daily.groupBy(*KEYS).agg(
         F.min_by("date", F.struct("min", "date")).alias("low_day"),
         F.min_by("date", F.struct(-F.col("max"), "date")).alias("high_day"))
     wanted = days.select(*KEYS, F.explode(F.array_distinct(F.array("low_day", "high_day"))).alias("day"))
-    rows = raw.withColumn("day", day_of("ts"))
-    on = [*KEYS, "day"]
     if {"year", "month"} <= set(raw.columns):
-        wanted = wanted.withColumns({"year": F.year("day"), "month": F.month("day")})
-        on += ["year", "month"]
-    return records(rows.join(wanted, on, "left_semi"))
+        folders = ["parameter", "year", "month"]
+        touched = wanted.select("parameter", F.year("day").alias("year"), F.month("day").alias("month"))
+        raw = in_folders(raw, touched.distinct(), folders)
+    return records(raw.withColumn("day", day_of("ts")).join(wanted, [*KEYS, "day"], "left_semi"))
 
 
 def record_rows(found: DataFrame) -> DataFrame:

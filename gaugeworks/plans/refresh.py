@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.operators.merge import dedup_last, merge_last_wins
+from gaugeworks.operators.ranges import in_folders
 from gaugeworks.operators.rollup import daily_rollup
 from gaugeworks.schema import DAILY, RAW
 from gaugeworks.session import shared_dir
 from gaugeworks.sinks.store import (
-    RAW_FOLDERS, laid_out, replace_daily, replace_partitions, with_period, write_daily, write_meta, write_raw,
+    DAILY_FOLDERS, RAW_FOLDERS, laid_out, replace_daily, replace_partitions, with_period, write_daily, write_meta, write_raw,
 )
 from gaugeworks.sources.exports import read_export, read_lines, split_preamble, station_meta
 from gaugeworks.sources.store import normalise_daily, normalise_raw
@@ -97,14 +98,11 @@ def _touched(rows: DataFrame, folders: list[str]) -> DataFrame:
 
 
 def merged_with_store(spark: SparkSession, new: DataFrame, raw_path: str) -> DataFrame:
-    """U1 and U2 against the stored folders that ``new`` touches, and no others.
-
-    The semi join on the folder columns prunes the stored side at run time.
-    """
+    """U1 and U2 against the stored folders that ``new`` touches, and no others."""
     stored = _parquet_or_empty(spark, raw_path, T.StructType([
         *RAW.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]))
-    stored = stored.join(_touched(new, RAW_FOLDERS), RAW_FOLDERS, "left_semi").select(*RAW.names)
-    return merge_last_wins(stored, new)
+    stored = in_folders(stored, _touched(new, RAW_FOLDERS), RAW_FOLDERS)
+    return merge_last_wins(stored.select(*RAW.names), new)
 
 
 def refreshed_daily(spark: SparkSession, months: DataFrame, daily_path: str,
@@ -117,9 +115,9 @@ def refreshed_daily(spark: SparkSession, months: DataFrame, daily_path: str,
     stored = _parquet_or_empty(spark, daily_path, T.StructType([
         *DAILY.fields, T.StructField("year", T.IntegerType())]))
     kept = (
-        stored.join(touched.select("parameter", "year").distinct(), ["parameter", "year"], "left_semi")
+        in_folders(stored, touched.select(*DAILY_FOLDERS).distinct(), DAILY_FOLDERS)
         .withColumn("month", F.month("date"))
-        .join(touched, RAW_FOLDERS, "left_anti")
+        .join(F.broadcast(touched), RAW_FOLDERS, "left_anti")
     )
     return normalise_daily(kept).unionByName(daily_rollup(months, scale))
 

@@ -120,7 +120,7 @@ def live_lines(readings: DataFrame, station_name: str | Column = "", source: str
 
 def append_live(lines: DataFrame, path: str) -> None:
     """K4: append live lines below one folder per kind and measurement date."""
-    lines.write.mode("append").partitionBy("kind", "day").json(path)
+    lines.hint("rebalance", "kind", "day").write.mode("append").partitionBy("kind", "day").json(path)
 
 
 def snapshot(live: DataFrame, window: str = "1 day") -> DataFrame:

@@ -86,11 +86,15 @@ def rollup_stream(readings: DataFrame, width: str = "1 day", scale: int | None =
 
 def start_rollup(partials: DataFrame, path: str, checkpoint: str,
                  available_now: bool = False) -> StreamingQuery:
-    """ST5: store each emission in a folder of its batch; a repeated batch replaces its folder."""
+    """ST5: store each emission in folders of its dates and its batch.
+
+    A repeated batch replaces its folders, and a reader of some dates opens only
+    their emissions.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("emission", F.lit(batch_id).cast("bigint"))
+        (batch.withColumn("emission", F.lit(batch_id).cast("bigint")).hint("rebalance", "date")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("emission").parquet(path))
+         .partitionBy("date", "emission").parquet(path))
 
     writer = partials.writeStream.outputMode("update").foreachBatch(store)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -10,8 +10,9 @@ import pytest
 import __spark_entry__ as entry
 from gauge_data import raw_rows
 from gaugeworks.operators import series
-from gaugeworks.operators.records import records
+from gaugeworks.operators.records import records, records_via_daily
 from gaugeworks.operators.rollup import daily_rollup, rollup_partials
+from gaugeworks.plans.refresh import merged_with_store, refreshed_daily
 from gaugeworks.sinks.store import write_daily, write_raw
 from gaugeworks.sources.store import read_daily, read_raw
 
@@ -125,3 +126,21 @@ def test_resolutions_read_one_table(spark, stored):
     assert "/raw]" in asked["hourly"] and "/daily]" not in asked["hourly"]
     reset = plan_of(series.series(raw, daily, "water_level_cm", "2024-01-01", "2024-12-31", "raw", "5y"))
     assert "/daily]" in reset
+
+
+def test_a_merge_opens_only_the_folders_it_touches(spark, stored):
+    new = raw_rows(spark, [("2024-05-03 10:00", 1, "y"), ("2024-06-03 11:00", 1, "y")])
+    merged = merged_with_store(spark, new, f"{stored}/raw")
+    assert sorted(r.value for r in merged.collect()) == [1.0, 1.0, 2030.0]
+    plan = plan_of(merged)
+    assert "dynamicpruning" in plan.split("Initial Plan")[0]
+    daily = refreshed_daily(spark, new, f"{stored}/daily")
+    assert daily.count() == 12
+    assert "dynamicpruning" in plan_of(daily, True).split("Initial Plan")[0]
+
+
+def test_records_by_way_of_the_daily_table_open_few_folders(spark, stored):
+    raw = spark.read.parquet(f"{stored}/raw")
+    found = records_via_daily(raw, read_daily(spark, f"{stored}/daily"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, records(raw).collect()))
+    assert "dynamicpruning" in plan_of(found).split("Initial Plan")[0]
