@@ -24,7 +24,7 @@ from gaugeworks.session import shared_dir
 from gaugeworks.sinks.store import (
     DAILY_FOLDERS, RAW_FOLDERS, laid_out, replace_daily, replace_partitions, with_period, write_daily, write_meta, write_raw,
 )
-from gaugeworks.sources.exports import read_export, read_lines, split_preamble, station_meta
+from gaugeworks.sources.exports import read_export, read_lines, store_meta
 from gaugeworks.sources.store import normalise_daily, normalise_raw
 
 
@@ -63,9 +63,7 @@ def ingest_exports(spark: SparkSession, paths: str | list[str], root: str, dedup
     parsing the text twice. Overlapping exports count twice unless ``dedup``.
     """
     out = Layout(root.rstrip("/"))
-    meta_lines, header, _ = split_preamble(read_lines(spark, paths))
-    station_meta(meta_lines, header).write.mode("overwrite").parquet(out.files)
-    meta = spark.read.parquet(out.files)
+    meta = store_meta(read_lines(spark, paths), out.files)
     export = read_export(spark, paths, meta=meta)
     write_raw(dedup_last(export.raw) if dedup else export.raw, out.raw)
     export.rejects.write.mode("overwrite").json(out.rejects)
@@ -93,6 +91,11 @@ def _note(spark: SparkSession, note: str, run_id: str) -> None:
     spark.range(1).select(F.lit(run_id).alias("run_id")).write.mode("overwrite").json(note)
 
 
+def stage_name(job: str, path: str) -> str:
+    """One folder name per job and table."""
+    return f"{job}_{re.sub(r'[^A-Za-z0-9]+', '_', path)}"
+
+
 def _touched(rows: DataFrame, folders: list[str]) -> DataFrame:
     return with_period(rows).select(*folders).distinct()
 
@@ -130,7 +133,7 @@ def merge_into_store(spark: SparkSession, new: DataFrame, raw_path: str, run_id:
     With ``daily_path`` the touched months are rolled up again; without it the
     daily table stays as it is. Runs on one store follow one another.
     """
-    stage = f"{shared_dir(spark).rstrip('/')}/merge_{re.sub(r'[^A-Za-z0-9]+', '_', raw_path)}"
+    stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('merge', raw_path)}"
     staged_note, published_note = f"{stage}/staged", f"{stage}/published"
     new_rows, raw_rows, daily_rows = f"{stage}/new", f"{stage}/raw", f"{stage}/daily"
 

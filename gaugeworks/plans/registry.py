@@ -293,14 +293,19 @@ def update_plan(spark, sf):
 
 # --- text formats --------------------------------------------------------------------------
 
+def _export(spark: SparkSession, sf: str) -> exports.Export:
+    lines = D.export_lines(D.raw_events(spark, sf))
+    return exports.parse_export(lines, exports.store_meta(lines, _folder(spark, "files")))
+
+
 @query(Q.csv_roundtrip())
 def csv_roundtrip(spark, sf):
-    return exports.parse_export(D.export_lines(D.raw_events(spark, sf))).raw
+    return _export(spark, sf).raw
 
 
 @query(Q.csv_rejects())
 def csv_rejects(spark, sf):
-    rejects = exports.parse_export(D.export_lines(D.raw_events(spark, sf))).rejects
+    rejects = _export(spark, sf).rejects
     return rejects.groupBy("file_path", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.plans import evaluated_once
@@ -56,14 +56,18 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                                          F.trim(F.replace("value", F.lit("﻿"), F.lit(""))).alias("line"))
 
 
+def _is_header() -> Column:
+    return F.col("line").rlike(TABLE_HEADER)
+
+
+def _is_meta() -> Column:
+    return F.col("line").rlike(PREAMBLE_LINE) & ~_is_header()
+
+
 def split_preamble(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """S3: preamble lines, table header lines and table rows."""
-    is_header = F.col("line").rlike(TABLE_HEADER)
-    is_meta = F.col("line").rlike(PREAMBLE_LINE)
-    meta = lines.filter(is_meta & ~is_header)
-    header = lines.filter(is_header)
-    rows = lines.filter(~is_meta & ~is_header & (F.col("line") != ""))
-    return meta, header, rows
+    rows = lines.filter(~_is_meta() & ~_is_header() & (F.col("line") != ""))
+    return lines.filter(_is_meta()), lines.filter(_is_header()), rows
 
 
 def files_without_header(lines: DataFrame) -> DataFrame:
@@ -72,35 +76,42 @@ def files_without_header(lines: DataFrame) -> DataFrame:
     return lines.select("file_path").distinct().join(header.select("file_path"), "file_path", "left_anti")
 
 
+def _header_parameter() -> Column:
+    return parameter_of_header(F.get(F.split("line", ";"), 1))
+
+
 def detect_parameter(header: DataFrame) -> DataFrame:
     """One parameter per file, from the second header cell."""
-    cell = F.get(F.split("line", ";"), 1)
-    return header.groupBy("file_path").agg(F.min(parameter_of_header(cell)).alias("parameter"))
+    return header.groupBy("file_path").agg(F.min(_header_parameter()).alias("parameter"))
 
 
-def station_meta(meta: DataFrame, header: DataFrame | None = None) -> DataFrame:
-    """One metadata row per file, with the parameter when headers are given.
+def station_meta(head: DataFrame) -> DataFrame:
+    """One metadata row per file from its preamble and header lines.
 
     The preamble has about ten lines, so the map stays small; of a repeated key
-    the largest value counts.
+    the largest value counts. Without a header the parameter is null, without a
+    station number the station.
     """
     parts = F.split("line", ";")
+    key = meta_key(F.get(parts, 0))
     fields = (
-        meta.select("file_path", meta_key(F.get(parts, 0)).alias("k"),
+        head.select("file_path", F.when(~_is_header() & (key != ""), key).alias("k"),
                     F.coalesce(clean_text(F.get(parts, 1)), F.lit("")).alias("v"),
                     meta_key(F.get(parts, 2)).alias("k2"),
                     clean_text(F.get(parts, 3)).alias("v2"),
-                    clean_text(F.get(parts, 4)).alias("v3"))
-        .filter(F.col("k") != "")
+                    clean_text(F.get(parts, 4)).alias("v3"),
+                    F.when(_is_header(), _header_parameter()).alias("parameter"))
         .groupBy("file_path", "k")
-        .agg(F.max(F.struct("v", "k2", "v2", "v3")).alias("f"))
+        .agg(F.max(F.struct("v", "k2", "v2", "v3")).alias("f"), F.min("parameter").alias("parameter"))
     )
 
-    def field(key: str, name: str = "v"):
+    def field(key: str, name: str = "v") -> Column:
         return F.max(F.when(F.col("k") == key, F.nullif(F.col(f"f.{name}"), F.lit(""))))
 
     easting_line = (F.col("k") == KEY_EASTING) & (F.col("f.k2") == KEY_NORTHING)
-    out = fields.groupBy("file_path").agg(
+    entry = F.when(F.col("k").isNotNull(), F.struct("k", "f.v"))
+    return fields.groupBy("file_path").agg(
+        F.min("parameter").alias("parameter"),
         int_or_null(field(KEY_STATION_ID)).alias("station_id"),
         field(KEY_STATION_NAME).alias("station_name"),
         field(KEY_RIVER).alias("river"),
@@ -109,18 +120,18 @@ def station_meta(meta: DataFrame, header: DataFrame | None = None) -> DataFrame:
         int_or_null(F.max(F.when(easting_line, F.col("f.v2")))).alias("northing"),
         field(KEY_EASTING, "v3").alias("coord_ref"),
         field(KEY_GAUGE_ZERO).alias("gauge_zero"),
-        F.map_from_entries(F.collect_list(F.struct("k", "f.v"))).alias("raw_meta"),
+        F.map_from_entries(F.collect_list(entry)).alias("raw_meta"),
     ).withColumns({
         "station_id": F.nullif("station_id", F.lit(0)),
         "station_name": F.coalesce("station_name", F.col("station_id").cast("string")),
         "river": F.coalesce("river", F.lit("")),
         "time_ref": F.coalesce("time_ref", F.lit("")),
-    })
-    if header is None:
-        out = out.withColumn("parameter", F.lit(None).cast("string"))
-    else:
-        out = out.join(detect_parameter(header), "file_path", "full_outer")
-    return out.select(*STATION_META.names)
+    }).select(*STATION_META.names)
+
+
+def file_meta(lines: DataFrame) -> DataFrame:
+    """S4 and S5 for all lines, in one pass."""
+    return station_meta(lines.filter(_is_meta() | _is_header()))
 
 
 def canonical_meta(meta: DataFrame) -> DataFrame:
@@ -172,17 +183,27 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     return evaluated_once(parsed)
 
 
+def store_meta(lines: DataFrame, path: str) -> DataFrame:
+    """Write the per-file metadata of ``lines`` to ``path`` and read it back.
+
+    A join with the stored table is planned with its real size: broadcast while it
+    is small, and otherwise by shuffle.
+    """
+    file_meta(lines).write.mode("overwrite").parquet(path)
+    return lines.sparkSession.read.schema(STATION_META).parquet(path)
+
+
 def parse_export(lines: DataFrame, meta: DataFrame | None = None, identity: str = "header") -> Export:
     """Raw series, rejected rows and file metadata of export lines.
 
     With ``identity="header"`` rows get station and parameter by a join with the
-    per-file metadata. It is not forced to broadcast: pass ``meta`` as a stored
-    table and Catalyst knows its size before it chooses the join.
-    ``identity="path"`` avoids the join.
+    per-file metadata. The join is not forced to broadcast; pass ``meta`` from
+    ``store_meta`` and its size is known before the rows are read, otherwise the
+    rows may be shuffled by file first. ``identity="path"`` avoids the join.
     """
-    meta_lines, header, rows = split_preamble(lines)
+    _, _, rows = split_preamble(lines)
     if meta is None:
-        meta = station_meta(meta_lines, header)
+        meta = file_meta(lines)
     if identity == "path":
         rows = identity_from_path(rows)
     elif identity == "header":

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeworks.plans.refresh import merge_into_store
-from gaugeworks.sources.exports import parse_export
+from gaugeworks.plans.refresh import merge_into_store, stage_name
+from gaugeworks.session import shared_dir
+from gaugeworks.sources.exports import parse_export, store_meta
 
 
 def export_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -28,7 +29,8 @@ def start_ingest(lines: DataFrame, raw_path: str, checkpoint: str, daily_path: s
     A file is never split over micro-batches, so its preamble meets its rows.
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        export = parse_export(batch)
+        stage = f"{shared_dir(batch.sparkSession).rstrip('/')}/{stage_name('files', raw_path)}"
+        export = parse_export(batch, store_meta(batch, stage))
         if rejects_path is not None:
             export.rejects.write.mode("overwrite").json(f"{rejects_path}/batch={batch_id}")
         merge_into_store(batch.sparkSession, export.raw, raw_path, f"{checkpoint}#{batch_id}",
