@@ -69,7 +69,8 @@ def station_document(meta: DataFrame, generated_at: Column | None = None) -> Dat
     """K3: one document per station with its files by parameter and its attributes.
 
     Of several files the first by name describes the station, level before
-    temperature.
+    temperature. A list has one entry per export file of a station; the rows of the
+    files table hold the same without nesting.
     """
     def files(parameter: str) -> Column:
         return F.sort_array(F.collect_set(F.when(F.col("parameter") == parameter, F.col("file_path"))))

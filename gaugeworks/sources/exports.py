@@ -31,9 +31,8 @@ KEY_TIME_REF = "Zeitbezug"
 KEY_EASTING = "Ostwert"
 KEY_NORTHING = "Nordwert"
 KEY_GAUGE_ZERO = "Pegelnullpunktshöhe"
-LEVEL_FOLDER = "fluesse-wasserstand"
-TEMPERATURE_FOLDER = "fluesse-wassertemperatur"
 STATION_IN_PATH = r"/(\d+)_[^/]*$"
+FOLDER_IN_PATH = r"([^/]+)/[^/]*$"
 
 
 class Export(NamedTuple):
@@ -146,14 +145,14 @@ def canonical_meta(meta: DataFrame) -> DataFrame:
 def identity_from_path(lines: DataFrame) -> DataFrame:
     """Station and parameter from ``<folder>/<station>_*.csv`` instead of the file's text.
 
-    Needs no second pass and no join; use it where the folder layout is trusted.
+    The folder's name holds the word for the parameter. Needs no second pass and no
+    join; use it where the folder layout is trusted.
     """
     path = F.col("file_path")
+    folder = F.initcap(F.regexp_replace(F.regexp_extract(path, FOLDER_IN_PATH, 1), "[^A-Za-z]+", " "))
     return lines.withColumns({
         "station_id": int_or_null(F.regexp_extract(path, STATION_IN_PATH, 1)),
-        "parameter": (F.when(path.contains(f"/{LEVEL_FOLDER}/"), parameter_of_header(F.lit("Wasserstand")))
-                      .when(path.contains(f"/{TEMPERATURE_FOLDER}/"), parameter_of_header(F.lit("Wassertemperatur")))
-                      .otherwise(parameter_of_header(F.lit("")))),
+        "parameter": parameter_of_header(folder),
     })
 
 

@@ -41,7 +41,7 @@ def temperature_lines() -> list[str]:
 
 
 def write_exports(root) -> str:
-    for folder, lines in (("fluesse-wasserstand", level_lines()), ("fluesse-wassertemperatur", temperature_lines())):
+    for folder, lines in (("wasserstand", level_lines()), ("bach-wassertemperatur", temperature_lines())):
         path = root / folder
         path.mkdir(parents=True, exist_ok=True)
         (path / f"{STATION}_26.12.2025_ezw_0.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")

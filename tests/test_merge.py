@@ -136,3 +136,13 @@ def test_dedup_last_keeps_one_row_per_instant(spark):
     raw = raw_rows(spark, [(D + "10:00", 5, "x"), (D + "10:00", 5, "x"), (D + "11:00", 1, "x")])
     assert values(merge.dedup_last(raw)) == {"10:00": 5.0, "11:00": 1.0}
     assert dt.datetime(2025, 12, 26, 10) in {r.ts for r in merge.dedup_last(raw).collect()}
+
+
+def test_an_empty_batch_changes_nothing(spark, tmp_path):
+    raw_path, daily_path = str(tmp_path / "raw"), str(tmp_path / "daily")
+    empty = new_rows(spark).filter("false")
+    refresh.merge_into_store(spark, empty, raw_path, "run-0", daily_path=daily_path)
+    refresh.merge_into_store(spark, new_rows(spark), raw_path, "run-1", daily_path=daily_path)
+    refresh.merge_into_store(spark, empty, raw_path, "run-2", daily_path=daily_path)
+    assert values(read_raw(spark, raw_path)) == {"10:00": 7.0, "11:00": 1.0}
+    assert read_daily(spark, daily_path).first()["count"] == 2
