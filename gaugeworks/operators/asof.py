@@ -62,8 +62,9 @@ def _edges(instants: DataFrame) -> DataFrame:
     seen_at = F.when(F.col("value").isNotNull(), F.col("ts"))
     extremes = {"first_ts": F.min(seen_at), "first_value": F.min_by("value", seen_at),
                 "last_ts": F.max(seen_at), "last_value": F.max_by("value", seen_at)}
-    slots = instants.groupBy(*KEYS, "day", "slot").agg(
-        *[c.alias(name) for name, c in extremes.items()], F.max("probe").alias("probe"))
+    # Days and slots read the same shuffle; without the boundary each would prune its own columns.
+    slots = evaluated_once(instants.groupBy(*KEYS, "day", "slot").agg(
+        *[c.alias(name) for name, c in extremes.items()], F.max("probe").alias("probe")))
     days = slots.groupBy(*KEYS, "day").agg(
         F.min("first_ts").alias("first_ts"), F.min_by("first_value", "first_ts").alias("first_value"),
         F.max("last_ts").alias("last_ts"), F.max_by("last_value", "last_ts").alias("last_value"))
