@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontamination, importance, language_id, neighbours, packing, sharding, token_counts, warc
+from gaugeworks.llm import decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, sharding, token_counts, warc
 from gaugeworks.llm import oracles as O
 from gaugeworks.llm.common import table
 
@@ -60,6 +60,20 @@ def op3_decontaminate_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query()
+def op4_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return found.select("doc_id", "n_lines", "n_removed", F.octet_length(text).cast("long").alias("kept_bytes"),
+                        F.crc32(text).alias("kept_crc32"))
+
+
+@query(O.COMPONENTS)
+def op5_join_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.smallest_of_component(found).select("doc_id", "n_shingles", "component_id")
+
+
 @query(O.NEAREST)
 def op6_nearest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
