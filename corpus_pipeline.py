@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontamination, language_id, line_dedup, ngram_join, packing, queries
-from gaugeworks.llm.common import KEY, row_key, stage, table
+from gaugeworks.llm.common import KEY, importable, row_key, stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", identify_language), ("line_dedup", dedup_lines), ("ngram_join", join_near_duplicates),
-    ("decontamination", decontaminate), ("packing", pack)]
+    (name, importable(fn)) for name, fn in (
+        ("language_id", identify_language), ("line_dedup", dedup_lines), ("ngram_join", join_near_duplicates),
+        ("decontamination", decontaminate), ("packing", pack))]
 
 ORACLE_SQL = None
 """Language, lines and packing are not expressible in SQL; stages are tested against brute force."""

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,22 @@ KEY = ["k1", "k2"]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def importable(fn: Callable) -> Callable:
+    """Lets tasks import this package from where the driver has it.
+
+    On a cluster the package is installed or sent along (``--py-files``); this serves a
+    driver that found it on ``sys.path`` only.
+    """
+    @wraps(fn)
+    def run(spark: SparkSession, *args):
+        root = str(Path(__file__).resolve().parents[2])
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+        return fn(spark, *args)
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,7 +3,8 @@
 Texts become normalised TF-IDF vectors of hashed letter n-grams. Each language gets a
 few centroids by spherical k-means on a bounded sample of labelled rows. A text takes
 the language of the centroid with the largest cosine and is rejected where it lies
-further from that centroid than almost all texts the centroid was made of.
+further from that centroid than almost all texts the centroid was made of (short texts
+are not rejected for their distance).
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CENTROIDS = 3
 ROUNDS = 10
 TAIL, EASE = 0.002, 0.6
 """A text is rejected below EASE times the TAIL quantile of the similarities of its centroid's own texts."""
+ENOUGH = 60
+"""Letter n-grams from which on a text can be rejected; the cosine of shorter ones says little."""
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -86,7 +89,7 @@ class Model:
             return UNKNOWN, 0.0, True
         near = self.centroids[:, at] @ _vector(at, counts, self.idf)
         best = int(near.argmax())
-        return self.langs[self.owner[best]], float(min(max(near[best], 0.0), 1.0)), bool(near[best] < self.least[best])
+        return self.langs[self.owner[best]], float(min(max(near[best], 0.0), 1.0)), bool(near[best] < self.least[best] and counts.sum() >= ENOUGH)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, sharding, token_counts, warc
 from gaugeworks.llm import oracles as O
-from gaugeworks.llm.common import table
+from gaugeworks.llm.common import importable, table
 
 SEQUENCE, END_ID = 2048, 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[fn.__name__] = importable(fn)
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn
