@@ -115,4 +115,4 @@ def shard(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     placed = positions(stage(dealt, "dealt"), ["shard", "_draw", "_id"], "shards", "_place")
     first = placed.groupBy("shard").agg(F.min("_place").alias("_first"))
     return (placed.join(F.broadcast(first), "shard")  # one row per shard
-            .withColumn("slot", F.col("_place") - F.col("_first")).drop("_place", "_first", "_draw", "_id"))
+            .withColumn("slot", F.col("_place") - F.col("_first")).select(*df.columns, "shard", "slot"))
