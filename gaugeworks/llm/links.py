@@ -2,7 +2,7 @@
 
 A set is an id, its size and its prefix: the first tokens in one global order (rarest
 first). Two sets of Jaccard similarity ``num / den`` or more share a prefix token. Only
-connectivity is wanted, so each inverted list is first compared with its smallest
+connectivity is wanted, so each inverted list is first compared with its first
 members (hubs); pairs are listed in full only where a list still holds members of
 different components. No pair is dropped, and a group of copies costs a multiple of
 its size, not its square.
@@ -50,12 +50,17 @@ def shared_postings(sets: DataFrame, name: str) -> DataFrame:
 
 
 def hub_pairs(lists: DataFrame, num: int, den: int, hubs: int = HUBS) -> DataFrame:
-    """Each posting beside the first ``hubs`` members of its list: ``a`` (hub), ``b``, sizes, places, ``token``."""
-    first = Window.partitionBy("token").orderBy("id")
+    """Each posting beside the first ``hubs`` members of its list: ``a`` (hub), ``b``, sizes, places, ``token``.
+
+    First are the sets in which the token stands first: what others changed, an original
+    lacks, so fewer rare tokens stand before its shared ones.
+    """
+    first = Window.partitionBy("token").orderBy("pos", "id")
     heads = (lists.withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs)
              .select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
     return (lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-            .join(heads, "token").where((F.col("a") < F.col("b")) & long_enough("na", "nb", num, den)))
+            .join(heads, "token")
+            .where((F.struct("pa", "a") < F.struct("pb", "b")) & long_enough("na", "nb", num, den)))
 
 
 def rest_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int, name: str) -> DataFrame:
@@ -84,7 +89,8 @@ def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], verify
     tried = stage(candidates(hub_pairs(lists, num, den)).select("a", "b"), f"{name}-tried")
     found = stage(verify(tried).select("a", "b"), f"{name}-found")
     roots = components(found, name)
-    more = candidates(rest_pairs(lists, roots, num, den, name)).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = candidates(rest_pairs(lists, roots, num, den, name)).select("a", "b").join(known, ["a", "b"], "left_anti")
     more = stage(more, f"{name}-more")
     if more.isEmpty():
         return roots

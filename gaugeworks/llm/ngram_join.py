@@ -19,13 +19,13 @@ from pyspark.sql import types as T
 
 from gaugeworks.llm.common import KEY, row_key, stage
 from gaugeworks.llm.links import linked, reachable, small_keys
-from gaugeworks.llm.shingles import mixed, shingle_set
+from gaugeworks.llm.shingles import SPACES, mixed, shingle_set, shingles, text_words
 
 WIDTH = 3
 NUM, DEN = 9, 10
 SHORT = 2
 """How many of the short lists a candidate must stand in (fewer where a set has no more)."""
-RARITY_BITS = 18
+RARITY_BITS, WORD_BITS = 18, 16
 
 
 def least_overlap(n: int, m: int, num: int = NUM, den: int = DEN) -> int:
@@ -39,31 +39,58 @@ def _prefix_size(n: int, num: int, den: int) -> int:
     return n - least + min(SHORT, least)
 
 
-def list_lengths(docs: DataFrame, width: int, text_col: str = "text") -> np.ndarray:
-    """Upper bounds of the lists' lengths: documents per hash bucket of shingles, over all documents.
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-    Tasks add up what they read; the result has a fixed number of buckets.
+
+class Rarity:
+    """How long the list of a shingle may be, from counts over all documents in tables of fixed size.
+
+    Two signs are combined: how often a shingle is expected from the frequencies of its
+    words, and how many documents have a shingle of its hash bucket. The first tells
+    everyday phrases, the second passages that many documents share.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingle_set(text.as_py(), width)
-                np.add.at(total, (found >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["bucket", "n"])
 
-    out = np.zeros(1 << RARITY_BITS, np.int64)
-    counted = docs.select(text_col).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for row in counted.toLocalIterator():
-        out[row["bucket"]] = row["n"]
-    return out
+    def __init__(self, documents: np.ndarray, words: np.ndarray):
+        self.documents = np.floor(np.log2(documents + 1.0)).astype(np.int64)
+        self.total = max(int(words.sum()), 1)
+        self.words = np.log2(np.maximum(words, 1) / self.total)
 
+    def order(self, text: str, width: int) -> np.ndarray:
+        """The distinct shingles of a text, rarest first; ties by hash, so the order is one for all texts."""
+        words = text_words(text)
+        found, first = np.unique(shingles(words, width), return_index=True)
+        each, take = self.words[_bucket(words, WORD_BITS)], min(width, len(words))
+        expected = sum(each[i:len(words) - take + 1 + i] for i in range(take)) + np.log2(self.total)
+        expected = np.maximum(np.round(expected[first], 3), 0).astype(np.int64)
+        return found[np.lexsort((found, self.documents[_bucket(found, RARITY_BITS)], expected))]
 
-def document_sets(docs: DataFrame, lengths: np.ndarray, width: int, num: int, den: int,
+
+def count_rarity(docs: DataFrame, width: int, text_col: str = "text") -> Rarity:
+    """Tasks add up what they read; the tables that reach the driver have a fixed number of buckets."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, words = np.zeros(1 << RARITY_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                hashes = text_words(text.as_py() or "")
+                if len(hashes):
+                    words += np.bincount(_bucket(hashes, WORD_BITS), minlength=len(words))
+                    np.add.at(documents, _bucket(np.unique(shingles(hashes, width)), RARITY_BITS), 1)
+        for table, total in ((0, documents), (1, words)):
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([table] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(total[at])],
+                                             ["table", "bucket", "n"])
+
+    tables = np.zeros(1 << RARITY_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+    counted = docs.select(text_col).mapInArrow(count, "table bigint, bucket bigint, n bigint")
+    for row in counted.groupBy("table", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        tables[row["table"]][row["bucket"]] = row["n"]
+    return Rarity(*tables)
+
+
+def document_sets(docs: DataFrame, rarity: Rarity, width: int, num: int, den: int,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, k1, k2, id`` (hash of the set, null if empty), ``n``, ``prefix`` (rarest shingles)."""
-    rated = np.floor(np.log2(lengths + 1.0)).astype(np.int64)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("k1", T.LongType()),
                            T.StructField("k2", T.LongType()), T.StructField("id", T.LongType()),
                            T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
@@ -72,12 +99,12 @@ def document_sets(docs: DataFrame, lengths: np.ndarray, width: int, num: int, de
         for batch in batches:
             ids, sizes, prefixes = [], [], []
             for text in batch.column(3):
-                found = shingle_set(text.as_py(), width)
-                n = len(found)
+                words = text.as_py() or ""
+                ordered = rarity.order(words, width) if words.strip(SPACES) else np.zeros(0, np.uint64)
+                found, n = np.sort(ordered), len(ordered)
                 ids.append(int(set_id(found)) if n else None)
                 sizes.append(n)
-                rarity = rated[(found >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-                prefixes.append(found[np.lexsort((found, rarity))[:_prefix_size(n, num, den)]].view(np.int64) if n else [])
+                prefixes.append(ordered[:_prefix_size(n, num, den)].view(np.int64) if n else [])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(prefixes, pa.list_(pa.int64()))], schema.fieldNames())
@@ -145,7 +172,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     has an empty set and links with nothing. Repeated rows give repeated results; null
     ids are rows like any other. Shingles and sets are told apart by 64-bit hashes.
     """
-    sets = stage(document_sets(docs, list_lengths(docs, width, text_col), width, num, den, id_col, text_col), "sets")
+    sets = stage(document_sets(docs, count_rarity(docs, width, text_col), width, num, den, id_col, text_col), "sets")
     full = sets.where("id is not null")
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
 

@@ -6,7 +6,8 @@ import numpy as np
 
 # Bytes that separate words, and a fixed random-looking value per byte.
 _SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACES = " \t\n\x0b\x0c\r"
+_SPACE[[ord(c) for c in SPACES]] = True
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[ord("A"):ord("Z") + 1] += 32
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -42,7 +43,11 @@ def text_words(text: str) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Distinct hashes of ``width`` words in a row, ascending; fewer words make one shingle, none an empty set."""
-    words = text_words(text) if text else np.zeros(0, np.uint64)
+    return np.unique(shingles(text_words(text), width)) if text else np.zeros(0, np.uint64)
+
+
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` words in a row, in their order."""
     if not len(words):
         return words
     take = min(width, len(words))
@@ -50,4 +55,4 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     total = np.full(n, take, np.uint64)
     for i in range(take):
         total = mixed(total * M1 + words[i:i + n])
-    return np.unique(total)
+    return total
