@@ -23,7 +23,8 @@ GERMAN_TEXT = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) (\d{1,2}):(\d{1,2})$"
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INTEGER_TEXT = r"^[+-]?\d+$"
 EPOCH_MILLIS_TEXT = r"^\d{1,15}$"
-CALENDAR_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+CALENDAR_TEXT = r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?)\d*$"
+ZONED_TEXT = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)\d*(Z|[+-]\d{2}:?\d{2})$"
 PRESETS = ["today", "week", "month", "1y", "5y", "all"]
 
 
@@ -115,12 +116,18 @@ def fixed(c: ColumnLike, digits: int = 1) -> Column:
 def mixed_ts(c: ColumnLike) -> Column:
     """epoch milliseconds, ISO, minute, second or day text to one type.
 
-    Null marks text in none of these forms; keep the text beside the result.
+    Text with ``Z`` or an offset is an instant and becomes wall-clock time in the session
+    zone, as epochs do. Digits beyond microseconds are dropped. Null marks text in none
+    of these forms; keep the text beside the result.
     """
     c = F.trim(_col(c))
+    zone = F.regexp_replace(F.regexp_extract(c, ZONED_TEXT, 4), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    seconds = F.when(F.regexp_extract(c, ZONED_TEXT, 2) == "", ":00").otherwise("")
+    zoned = F.when(c.rlike(ZONED_TEXT), F.concat(F.regexp_extract(c, ZONED_TEXT, 1), seconds, zone)).try_cast("timestamp")
     millis = F.timestamp_millis(F.when(c.rlike(EPOCH_MILLIS_TEXT), c).try_cast("bigint"))
-    calendar = F.when(c.rlike(CALENDAR_TEXT), c).try_cast("timestamp_ntz")
-    return F.coalesce(millis.cast("timestamp_ntz"), calendar)
+    fine = c.rlike(CALENDAR_TEXT) & ~c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?\d+$")
+    calendar = F.when(fine, F.regexp_extract(c, CALENDAR_TEXT, 1)).try_cast("timestamp_ntz")
+    return F.coalesce(millis.cast("timestamp_ntz"), calendar, zoned.cast("timestamp_ntz"))
 
 
 def relative_range(preset: str, as_of: dt.date | str | Column) -> tuple[Column, Column]:

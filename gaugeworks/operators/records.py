@@ -21,16 +21,20 @@ def _side(name: str) -> list[Column]:
 def records(raw: DataFrame) -> DataFrame:
     """A5: lowest and highest reading of each series, the earliest on ties.
 
-    One scan; each task reduces a series to two rows before the shuffle.
+    The extremes come from a fixed-width hash aggregate, which needs no sort; the tie
+    rule looks only at the rows that hold one.
     """
+    valued = raw.filter(F.col("value").isNotNull())
+    ends = valued.groupBy(*KEYS).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    at_ends = (valued.select(*KEYS, "ts", "value", "status").join(ends, KEYS)
+               .filter((F.col("value") == F.col("low")) | (F.col("value") == F.col("high"))))
     row = F.struct("ts", "value", "status")
-    return (
-        raw.filter(F.col("value").isNotNull())
-        .groupBy(*KEYS)
-        .agg(F.min_by(row, F.struct("value", "ts", "status")).alias("min"),
-             F.min_by(row, F.struct(-F.col("value"), "ts", "status")).alias("max"))
-        .select(*KEYS, *_side("min"), *_side("max"))
-    )
+
+    def earliest(end: str) -> Column:
+        return F.min_by(row, F.when(F.col("value") == F.col(end), F.struct("ts", "status")))
+
+    return (at_ends.groupBy(*KEYS).agg(earliest("low").alias("min"), earliest("high").alias("max"))
+            .select(*KEYS, *_side("min"), *_side("max")))
 
 
 def records_via_daily(raw: DataFrame, daily: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def records_via_daily(raw: DataFrame, daily: DataFrame) -> DataFrame:
         F.min_by("date", F.struct(-F.col("max"), "date")).alias("high_day"))
     wanted = days.select(*KEYS, F.explode(F.array_distinct(F.array("low_day", "high_day"))).alias("day"))
     if {"year", "month"} <= set(raw.columns):
-        folders = ["parameter", "year", "month"]
+        folders = ["parameter", "year", "month"]  # the days of many stations, so no bucket
         touched = wanted.select("parameter", F.year("day").alias("year"), F.month("day").alias("month"))
         raw = in_folders(raw, touched.distinct(), folders)
     return records(raw.withColumn("day", day_of("ts")).join(wanted, [*KEYS, "day"], "left_semi"))
@@ -65,12 +69,15 @@ def record_context(found: DataFrame, daily: DataFrame, days: int = 30,
                    as_of: dt.date | str | None = None) -> DataFrame:
     """Daily means from ``days`` before to ``days`` after each record.
 
-    A record without a usable timestamp gets the whole history up to ``as_of``.
+    A record without a usable timestamp gets the whole history up to ``as_of``, by default
+    the latest date of its series.
     ``found`` has two rows per series, so the interval is a residual of the key
     join and a series is never multiplied by more than two.
     """
     day = day_of("ts")
-    last = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
+    if as_of is None:
+        found = found.join(daily.groupBy(*KEYS).agg(F.max("date").alias("as_of")), KEYS, "left")
+    last = F.col("as_of") if as_of is None else F.lit(str(as_of)).cast("date")
     ranges = found.select(
         *KEYS, "kind", F.col("ts").alias("record_ts"),
         F.coalesce(F.date_sub(day, days), F.lit(HISTORY_START).cast("date")).alias("start"),

@@ -8,11 +8,9 @@ from pyspark.sql import Window as W
 
 from gaugeworks.operators.ranges import as_date, as_ts, ts_between
 from gaugeworks.operators.rollup import hourly_mean
-from gaugeworks.schema import DEFAULT_CUTOFF, KEYS
+from gaugeworks.schema import KEYS
 
 RESOLUTIONS = ["raw", "hourly", "daily"]
-# Presets short enough to be shown at full resolution.
-RAW_PRESETS = ["today", "week", "month"]
 
 
 def split_rejects(df: DataFrame, reason: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
@@ -31,7 +29,7 @@ def with_value(df: DataFrame) -> DataFrame:
     return df.filter(F.col("value").isNotNull())
 
 
-def since_date(df: DataFrame, start: str = DEFAULT_CUTOFF) -> DataFrame:
+def since_date(df: DataFrame, start: str) -> DataFrame:
     """Rows dated ``start`` or later, stated on ``ts`` so that it reaches the scan."""
     return ts_between(df, start=as_date(start))
 
@@ -54,25 +52,19 @@ def daily_range(daily: DataFrame, start, end, ordered: bool = False) -> DataFram
     return rows.select(*KEYS, F.col("date").cast("string").alias("x"), F.col("mean").alias("y"))
 
 
-def effective_resolution(resolution: str, preset: str | None = None) -> str:
-    """Full resolution is kept for short presets only."""
-    if resolution not in RESOLUTIONS:
-        raise ValueError(f"resolution must be one of {RESOLUTIONS}, not {resolution!r}")
-    if resolution == "raw" and preset is not None and preset not in RAW_PRESETS:
-        return "daily"
-    return resolution
-
-
 def series(raw: DataFrame, daily: DataFrame, parameter: str, start, end,
-           resolution: str = "daily", preset: str | None = None,
-           end_inclusive_day: bool = False, scale: int | None = None,
+           resolution: str = "daily", end_inclusive_day: bool = False, scale: int | None = None,
            ordered: bool = False) -> DataFrame:
-    """One parameter in a range at the chosen resolution, from the smallest table that has it."""
-    chosen = effective_resolution(resolution, preset)
-    if chosen == "daily":
+    """One parameter in a range at the resolution asked for, from the smallest table that has it.
+
+    However long the range, the resolution is never replaced by a coarser one.
+    """
+    if resolution not in RESOLUTIONS:
+        raise ValueError(f"resolution must be one of {RESOLUTIONS}, not {resolution!r}")
+    if resolution == "daily":
         return daily_range(daily.filter(F.col("parameter") == parameter), start, end, ordered)
     raw = raw.filter(F.col("parameter") == parameter)
-    if chosen == "raw":
+    if resolution == "raw":
         return raw_range(raw, start, end, end_inclusive_day, ordered)
     points = hourly_mean(raw, start, end, end_inclusive_day, scale)
     return points.orderBy(*KEYS, "x") if ordered else points
@@ -126,21 +118,28 @@ def latest_daily(daily: DataFrame) -> DataFrame:
 def newest(live: DataFrame, n: int = 10, ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
     """T4: the ``n`` newest readings per series, ranked from 1.
 
+    Among equal instants the larger ``tie`` columns come first, by default all other
+    columns in their order, so the result does not depend on how rows are dealt out.
+
     Spark limits each group before the shuffle, so a large series sends at most
     ``n`` rows per task.
     """
-    order = [F.col(ts).desc(), *[F.col(c).desc() for c in (tie or [])]]
+    order = [F.col(ts).desc(), *[F.col(c).desc() for c in (tie if tie is not None else [c for c in live.columns if c not in (*KEYS, ts)])]]
     ranked = live.withColumn("rank", F.row_number().over(W.partitionBy(*KEYS).orderBy(*order)))
     return ranked.filter(F.col("rank") <= n)
 
 
 def since(raw: DataFrame, threshold) -> DataFrame:
-    """Rows from ``threshold`` on and the value at the latest timestamp, per series."""
-    last = F.struct("ts", "value")
+    """Rows from ``threshold`` on and the value at the latest timestamp, per series.
+
+    The latest instant comes from a fixed-width hash aggregate; only its rows are looked at
+    again, of which the largest value counts.
+    """
+    rows = ts_between(raw, start=threshold)
+    last = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.max("ts").alias("latest_ts"))
+    at_last = rows.select(*KEYS, F.col("ts").alias("latest_ts"), "value")
     return (
-        ts_between(raw, start=threshold)
-        .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.max(last).alias("last"))
-        .select(*KEYS, "n_rows", F.col("last.ts").alias("latest_ts"),
-                F.col("last.value").alias("latest_value"))
+        at_last.join(last, [*KEYS, "latest_ts"])
+        .groupBy(*KEYS, "n_rows", "latest_ts").agg(F.max("value").alias("latest_value"))
+        .select(*KEYS, "n_rows", "latest_ts", "latest_value")
     )

@@ -109,6 +109,14 @@ def export_lines(raw: DataFrame) -> DataFrame:
     return evaluated_once(rows).unionByName(heads)
 
 
+def write_export_files(lines: DataFrame, path: str) -> str:
+    """Export lines as one ``.csv`` file per series below ``path``, in folders ``series=<name>``."""
+    series = F.regexp_extract("file_path", r"([^/]+)\.csv$", 1).alias("series")
+    (lines.select(series, "line").repartition("series").write.partitionBy("series")
+     .options(sep="\u0001", quote="", emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path))
+    return path
+
+
 def live_json(raw: DataFrame) -> DataFrame:
     """``raw`` as JSON lines of live readings with their kind, some of them cut short."""
     level = F.col("parameter") == WATER_LEVEL
@@ -138,7 +146,7 @@ def measurement_pages(raw: DataFrame) -> DataFrame:
     value = F.coalesce(F.replace(F.col("value").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")),
                        F.lit("n/a"))
     gap = (F.when(F.col("k") % 4 == 0, "--").when(F.col("k") % 4 == 1, "")
-           .when(F.col("k") % 4 == 2, "N/A").otherwise("7"))
+           .when(F.col("k") % 4 == 2, "N/A").otherwise(F.floor("value").cast("string")))
     first_stamp = F.when(F.col("k") % 8 == 3, F.lit("gestern")).otherwise(german)
     html = F.concat(
         F.lit("<html><body><p>x</p><table class=\"t\"><tr><th>Datum</th><th>Wert</th></tr>"),

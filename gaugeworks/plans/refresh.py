@@ -8,26 +8,33 @@ one starts, and a run that is repeated changes nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from typing import NamedTuple
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.operators.merge import dedup_last, merge_last_wins
 from gaugeworks.operators.ranges import in_folders
 from gaugeworks.operators.rollup import daily_rollup
-from gaugeworks.schema import DAILY, RAW
+from gaugeworks.schema import DAILY, KEYS, RAW
 from gaugeworks.session import shared_dir
 from gaugeworks.sinks.store import (
-    DAILY_FOLDERS, RAW_FOLDERS, laid_out, replace_daily, replace_partitions, with_period, write_daily, write_meta, write_raw,
+    DAILY_FOLDERS, RAW_FOLDERS, replace_daily, replace_partitions, station_bucket, with_period, write_daily, write_meta,
+    write_raw,
 )
 from gaugeworks.sources.exports import read_export, read_lines, store_meta
 from gaugeworks.sources.store import normalise_daily, normalise_raw
 
 
+RAW_STAGED = T.StructType([*RAW.fields, *[T.StructField(c, T.IntegerType()) for c in RAW_FOLDERS[1:]]])
+DAILY_STAGED = T.StructType([*DAILY.fields, *[T.StructField(c, T.IntegerType()) for c in DAILY_FOLDERS[1:]]])
+
+
 class Layout(NamedTuple):
     """Folders of one dataset."""
 
@@ -55,16 +62,17 @@ class Layout(NamedTuple):
 
 
 def ingest_exports(spark: SparkSession, paths: str | list[str], root: str, dedup: bool = False,
-                   scale: int | None = None) -> Layout:
+                   scale: int | None = None, identity: str = "header") -> Layout:
     """Exports to raw, daily, metadata and rejects below ``root``.
 
     File metadata is stored first, so that the join of rows with files is planned
     with a known size. The daily rollup reads the stored raw series instead of
-    parsing the text twice. Overlapping exports count twice unless ``dedup``.
+    parsing the text twice. Overlapping exports count twice unless ``dedup``, which keeps
+    the row of the file that was queried last.
     """
     out = Layout(root.rstrip("/"))
     meta = store_meta(read_lines(spark, paths), out.files)
-    export = read_export(spark, paths, meta=meta)
+    export = read_export(spark, paths, meta=meta, identity=identity)
     write_raw(dedup_last(export.raw) if dedup else export.raw, out.raw)
     export.rejects.write.mode("overwrite").json(out.rejects)
     write_daily(daily_rollup(normalise_raw(spark.read.parquet(out.raw)), scale), out.daily)
@@ -72,28 +80,46 @@ def ingest_exports(spark: SparkSession, paths: str | list[str], root: str, dedup
     return out
 
 
-def _parquet_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def parquet_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table in a declared schema; only a folder that is not there counts as empty."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
-def _noted(spark: SparkSession, note: str) -> str | None:
+NOTE = "run_id string, copies array<string>, daily_path string"
+
+
+def _noted(spark: SparkSession, note: str) -> Row | None:
     try:
-        row = spark.read.schema("run_id string").json(note).head()
-    except AnalysisException:
+        return spark.read.schema(NOTE).json(note).head()
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return None
-    return row["run_id"] if row else None
 
 
-def _note(spark: SparkSession, note: str, run_id: str) -> None:
-    spark.range(1).select(F.lit(run_id).alias("run_id")).write.mode("overwrite").json(note)
+def _note(spark: SparkSession, note: str, run_id: str, copies: list[str], daily_path: str | None) -> None:
+    spark.createDataFrame([(run_id, copies, daily_path)], NOTE).write.mode("overwrite").json(note)
 
 
 def stage_name(job: str, path: str) -> str:
     """One folder name per job and table."""
-    return f"{job}_{re.sub(r'[^A-Za-z0-9]+', '_', path)}"
+    return f"{job}_{re.sub(r'[^A-Za-z0-9]+', '_', path)}_{hashlib.sha1(path.encode()).hexdigest()[:12]}"
+
+
+def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that a stored series can hold, and those without station, parameter or a usable instant."""
+    usable = F.col("station_id").isNotNull() & F.col("parameter").isNotNull() & (F.year("ts") > 0)
+    usable = F.coalesce(usable, F.lit(False))
+    return rows.filter(usable), rows.filter(~usable)
 
 
 def _touched(rows: DataFrame, folders: list[str]) -> DataFrame:
@@ -102,58 +128,58 @@ def _touched(rows: DataFrame, folders: list[str]) -> DataFrame:
 
 def merged_with_store(spark: SparkSession, new: DataFrame, raw_path: str) -> DataFrame:
     """U1 and U2 against the stored folders that ``new`` touches, and no others."""
-    stored = _parquet_or_empty(spark, raw_path, T.StructType([
-        *RAW.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]))
+    stored = parquet_or_empty(spark, raw_path, RAW_STAGED)
     stored = in_folders(stored, _touched(new, RAW_FOLDERS), RAW_FOLDERS)
     return merge_last_wins(stored.select(*RAW.names), new)
 
 
-def refreshed_daily(spark: SparkSession, months: DataFrame, daily_path: str,
+def refreshed_daily(spark: SparkSession, rows: DataFrame, new: DataFrame, daily_path: str,
                     scale: int | None = None) -> DataFrame:
-    """Daily rows of the years that ``months`` touches, with its months rolled up again.
+    """Daily rows of the folders that ``new`` touches, with its days rolled up again.
 
-    ``months`` holds all raw rows of each month that it touches.
+    ``rows`` holds all raw rows of each day of a series that ``new`` has a reading of.
     """
-    touched = _touched(months, RAW_FOLDERS)
-    stored = _parquet_or_empty(spark, daily_path, T.StructType([
-        *DAILY.fields, T.StructField("year", T.IntegerType())]))
-    kept = (
-        in_folders(stored, touched.select(*DAILY_FOLDERS).distinct(), DAILY_FOLDERS)
-        .withColumn("month", F.month("date"))
-        .join(F.broadcast(touched), RAW_FOLDERS, "left_anti")
-    )
-    return normalise_daily(kept).unionByName(daily_rollup(months, scale))
+    days = new.select(*KEYS, F.to_date("ts").alias("date")).distinct()
+    folders = days.select("parameter", F.year("date").alias("year"), station_bucket().alias("bucket")).distinct()
+    stored = parquet_or_empty(spark, daily_path, DAILY_STAGED)
+    kept = in_folders(stored, folders, DAILY_FOLDERS).join(days, [*KEYS, "date"], "left_anti")
+    again = rows.withColumn("date", F.to_date("ts")).join(days, [*KEYS, "date"], "left_semi").drop("date")
+    return normalise_daily(kept).unionByName(daily_rollup(again, scale))
 
 
 def merge_into_store(spark: SparkSession, new: DataFrame, raw_path: str, run_id: str,
                      copies: list[str] | None = None, daily_path: str | None = None,
-                     scale: int | None = None) -> None:
+                     scale: int | None = None, rejects_path: str | None = None) -> None:
     """Last-wins merge of ``new`` into the stored raw series and its copies (K5).
 
-    With ``daily_path`` the touched months are rolled up again; without it the
-    daily table stays as it is. Runs on one store follow one another.
+    With ``daily_path`` the touched days are rolled up again; without it the daily table
+    stays as it is. Rows without station, parameter or instant go to ``rejects_path`` (by
+    default beside the series). Where a run is published to is noted with the run, so an
+    interrupted one is finished as it was begun. Runs on one store follow one another.
     """
     stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('merge', raw_path)}"
     staged_note, published_note = f"{stage}/staged", f"{stage}/published"
     new_rows, raw_rows, daily_rows = f"{stage}/new", f"{stage}/raw", f"{stage}/daily"
 
-    def publish(staged_run: str) -> None:
-        replace_partitions(spark.read.parquet(raw_rows), [raw_path, *(copies or [])])
-        if daily_path is not None:
-            replace_daily(spark.read.parquet(daily_rows), daily_path)
-        _note(spark, published_note, staged_run)
+    def publish(run: Row) -> None:
+        replace_partitions(parquet_or_empty(spark, raw_rows, RAW_STAGED), [raw_path, *(run["copies"] or [])])
+        if run["daily_path"] is not None:
+            replace_daily(parquet_or_empty(spark, daily_rows, DAILY_STAGED), run["daily_path"])
+        _note(spark, published_note, run["run_id"], run["copies"], run["daily_path"])
 
     staged, published = _noted(spark, staged_note), _noted(spark, published_note)
-    if staged is not None and staged != published:
+    if staged is not None and (published is None or staged["run_id"] != published["run_id"]):
         publish(staged)
         published = staged
-    if published == run_id:
+    if published is not None and published["run_id"] == run_id:
         return
-    new.write.mode("overwrite").parquet(new_rows)
-    merged = with_period(merged_with_store(spark, spark.read.parquet(new_rows), raw_path))
-    laid_out(merged, RAW_FOLDERS, ["station_id", "ts"]).write.mode("overwrite").parquet(raw_rows)
+    usable, unusable = keyed(new)
+    unusable.write.mode("overwrite").json(f"{rejects_path or raw_path.rstrip('/') + '_rejects'}/run={quote(run_id, safe='')}")
+    usable.write.mode("overwrite").parquet(new_rows)
+    fresh = spark.read.schema(usable.schema).parquet(new_rows)
+    write_raw(merged_with_store(spark, fresh, raw_path), raw_rows)
     if daily_path is not None:
-        months = spark.read.parquet(raw_rows).select(*RAW.names)
-        refreshed_daily(spark, months, daily_path, scale).write.mode("overwrite").parquet(daily_rows)
-    _note(spark, staged_note, run_id)
-    publish(run_id)
+        rows = parquet_or_empty(spark, raw_rows, RAW_STAGED).select(*RAW.names)
+        write_daily(refreshed_daily(spark, rows, fresh, daily_path, scale), daily_rows)
+    _note(spark, staged_note, run_id, copies or [], daily_path)
+    publish(_noted(spark, staged_note))

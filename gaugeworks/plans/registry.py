@@ -21,6 +21,7 @@ from gaugeworks.schema import CATALOGUE, KEYS
 from gaugeworks.session import shared_dir
 from gaugeworks.sinks import store as sinks
 from gaugeworks.sources import catalogue, exports, live, manifest, pages, store
+from gaugeworks.streaming import exports as export_streams
 from gaugeworks.streaming import live as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +63,21 @@ def raw_range(spark, sf):
     return series.raw_range(D.raw_events(spark, sf), *RANGE)
 
 
+@query(Q.raw_range_ordered(*RANGE))
+def raw_range_ordered(spark, sf):
+    """Places of the ordered output; rows of one instant share the first of theirs."""
+    ordered = series.raw_range(D.raw_events(spark, sf), *RANGE, ordered=True)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    path = _folder(spark, "ordered")
+    ordered.withColumns({"part": F.spark_partition_id(), "within": within}).write.parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).alias("s")
+    before = (sizes.join(sizes.alias("o"), F.col("o.part") < F.col("s.part"), "left").groupBy("s.part")
+              .agg(F.coalesce(F.sum("o.n"), F.lit(0)).alias("before")))
+    return (placed.join(before, "part").groupBy(*KEYS, "x")
+            .agg(F.min(F.col("before") + F.col("within") + 1).alias("place"), F.count(F.lit(1)).alias("n")))
+
+
 @query(Q.raw_range(*RANGE, inclusive=True))
 def raw_range_inclusive(spark, sf):
     return series.raw_range(D.raw_events(spark, sf), *RANGE, end_inclusive_day=True)
@@ -79,13 +95,13 @@ def daily_range(spark, sf):
 
 @query(Q.series_dispatch(*RANGE))
 def series_dispatch(spark, sf):
-    """Every resolution of one parameter, and a long preset that resets raw to daily."""
+    """Every resolution of one parameter, whatever preset the range comes from."""
     raw, daily = D.raw_events(spark, sf), D.daily_events(spark, sf)
-    cases = [("raw", "month"), ("hourly", "5y"), ("daily", None), ("raw", "1y")]
+    cases = [("raw", "month"), ("hourly", "5y"), ("daily", ""), ("raw", "1y")]
     out = None
     for resolution, preset in cases:
-        part = (series.series(raw, daily, "view", *RANGE, resolution, preset, scale=D.SCALE)
-                .withColumn("asked", F.lit(f"{resolution}/{preset or ''}")))
+        part = (series.series(raw, daily, "view", *RANGE, resolution, scale=D.SCALE)
+                .withColumn("asked", F.lit(f"{resolution}/{preset}")))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -143,29 +159,24 @@ def latest_daily(spark, sf):
 
 # --- seasonal bands ------------------------------------------------------------------------
 
-def _rounded_band(df: DataFrame) -> DataFrame:
-    """The engines order the interpolation differently; six digits agree."""
-    return df.select(*[F.round(c, 6).alias(c) if c in climate.LEVELS else F.col(c) for c in df.columns])
-
-
 @query(Q.seasonal_band(SEASON_DAY))
 def seasonal_band(spark, sf):
-    return _rounded_band(climate.seasonal_band(D.daily_orders(spark, sf), SEASON_DAY))
+    return (climate.seasonal_band(D.daily_orders(spark, sf), SEASON_DAY))
 
 
 @query(Q.seasonal_band(None))
 def seasonal_band_latest(spark, sf):
-    return _rounded_band(climate.seasonal_band(D.daily_orders(spark, sf)))
+    return (climate.seasonal_band(D.daily_orders(spark, sf)))
 
 
 @query(Q.seasonal_band_all(wrap=False))
 def seasonal_band_all(spark, sf):
-    return _rounded_band(climate.seasonal_band_all(D.daily_orders(spark, sf)))
+    return (climate.seasonal_band_all(D.daily_orders(spark, sf)))
 
 
 @query(Q.seasonal_band_all(wrap=True))
 def seasonal_band_all_wrapped(spark, sf):
-    return _rounded_band(climate.seasonal_band_all(D.daily_orders(spark, sf), wrap=True))
+    return (climate.seasonal_band_all(D.daily_orders(spark, sf), wrap=True))
 
 
 # --- records and extents -------------------------------------------------------------------
@@ -243,10 +254,10 @@ def latest_live(spark, sf):
 
 @query(Q.live_or_daily())
 def live_or_daily(spark, sf):
-    """Error events have no live feed and events of station 4 no daily table."""
+    """Error events have a live feed at station 4 only, which has no daily table."""
     raw = series.with_value(D.raw_events(spark, sf))
     daily = series.latest_daily(D.daily_events(spark, sf).filter(F.col("station_id") != 4))
-    return merge.live_or_daily(daily, live.latest_live(raw.filter(F.col("parameter") != "error")))
+    return merge.live_or_daily(daily, live.latest_live(raw.filter((F.col("parameter") != "error") | (F.col("station_id") == 4))))
 
 
 @query(Q.newest_topn())
@@ -281,13 +292,17 @@ def nearest_observation(spark, sf):
 
 @query(Q.update_plan())
 def update_plan(spark, sf):
-    """Orders as update files: pending ones are not there yet, open ones in another size."""
+    """Orders as update files: pending ones are not there yet, open ones in another size.
+
+    Every name occurs in two folders; in the second one nothing is there.
+    """
     orders = D.table(spark, sf, "orders")
+    folder = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("folder")
     name = F.concat(F.col("o_orderkey").cast("string"), F.lit(".csv")).alias("name")
     size = F.floor("o_totalprice")
-    updates = orders.select(name, size.alias("length"))
+    updates = orders.select(folder, name, size.alias("length"))
     target = orders.filter(F.col("o_orderstatus") != "P").select(
-        name, F.when(F.col("o_orderstatus") == "O", size + 1).otherwise(size).alias("length"))
+        F.lit("a").alias("folder"), name, F.when(F.col("o_orderstatus") == "O", size + 1).otherwise(size).alias("length"))
     return manifest.plan_updates(updates, target, "backup")
 
 
@@ -298,9 +313,44 @@ def _export(spark: SparkSession, sf: str) -> exports.Export:
     return exports.parse_export(lines, exports.store_meta(lines, _folder(spark, "files")))
 
 
+@query(Q.csv_line_balance())
+def csv_line_balance(spark, sf):
+    """Every line of a file is preamble, header, blank or a row, and every row in the series or a reject."""
+    lines = D.export_lines(D.raw_events(spark, sf))
+    export = exports.parse_export(lines, exports.store_meta(lines, _folder(spark, "files")))
+    kept = export.raw.groupBy(F.col("source_file").alias("file_path")).agg(F.count(F.lit(1)).alias("n_series"))
+    lost = (export.rejects.filter(~F.col("reject_reason").isin("bad_value"))
+            .groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rejects")))
+    return (exports.line_balance(lines).join(kept, "file_path", "left").join(lost, "file_path", "left")
+            .fillna(0, ["n_series", "n_rejects"]))
+
+
+@query(Q.export_listing())
+def export_listing(spark, sf):
+    """Export files written, listed without being read, and their sizes added up by folder."""
+    path = D.write_export_files(D.export_lines(D.raw_events(spark, sf)), _folder(spark, "exports"))
+    return manifest.list_exports(spark, path).groupBy("folder").agg(F.sum("length").alias("n_bytes"))
+
+
+@query(Q.export_dedup())
+def export_dedup(spark, sf):
+    """Every series exported twice; the file queried later has smaller values and an earlier name."""
+    raw = series.with_value(D.raw_events(spark, sf)).filter(F.col("parameter").isin("click", "view"))
+    minute = raw.withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+    files = []
+    for name, queried, change in (("26.12.2024", "26.12.2024 11:50", 1000), ("02.01.2025", "02.01.2025 08:00", 0)):
+        lines = D.export_lines(minute.withColumns({"value": F.col("value") + change, "k": F.lit(0)}))
+        path = F.regexp_replace("file_path", "_", f"_{name}_")
+        query_line = F.when(F.col("line").startswith("Quelle:"), f'Datenbankabfrage:;"{queried}"').otherwise(F.col("line"))
+        files.append(lines.select(path.alias("file_path"), query_line.alias("line")))
+    both = files[0].unionByName(files[1])
+    raw = exports.parse_export(both, exports.store_meta(both, _folder(spark, "files"))).raw
+    return merge.dedup_last(raw)
+
+
 @query(Q.csv_roundtrip())
 def csv_roundtrip(spark, sf):
-    return _export(spark, sf).raw
+    return _export(spark, sf).raw.drop("fetched_at")
 
 
 @query(Q.csv_rejects())
@@ -542,6 +592,27 @@ def stream_merge(spark, sf):
     """The new readings arrive as a stream and are merged into the stored series."""
     root = _folder(spark, "stream_merge")
     sinks.write_raw(_gauge(spark, sf), f"{root}/raw")
-    new = streams.dedup_stream(D.refetched(D.as_gauge(_event_stream(spark, sf))))
+    new = D.refetched(D.as_gauge(_event_stream(spark, sf)))
     streams.start_merge(new, f"{root}/raw", f"{root}/checkpoint", available_now=True).awaitTermination()
     return store.read_raw(spark, f"{root}/raw")
+
+
+@query(Q.live_stream_store())
+def live_stream_store(spark, sf):
+    """Readings written as JSON lines, read as a stream and merged; the oldest of them are late and stay."""
+    root = _folder(spark, "live_stream")
+    lines = sinks.live_lines(series.with_value(_gauge(spark, sf)), "Pegel", "table", F.lit("2024-01-31T00:00:00"))
+    sinks.append_live(lines, f"{root}/live")
+    stream = streams.live_stream(spark, f"{root}/live", max_files_per_trigger=20)
+    streams.start_merge(stream, f"{root}/raw", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store.read_raw(spark, f"{root}/raw")
+
+
+@query(Q.export_stream_store())
+def export_stream_store(spark, sf):
+    """Export files picked up as a stream and merged; of one minute the last file's largest value stays."""
+    root = _folder(spark, "export_stream")
+    D.write_export_files(D.export_lines(D.raw_events(spark, sf)), f"{root}/exports")
+    lines = export_streams.export_stream(spark, f"{root}/exports")
+    export_streams.start_ingest(lines, f"{root}/raw", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return store.read_raw(spark, f"{root}/raw")

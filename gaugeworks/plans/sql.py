@@ -92,7 +92,7 @@ r AS (SELECT {KEYS}, CAST(ts AS VARCHAR) AS x, value AS y FROM raw WHERE value I
 SELECT *, 'raw/month' AS asked FROM r WHERE parameter = 'view'
 UNION ALL SELECT *, 'hourly/5y' FROM h WHERE parameter = 'view'
 UNION ALL SELECT *, 'daily/' FROM d WHERE parameter = 'view'
-UNION ALL SELECT *, 'raw/1y' FROM d WHERE parameter = 'view'"""
+UNION ALL SELECT *, 'raw/1y' FROM r WHERE parameter = 'view'"""
 
 
 def relative_ranges() -> str:
@@ -123,8 +123,18 @@ def latest_daily() -> str:
 SELECT {KEYS}, CAST(date AS VARCHAR) AS date, mean, "min", "max", "count", status_mode FROM ranked WHERE rn = 1"""
 
 
-def _band(values: str = "mean") -> str:
-    return ", ".join(f"ROUND(quantile_cont({values}, {p / 100}), 6) AS p{p:02d}" for p in (5, 25, 50, 75, 95))
+def _band() -> str:
+    """Percentiles of the sorted list ``l`` between its two neighbours, in Spark's order of arithmetic."""
+    def level(p: int) -> str:
+        q = f"((len(l) - 1) * {p / 100}::DOUBLE)"
+        low, high = f"l[CAST(floor({q}) AS BIGINT) + 1]", f"l[CAST(ceil({q}) AS BIGINT) + 1]"
+        return (f"CASE WHEN {low} = {high} THEN {low} "
+                f"ELSE (ceil({q}) - {q}) * {low} + ({q} - floor({q})) * {high} END AS p{p:02d}")
+
+    return ", ".join(map(level, (5, 25, 50, 75, 95)))
+
+
+SORTED = "list_sort(list(mean) FILTER (mean IS NOT NULL)) AS l"
 
 
 def seasonal_band(as_of: str | None) -> str:
@@ -132,7 +142,7 @@ def seasonal_band(as_of: str | None) -> str:
               else f"dayofyear(MAX(date) OVER (PARTITION BY {KEYS}))")
     return f"""WITH {ORDERS}, {DAILY}, near AS (
   SELECT {KEYS}, CASE WHEN abs(dayofyear(date) - {target}) <= 7 THEN mean END AS mean FROM daily)
-SELECT {KEYS}, {_band()} FROM near GROUP BY {KEYS}"""
+SELECT {KEYS}, {_band()} FROM (SELECT {KEYS}, {SORTED} FROM near GROUP BY {KEYS})"""
 
 
 def seasonal_band_all(wrap: bool) -> str:
@@ -144,7 +154,7 @@ def seasonal_band_all(wrap: bool) -> str:
   SELECT {KEYS}, mean, dayofyear(date) AS doy, {length} AS len FROM daily WHERE mean IS NOT NULL
 ), targets AS (SELECT unnest(range(1, 367)) AS target)
 SELECT {KEYS}, CAST(target AS INTEGER) AS target_doy, {_band()}
-FROM d JOIN targets ON {near} GROUP BY {KEYS}, target"""
+FROM (SELECT {KEYS}, target, {SORTED} FROM d JOIN targets ON {near} GROUP BY {KEYS}, target)"""
 
 
 def _records(source: str) -> str:
@@ -253,7 +263,7 @@ def latest_live() -> str:
 
 
 def live_or_daily() -> str:
-    return f"""WITH {EVENTS}, {DAILY}, l AS ({_latest("AND parameter <> 'error'")}), d AS (
+    return f"""WITH {EVENTS}, {DAILY}, l AS ({_latest("AND (parameter <> 'error' OR station_id = 4)")}), d AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY date DESC) AS rn
                  FROM daily WHERE station_id <> 4) WHERE rn = 1)
 SELECT station_id, parameter, COALESCE(l.value, d.mean) AS value,
@@ -296,11 +306,11 @@ FROM c"""
 def update_plan() -> str:
     return """WITH u AS (
   SELECT o_orderkey || '.csv' AS name, CAST(floor(o_totalprice) AS BIGINT) AS length, o_orderstatus AS s FROM orders)
-SELECT name, length,
-       CASE s WHEN 'P' THEN NULL WHEN 'O' THEN length + 1 ELSE length END AS target_length,
-       CASE s WHEN 'P' THEN 'copy' WHEN 'O' THEN 'backup' ELSE 'already_applied' END AS action,
+SELECT folder, name, length,
+       CASE WHEN s = 'P' OR folder = 'b' THEN NULL WHEN s = 'O' THEN length + 1 ELSE length END AS target_length,
+       CASE WHEN s = 'P' OR folder = 'b' THEN 'copy' WHEN s = 'O' THEN 'backup' ELSE 'already_applied' END AS action,
        TRUE AS applied
-FROM u"""
+FROM u, (VALUES ('a'), ('b')) AS f(folder)"""
 
 
 EXPORT_PARAMETER = """CASE parameter WHEN 'click' THEN 'water_level_cm' WHEN 'view' THEN 'water_temperature_c'
@@ -316,6 +326,66 @@ SELECT CAST(station_id + 1 AS INTEGER) AS station_id, {EXPORT_PARAMETER} AS para
 FROM raw WHERE k % 10 <> 2"""
 
 
+LINES_OF_HEAD = 8
+
+
+def csv_line_balance() -> str:
+    return f"""WITH {EVENTS}
+SELECT {EXPORT_PATH} AS file_path, COUNT(*) + {LINES_OF_HEAD} AS n_lines, CAST(6 AS BIGINT) AS n_meta, CAST(1 AS BIGINT) AS n_header,
+       COUNT(*) AS n_rows, CAST(1 AS BIGINT) AS n_blank, COUNT(*) FILTER (k % 10 <> 2) AS n_series,
+       COUNT(*) FILTER (k % 10 = 2) AS n_rejects
+FROM raw GROUP BY ALL"""
+
+
+def export_listing() -> str:
+    """Bytes of the rows and of the head lines, a line end each; the writer leaves the blank line out."""
+    return f"""WITH {EVENTS}, rows_ AS (
+  SELECT station_id || '_' || parameter AS s, station_id AS n, parameter AS p,
+         strlen('"' || substr(CAST(ts AS VARCHAR), 1, 16) || CASE WHEN k % 10 = 2 THEN ' Uhr' ELSE '' END || '";' ||
+                COALESCE(replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || CASE WHEN k % 10 = 1 THEN 'abc' ELSE '' END, '')
+                || ';' || CASE status WHEN 'Geprueft' THEN 'Geprüft' ELSE ' ' || status END) + 1 AS b FROM raw
+), heads AS (
+  SELECT DISTINCT s, strlen('Quelle:;"Pegeldienst"') + strlen('Zeitbezug:;MEZ') + strlen('Messstellen-Name:;Pegel ' || n)
+       + strlen('Messstellen-Nr.:;' || (n + 1)) + strlen('Gewässer:;Musterbach')
+       + strlen('Ostwert:;69' || n || ';Nordwert:;53' || n || ';"UTM 32N"')
+       + strlen('Datum;"' || CASE p WHEN 'click' THEN 'Wasserstand [cm]' WHEN 'view' THEN 'Wassertemperatur [°C]'
+                                    ELSE 'Abfluss [m³/s]' END || '";Prüfstatus') + {LINES_OF_HEAD - 1} AS b FROM rows_)
+SELECT 'series=' || s AS folder, CAST(SUM(b) AS BIGINT) AS n_bytes
+FROM (SELECT s, b FROM rows_ UNION ALL SELECT s, b FROM heads) GROUP BY s"""
+
+
+def export_dedup() -> str:
+    return f"""WITH {EVENTS}, ranked AS (
+  SELECT CAST(station_id + 1 AS INTEGER) AS station_id,
+         CASE parameter WHEN 'click' THEN 'water_level_cm' ELSE 'water_temperature_c' END AS parameter,
+         date_trunc('minute', ts) AS ts, value, status,
+         row_number() OVER (PARTITION BY station_id, parameter, date_trunc('minute', ts) ORDER BY value DESC, status DESC) AS rn
+  FROM raw WHERE value IS NOT NULL AND parameter IN ('click', 'view'))
+SELECT {KEYS}, CAST(ts AS VARCHAR) AS ts, value, status FROM ranked WHERE rn = 1"""
+
+
+def export_stream_store() -> str:
+    return f"""WITH {EVENTS}, ranked AS (
+  SELECT CAST(station_id + 1 AS INTEGER) AS s, {EXPORT_PARAMETER} AS p, date_trunc('minute', ts) AS ts,
+         CASE WHEN k % 10 <> 1 THEN value END AS value, status, parameter AS file
+  FROM raw WHERE k % 10 <> 2
+), last AS (
+  SELECT *, row_number() OVER (PARTITION BY s, p, ts ORDER BY file DESC, value DESC NULLS LAST, status DESC) AS rn FROM ranked)
+SELECT s AS station_id, p AS parameter, CAST(ts AS VARCHAR) AS ts, value, status FROM last WHERE rn = 1"""
+
+
+def live_stream_store() -> str:
+    return f"""WITH {EVENTS}, {GAUGE}
+SELECT {KEYS}, CAST(date_trunc('second', ts) AS VARCHAR) AS ts, MAX(value) AS value, 'Rohdaten' AS status
+FROM gauge WHERE value IS NOT NULL GROUP BY {KEYS}, date_trunc('second', ts)"""
+
+
+def raw_range_ordered(start: str, end: str) -> str:
+    return f"""WITH points AS ({raw_range(start, end)}), placed AS (
+  SELECT {KEYS}, x, rank() OVER (ORDER BY {KEYS}, x) AS place FROM points)
+SELECT {KEYS}, x, place, COUNT(*) AS n FROM placed GROUP BY ALL"""
+
+
 def csv_rejects() -> str:
     return f"""WITH {EVENTS}
 SELECT {EXPORT_PATH} AS file_path, CASE k % 10 WHEN 1 THEN 'bad_value' ELSE 'bad_ts' END AS reject_reason, COUNT(*) AS n
@@ -401,16 +471,17 @@ FROM cells"""
 
 
 def html_measurements() -> str:
-    """Only whole numbers count, so a first gap of ``7`` is the one value read."""
+    """Only whole numbers count: the first row of a page where it has one."""
     return f"""WITH {EVENTS}
-SELECT event_id AS page_id, CAST(1 AS BIGINT) AS pos, CAST(date_trunc('minute', ts) AS VARCHAR) AS ts, 7 AS value
+SELECT event_id AS page_id, CAST(1 AS BIGINT) AS pos, CAST(date_trunc('minute', ts) AS VARCHAR) AS ts,
+       CAST(floor(value) AS INTEGER) AS value
 FROM raw WHERE k % 4 = 3 AND k % 8 <> 3"""
 
 
 def first_valid_reading() -> str:
     return f"""WITH {EVENTS}
 SELECT event_id AS page_id, CAST(CASE WHEN k % 8 = 7 THEN 1 ELSE 3 END AS BIGINT) AS pos,
-       CAST(date_trunc('minute', ts) AS VARCHAR) AS ts, CASE WHEN k % 8 = 7 THEN 7.0::DOUBLE ELSE value END AS value
+       CAST(date_trunc('minute', ts) AS VARCHAR) AS ts, CASE WHEN k % 8 = 7 THEN floor(value) ELSE value END AS value
 FROM raw WHERE k % 8 = 7 OR value IS NOT NULL"""
 
 
@@ -439,7 +510,7 @@ FROM pages, (VALUES ('/rss'), ('/atom')) AS s(suffix)"""
 def catalogue_values() -> str:
     return """WITH stats AS (
   SELECT l_suppkey, l_returnflag, MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi,
-         MIN(l_quantity) AS qlo, MAX(l_quantity) AS qhi, MAX(l_discount) AS disc
+         MIN(l_quantity) AS qlo, MAX(l_quantity) AS qhi, MAX(l_discount) AS disc, MAX(l_tax) AS tax
   FROM lineitem GROUP BY l_suppkey, l_returnflag
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag) - 1 AS series_no FROM stats
@@ -448,7 +519,8 @@ def catalogue_values() -> str:
   UNION ALL SELECT l_suppkey, l_returnflag, series_no, 1, 'MHW', hi, 'cm' FROM numbered
   UNION ALL SELECT l_suppkey, l_returnflag, series_no, 2, 'QL', qlo, 'N/A' FROM numbered
   UNION ALL SELECT l_suppkey, l_returnflag, series_no, 3, 'QH', qhi, 'N/A' FROM numbered
-  UNION ALL SELECT l_suppkey, l_returnflag, series_no, 4, 'D', disc, 'N/A' FROM numbered)
+  UNION ALL SELECT l_suppkey, l_returnflag, series_no, 4, 'D', disc, 'N/A' FROM numbered
+  UNION ALL SELECT l_suppkey, l_returnflag, series_no, 5, 'T', tax, 'N/A' FROM numbered)
 SELECT CAST(s_suppkey AS VARCHAR) AS uuid, s_name AS station,
        CASE WHEN s_suppkey % 4 <> 0 THEN COALESCE(n_name, 'N/A') ELSE 'N/A' END AS water,
        CAST(series_no AS BIGINT) AS series_no,

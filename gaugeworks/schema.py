@@ -15,7 +15,6 @@ STATUS_CHECKED = "Geprueft"
 STATUS_RAW = "Rohdaten"
 MISSING_TOKENS = ["--", "", "n/a", "N/A"]
 HISTORY_START = "1973-01-01"
-DEFAULT_CUTOFF = "1975-01-01"
 LOCAL_ZONE = "Europe/Berlin"
 
 RAW = T.StructType([

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.scalars import live_time_parts, local_epoch
+from gaugeworks.functions.scalars import live_time_parts, local_epoch, unit_of
 from gaugeworks.schema import DAILY, KEYS, RAW, UNITS, WATER_LEVEL, WATER_TEMPERATURE
 from gaugeworks.sources.live import LEVEL_KIND, TEMPERATURE_KIND
 
-RAW_FOLDERS = ["parameter", "year", "month"]
-DAILY_FOLDERS = ["parameter", "year"]
+RAW_FOLDERS = ["parameter", "year", "month", "bucket"]
+DAILY_FOLDERS = ["parameter", "year", "bucket"]
+BUCKETS = 32
+"""Station groups of a folder; a merge rewrites the groups it touches. Fixed, since stored tables depend on it."""
+
+
+def station_bucket() -> Column:
+    return F.pmod(F.hash("station_id"), F.lit(BUCKETS))
 
 
 def with_period(raw: DataFrame) -> DataFrame:
     """The folder columns of a stored raw series."""
-    return raw.withColumns({"year": F.year("ts"), "month": F.month("ts")})
+    return raw.withColumns({"year": F.year("ts"), "month": F.month("ts"), "bucket": station_bucket()})
 
 
 def laid_out(df: DataFrame, folders: list[str], order: list[str]) -> DataFrame:
@@ -46,22 +52,24 @@ def write_daily(daily: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def _daily_cells(daily: DataFrame) -> DataFrame:
-    return daily.select(*DAILY.names).withColumns({"count": F.col("count").cast("int"), "year": F.year("date")})
+    return daily.select(*DAILY.names).withColumns({"count": F.col("count").cast("int"), "year": F.year("date"),
+                                                    "bucket": station_bucket()})
 
 
 def replace_partitions(merged: DataFrame, paths: list[str]) -> None:
-    """K5: publish merged raw rows to each of ``paths``, touched folders only.
+    """K5: publish merged raw rows, staged in their folders, to each of ``paths``, touched folders only.
 
-    ``merged`` must not read one of ``paths``; ``plans.refresh`` has the staged form.
+    ``merged`` must not read one of ``paths``; ``plans.refresh`` has the staged form. The
+    rows already lie in the files they belong to, so nothing is shuffled again.
     """
-    rows = laid_out(with_period(merged.select(*RAW.names)), RAW_FOLDERS, ["station_id", "ts"])
+    rows = with_period(merged.select(*RAW.names)).sortWithinPartitions(*RAW_FOLDERS, "station_id", "ts")
     for path in paths:
         _write(rows, path, RAW_FOLDERS, "overwrite", partitionOverwriteMode="dynamic")
 
 
 def replace_daily(daily: DataFrame, path: str) -> None:
-    """K5 for daily rows: the folders that occur in ``daily`` are replaced."""
-    rows = laid_out(_daily_cells(daily), DAILY_FOLDERS, ["station_id", "date"])
+    """K5 for daily rows, staged in their folders: the folders that occur in ``daily`` are replaced."""
+    rows = _daily_cells(daily).sortWithinPartitions(*DAILY_FOLDERS, "station_id", "date")
     _write(rows, path, DAILY_FOLDERS, "overwrite", partitionOverwriteMode="dynamic")
 
 
@@ -127,11 +135,17 @@ def append_live(lines: DataFrame, path: str) -> None:
 def snapshot(live: DataFrame, window: str = "1 day") -> DataFrame:
     """K6: one document per station, parameter and time window with its readings, newest first.
 
-    The window bounds the nested list: a document holds the readings of one day of
-    one station and never a whole series.
+    Equal instants are folded first (the largest fetch time, then value counts), so a list
+    is bounded by the clock of the sensor and by the window, however often a reading was
+    sent. Where ``live`` has the station's name, source or fetch time, the document has
+    them too (the largest name and source, the latest fetch), and a measurement its unit.
     """
-    item = F.struct("ts", "value")
+    known = [c for c in ("station_name", "source", "fetched_at") if c in live.columns]
+    order = F.struct(*[c for c in ("fetched_at",) if c in known], "value")
+    instants = live.groupBy(*KEYS, "ts").agg(F.max_by("value", order).alias("value"), F.count(F.lit(1)).alias("n_sent"),
+                                             *[F.max(c).alias(c) for c in known])
+    item = F.struct("ts", "value", unit_of("parameter").alias("unit"), "n_sent")
     return (
-        live.groupBy(*KEYS, F.window("ts", window).getField("start").alias("window_start"))
-        .agg(F.sort_array(F.collect_list(item), asc=False).alias("measurements"))
+        instants.groupBy(*KEYS, F.window("ts", window).getField("start").alias("window_start"))
+        .agg(*[F.max(c).alias(c) for c in known], F.sort_array(F.collect_list(item), asc=False).alias("measurements"))
     )

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from gaugeworks.schema import CATALOGUE
 
 NOT_AVAILABLE = "N/A"
-# A catalogue entry shows at most this many characteristic values per series.
-SHOWN_VALUES = 5
 
 
 def read_catalogue(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -30,7 +28,7 @@ def station_info(stations: DataFrame) -> DataFrame:
 
 
 def flatten_catalogue(stations: DataFrame) -> DataFrame:
-    """One row per station, series and shown characteristic value.
+    """One row per station, series and characteristic value.
 
     Stations without series and series without values keep one row.
     """
@@ -41,7 +39,7 @@ def flatten_catalogue(stations: DataFrame) -> DataFrame:
         "uuid", "station", "water", "series_no", _text("s.longname").alias("series"),
         _text("s.shortname").alias("series_short"), _text("s.unit").alias("unit"),
         _text("s.equidistance").alias("interval_minutes"),
-        F.posexplode_outer(F.slice("s.characteristicValues", 1, SHOWN_VALUES)).alias("value_no", "v"))
+        F.posexplode_outer("s.characteristicValues").alias("value_no", "v"))
     has_value = F.col("value_no").isNotNull()
     return values.select(
         "uuid", "station", "water", "series_no", "series", "series_short", "unit", "interval_minutes",

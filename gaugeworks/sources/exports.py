@@ -2,9 +2,13 @@
 
 No rule depends on a line's position, so files stay splittable:
 
-* preamble lines have a first field that ends with a colon;
+* a line that starts with a digit, quoted or not, is a table row;
+* preamble lines have an unquoted first field that ends with a colon;
 * the table header starts with ``Datum;``;
 * every other non-blank line is a table row, good or not.
+
+So lines = preamble + header + rows + blank ones, and a row is in the series, among
+the rejects, or both.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import (
-    clean_text, decimal_comma, fold_status, int_or_null, meta_key, parameter_of_header, parse_ts,
+    clean_text, decimal_comma, fold_status, int_or_null, meta_key, parameter_of_header, parse_german_ts, parse_ts,
 )
 from gaugeworks.operators.series import split_rejects
 from gaugeworks.schema import RAW, STATION_META
 
 # Fixed words of the export format.
 TABLE_HEADER = r"^Datum;"
-PREAMBLE_LINE = r'^"?[^;"]*:"?\s*(;|$)'
+PREAMBLE_LINE = r'^[^;"0-9][^;"]*:\s*(;|$)'
+QUOTED_KEY = r'^"[^;"]*:"?\s*(;|$)'
 KEY_STATION_ID = "Messstellen-Nr."
 KEY_STATION_NAME = "Messstellen-Name"
 KEY_RIVER = "Gewässer"
@@ -31,6 +36,8 @@ KEY_TIME_REF = "Zeitbezug"
 KEY_EASTING = "Ostwert"
 KEY_NORTHING = "Nordwert"
 KEY_GAUGE_ZERO = "Pegelnullpunktshöhe"
+KEY_QUERIED = "Datenbankabfrage"
+DATE_IN_NAME = r"_(\d{2}\.\d{2}\.\d{4})_[^/]*$"
 STATION_IN_PATH = r"/(\d+)_[^/]*$"
 FOLDER_IN_PATH = r"([^/]+)/[^/]*$"
 
@@ -52,7 +59,12 @@ def export_paths(root: str, station: str | int = "*") -> list[str]:
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of the exports with the file each came from."""
     return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"),
-                                         F.trim(F.replace("value", F.lit("﻿"), F.lit(""))).alias("line"))
+                                         line_text().alias("line"))
+
+
+def line_text() -> Column:
+    """A line without byte order mark and outer blanks."""
+    return F.trim(F.replace("value", F.lit("﻿"), F.lit("")))
 
 
 def _is_header() -> Column:
@@ -174,7 +186,8 @@ def parse_rows(rows: DataFrame) -> DataFrame:
         "value": decimal_comma("value_text"),
     }).withColumn(
         "reject_reason",
-        F.when(F.col("parameter").isNull(), "no_header")
+        F.when(F.col("line").rlike(QUOTED_KEY) & ~F.col("line").rlike(r'^"\d'), "bad_preamble")
+        .when(F.col("parameter").isNull(), "no_header")
         .when(F.col("station_id").isNull(), "no_station")
         .when(F.col("n_fields") < 3, "short_row")
         .when(F.col("ts").isNull(), "bad_ts")
@@ -182,6 +195,25 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     return evaluated_once(parsed)
 
 
+def name_date(path: str) -> Column:
+    """The date in a file's name as midnight of that day."""
+    return parse_german_ts(F.concat(F.regexp_extract(path, DATE_IN_NAME, 1), F.lit(" 00:00")))
+
+
+def queried_at() -> Column:
+    """When a file was queried, as sortable text: from its preamble, otherwise the date in its name."""
+    said = parse_german_ts(F.element_at("raw_meta", KEY_QUERIED))
+    return F.coalesce(said, name_date("file_path")).cast("string")
+
+
+def line_balance(lines: DataFrame) -> DataFrame:
+    """Lines per file by kind; the kinds add up to ``n_lines``."""
+    row = ~_is_meta() & ~_is_header() & (F.col("line") != "")
+    return lines.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(_is_meta()).alias("n_meta"), F.count_if(_is_header()).alias("n_header"),
+        F.count_if(row).alias("n_rows"), F.count_if(F.col("line") == "").alias("n_blank"))
+
+
 def store_meta(lines: DataFrame, path: str) -> DataFrame:
     """Write the per-file metadata of ``lines`` to ``path`` and read it back.
 
@@ -204,18 +236,17 @@ def parse_export(lines: DataFrame, meta: DataFrame | None = None, identity: str
     if meta is None:
         meta = file_meta(lines)
     if identity == "path":
-        rows = identity_from_path(rows)
+        rows = identity_from_path(rows).withColumn("fetched_at", name_date("file_path").cast("string"))
     elif identity == "header":
-        rows = rows.join(meta.select("file_path", "station_id", "parameter"), "file_path", "left")
+        rows = rows.join(meta.select("file_path", "station_id", "parameter", queried_at().alias("fetched_at")), "file_path", "left")
     else:
         raise ValueError("identity must be 'header' or 'path'")
     good, rejects = split_rejects(parse_rows(rows))
-    raw = good.select(*RAW.names, F.col("file_path").alias("source_file"))
+    raw = good.select(*RAW.names, F.col("file_path").alias("source_file"), "fetched_at")
     return Export(raw, rejects.select("file_path", "line", "reject_reason"), meta)
 
 
 def read_export(spark: SparkSession, paths: str | list[str], meta: DataFrame | None = None,
                 identity: str = "header") -> Export:
-    """``parse_export`` on files."""
-    export = parse_export(read_lines(spark, paths), meta, identity)
-    return export._replace(raw=export.raw.select(*RAW.names))
+    """``parse_export`` on files; rows keep the file and the time of its query, which order overlapping exports."""
+    return parse_export(read_lines(spark, paths), meta, identity)

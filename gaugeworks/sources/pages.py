@@ -24,10 +24,28 @@ def _element(tag: str) -> str:
     return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
 
 
+# Named character references of the page text, ``&amp;`` last so that nothing is read twice.
+ENTITIES = {"&nbsp;": " ", "&minus;": "-", "&deg;": "°", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
+            "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&Auml;": "Ä", "&Ouml;": "Ö", "&Uuml;": "Ü"}
+CODED = r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
+
+
+def _decoded(text: Column) -> Column:
+    """Numeric character references replaced one part at a time; most texts have none."""
+    parts = F.split(F.regexp_replace(text, CODED, "\u0001$0\u0001"), "\u0001")
+    code = lambda p: F.coalesce(F.regexp_extract(p, CODED, 1).try_cast("int"), F.conv(F.regexp_extract(p, CODED, 2), 16, 10).try_cast("int"))
+    wide = lambda p: F.decode(F.unhex(F.lpad(F.hex(code(p)), 8, "0")), "UTF-32")
+    valid = lambda p: p.rlike("^" + CODED + "$") & code(p).between(1, 0x10FFFF) & ~code(p).between(0xD800, 0xDFFF)
+    return F.when(text.rlike(CODED), F.array_join(F.transform(parts, lambda p: F.when(valid(p), wide(p)).otherwise(p)), "")).otherwise(text)
+
+
 def plain_text(c: ColumnLike) -> Column:
-    """Text of a fragment without tags, with blanks folded."""
-    bare = F.regexp_replace(_col(c), r"(?s)<[^>]*>", "")
-    return F.trim(F.regexp_replace(F.replace(bare, F.lit("&nbsp;"), F.lit(" ")), r"\s+", " "))
+    """Text of a fragment without tags, character references resolved, blanks folded."""
+    text = _decoded(F.regexp_replace(_col(c), r"(?s)<[^>]*>", ""))
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.replace(F.replace(text, F.lit("&amp;"), F.lit("&")), F.lit("\u00a0"), F.lit(" "))
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("\u2212"), F.lit("-")), r"\s+", " "))
 
 
 def html_rows(pages: DataFrame, container: str = "table", row: str = "tr", cell: str = "td",

@@ -25,6 +25,16 @@ def normalise_daily(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DAILY.fields])
 
 
+def stored_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A stored series; folder names of parameters are text even where they look like numbers."""
+    paths = [path] if isinstance(path, str) else path
+    df = spark.read.parquet(*paths)
+    if isinstance(df.schema["parameter"].dataType, T.StringType):
+        return df
+    text = [T.StructField(f.name, T.StringType()) if f.name == "parameter" else f for f in df.schema.fields]
+    return spark.read.schema(T.StructType(text)).parquet(*paths)
+
+
 def _series_filter(df: DataFrame, parameter, stations) -> DataFrame:
     if parameter is not None:
         df = df.filter(F.col("parameter") == parameter)
@@ -37,7 +47,7 @@ def read_raw(spark: SparkSession, path: str | list[str], parameter: str | None =
              stations: list[int] | None = None, start=None, end=None,
              end_inclusive_day: bool = False) -> DataFrame:
     """Raw series; parameter and range prune folders, all predicates reach the files."""
-    df = _series_filter(spark.read.parquet(*([path] if isinstance(path, str) else path)), parameter, stations)
+    df = _series_filter(stored_table(spark, path), parameter, stations)
     if isinstance(df.schema["ts"].dataType, T.StringType):
         return ts_between(normalise_raw(df), start, end, end_inclusive_day)
     return normalise_raw(ts_between(df, start, end, end_inclusive_day))
@@ -46,7 +56,7 @@ def read_raw(spark: SparkSession, path: str | list[str], parameter: str | None =
 def read_daily(spark: SparkSession, path: str | list[str], parameter: str | None = None,
                stations: list[int] | None = None, start=None, end=None) -> DataFrame:
     """Daily series."""
-    df = _series_filter(spark.read.parquet(*([path] if isinstance(path, str) else path)), parameter, stations)
+    df = _series_filter(stored_table(spark, path), parameter, stations)
     stored_by_year = "year" in df.columns
     if start is not None:
         first = as_date(start)

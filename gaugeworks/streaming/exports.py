@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks.plans.refresh import merge_into_store, stage_name
 from gaugeworks.session import shared_dir
-from gaugeworks.sources.exports import parse_export, store_meta
+from gaugeworks.sources.exports import line_text, parse_export, store_meta
 
 
 def export_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -18,11 +18,11 @@ def export_stream(spark: SparkSession, path: str, max_files_per_trigger: int | N
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.trim(F.replace("value", F.lit("﻿"), F.lit(""))).alias("line"))
+        line_text().alias("line"))
 
 
 def start_ingest(lines: DataFrame, raw_path: str, checkpoint: str, daily_path: str | None = None,
-                 rejects_path: str | None = None, scale: int | None = None,
+                 rejects_path: str | None = None, scale: int | None = None, identity: str = "header",
                  available_now: bool = False) -> StreamingQuery:
     """ST7: parse the files of each micro-batch and merge them into the stored series.
 
@@ -30,7 +30,7 @@ def start_ingest(lines: DataFrame, raw_path: str, checkpoint: str, daily_path: s
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
         stage = f"{shared_dir(batch.sparkSession).rstrip('/')}/{stage_name('files', raw_path)}"
-        export = parse_export(batch, store_meta(batch, stage))
+        export = parse_export(batch, store_meta(batch, stage), identity)
         if rejects_path is not None:
             export.rejects.write.mode("overwrite").json(f"{rejects_path}/batch={batch_id}")
         merge_into_store(batch.sparkSession, export.raw, raw_path, f"{checkpoint}#{batch_id}",

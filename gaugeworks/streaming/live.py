@@ -2,8 +2,9 @@
 
 Watermarks need ``TIMESTAMP``, so ``ts`` is cast when a stream gets one and cast
 back in the sink; keep the session time zone at UTC. Lateness is measured in
-event time: a reading older than the newest one by more than the delay is
-ignored, whatever file it comes in.
+event time. Merges need no watermark and lose nothing; the append sinks of ST2 and the
+rollups of ST5 leave out a reading older than the newest one by more than the delay,
+and ``start_merge`` on the same source is where such readings are kept.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks.functions.scalars import hour_label
 from gaugeworks.operators.rollup import summand
-from gaugeworks.plans.refresh import merge_into_store
+from gaugeworks.plans.refresh import parquet_or_empty, merge_into_store, stage_name
 from gaugeworks.schema import KEYS
+from gaugeworks.session import shared_dir
 from gaugeworks.sources.live import (
     LIVE_WITH_CORRUPT, json_reader_options, kind_of_path, live_to_raw, type_live,
 )
@@ -56,7 +58,9 @@ def start_merge(readings: DataFrame, raw_path: str, checkpoint: str, daily_path:
                 available_now: bool = False) -> StreamingQuery:
     """ST3: merge each micro-batch into the stored series, last wins.
 
-    A batch that is run again after a failure is recognised by its run id.
+    The merge takes late and repeated readings as it finds them, so ``readings`` needs no
+    watermark (feed it from ``live_stream``) and nothing is lost for being late. A batch
+    that is run again after a failure is recognised by its run id.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         merge_into_store(batch.sparkSession, naive(batch), raw_path, f"{checkpoint}#{batch_id}",
@@ -86,28 +90,37 @@ def rollup_stream(readings: DataFrame, width: str = "1 day", scale: int | None =
 
 def start_rollup(partials: DataFrame, path: str, checkpoint: str,
                  available_now: bool = False) -> StreamingQuery:
-    """ST5: store each emission in folders of its dates and its batch.
+    """ST5: keep the last emitted state of every window, one folder per date.
 
-    A repeated batch replaces its folders, and a reader of some dates opens only
-    their emissions.
+    A batch is joined with the stored state of its dates and staged before those folders
+    are replaced, so the table does not grow with the number of batches and a batch that
+    is repeated changes nothing.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("emission", F.lit(batch_id).cast("bigint")).hint("rebalance", "date")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("date", "emission").parquet(path))
+        spark = batch.sparkSession
+        stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('rollup', path)}"
+        emitted = batch.withColumn("emission", F.lit(batch_id).cast("bigint"))
+        emitted.write.mode("overwrite").parquet(f"{stage}/new")
+        new = spark.read.schema(emitted.schema).parquet(f"{stage}/new")
+        stored = parquet_or_empty(spark, path, emitted.schema).join(new.select("date").distinct(), "date", "left_semi")
+        state = latest_emission(stored.unionByName(new), keep_emission=True)
+        state.write.mode("overwrite").parquet(f"{stage}/state")
+        (spark.read.schema(state.schema).parquet(f"{stage}/state").hint("rebalance", "date")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
 
     writer = partials.writeStream.outputMode("update").foreachBatch(store)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest_emission(emitted: DataFrame) -> DataFrame:
+def latest_emission(emitted: DataFrame, keep_emission: bool = False) -> DataFrame:
     """ST5: last emitted state of every window; feeds ``merge_partials`` and ``daily_from_partials``."""
     keys = [*KEYS, "window_start", "date", "status"]
     state = ["n_rows", "n_values", "total", "min", "max", "first_ts"]
     return (emitted.groupBy(*keys)
-            .agg(F.max_by(F.struct(*state), F.col("emission").cast("bigint")).alias("s"))
-            .select(*keys, "s.*"))
+            .agg(F.max_by(F.struct(*state, F.col("emission").cast("bigint").alias("emission")),
+                          F.col("emission").cast("bigint")).alias("s"))
+            .select(*keys, *[f"s.{c}" for c in state], *(["s.emission"] if keep_emission else [])))
 
 
 def hourly_from_partials(partials: DataFrame) -> DataFrame:

@@ -8,14 +8,13 @@ from gaugeworks.schema import RAW
 
 STATION = 90001234
 
-# A day of quarter-hour levels in cm and temperatures in tenths of a degree, from 00:00.
-LEVELS = [94, 94, 94, 95, 94, 94, 93, 93, 94, 94, 93, 93, 93, 93, 93, 93, 94, 93, 93, 94, 94, 93, 93, 93,
-          93, 93, 93, 93, 93, 93, 93, 93, 94, 94, 94, 94, 94, 94, 93, 92, 93, 93, 93, 92, 92, 92, 92, 92]
-TENTHS = [43, 43, 42, 42] + [42] * 4 + [42, 42, 43, 43] + [43] * 39
+# Half a day of quarter-hour levels in cm, and temperatures in tenths of a degree, from a formula.
+LEVELS = [200 + (7 * i * i + 3 * i) % 23 for i in range(48)]
+TENTHS = [100 + (5 * i * i + i) % 17 for i in range(51)]
 
 PREAMBLE = [
-    "﻿Quelle:;\"Pegeldienst, www.example.org\"",
-    "Datenbankabfrage:;\"26.12.2025 11:50\"",
+    "\ufeffQuelle:;\"Pegeldienst, www.example.org\"",
+    "Datenbankabfrage:;\"03.04.2031 07:20\"",
     "Zeitbezug:;MEZ",
     "Messstellen-Name:;Beispielstadt",
     f"Messstellen-Nr.:;{STATION}",
@@ -24,17 +23,17 @@ PREAMBLE = [
 
 
 def clock(i: int) -> str:
-    return (dt.datetime(2025, 12, 26) + dt.timedelta(minutes=15 * i)).strftime("%Y-%m-%d %H:%M")
+    return (dt.datetime(2031, 4, 3) + dt.timedelta(minutes=15 * i)).strftime("%Y-%m-%d %H:%M")
 
 
 def level_lines() -> list[str]:
-    head = [*PREAMBLE, 'Ostwert:;693161;Nordwert:;5335716;"ETRS89 / UTM Zone 32N"',
-            'Pegelnullpunktshöhe:;"500,33 m NHN (DHHN2016)"', "", 'Datum;"Wasserstand [cm]";Prüfstatus']
+    head = [*PREAMBLE, 'Ostwert:;400100;Nordwert:;5200200;"Musternetz 1"',
+            'Pegelnullpunktshöhe:;"123,45 m MH"', "", 'Datum;"Wasserstand [cm]";Prüfstatus']
     return head + [f'"{clock(i)}";{v},00;Rohdaten' for i, v in enumerate(LEVELS)]
 
 
 def temperature_lines() -> list[str]:
-    head = [*PREAMBLE, 'Ostwert:;693170;Nordwert:;5335733;"ETRS89 / UTM Zone 32N"', "",
+    head = [*PREAMBLE, 'Ostwert:;400300;Nordwert:;5200400;"Musternetz 1"', "",
             'Datum;"Wassertemperatur [°C]";Prüfstatus']
     rows = [f'"{clock(i)}";{v // 10},{v % 10};Rohdaten' for i, v in enumerate(TENTHS)]
     return [*head, *rows, f'"{clock(len(TENTHS))}";;Rohdaten']
@@ -44,7 +43,7 @@ def write_exports(root) -> str:
     for folder, lines in (("wasserstand", level_lines()), ("bach-wassertemperatur", temperature_lines())):
         path = root / folder
         path.mkdir(parents=True, exist_ok=True)
-        (path / f"{STATION}_26.12.2025_ezw_0.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        (path / f"{STATION}_03.04.2031_ezw_0.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
     return str(root)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from gauge_data import STATION, level_lines, write_exports
+from gauge_data import LEVELS, STATION, TENTHS, clock, level_lines, write_exports
 from gaugeworks.operators.records import records
 from gaugeworks.operators.rollup import daily_rollup, hourly_mean
 from gaugeworks.plans.refresh import ingest_exports
@@ -30,13 +30,21 @@ def by_parameter(df):
     return {r["parameter"]: r for r in df.collect()}
 
 
+def brute(values):
+    """Readings as (clock, value) of one parameter, from the formula of the fixture."""
+    return [(clock(i), v) for i, v in enumerate(values)]
+
+
+LEVEL, TEMPERATURE = brute([float(v) for v in LEVELS]), brute([v / 10 for v in TENTHS])
+
+
 def test_row_counts(export):
     got = export.raw.groupBy("parameter").agg(F.count("*").alias("n"), F.count("value").alias("v"),
                                               F.min("ts").cast("string").alias("lo"),
                                               F.max("ts").cast("string").alias("hi"))
     rows = {r["parameter"]: tuple(r)[1:] for r in got.collect()}
-    assert rows == {"water_level_cm": (48, 48, "2025-12-26 00:00:00", "2025-12-26 11:45:00"),
-                    "water_temperature_c": (52, 51, "2025-12-26 00:00:00", "2025-12-26 12:45:00")}
+    assert rows == {"water_level_cm": (48, 48, "2031-04-03 00:00:00", "2031-04-03 11:45:00"),
+                    "water_temperature_c": (52, 51, "2031-04-03 00:00:00", "2031-04-03 12:45:00")}
     assert export.rejects.count() == 0
 
 
@@ -45,42 +53,56 @@ def test_metadata(export):
     level, temperature = meta["water_level_cm"], meta["water_temperature_c"]
     assert (level.station_id, level.station_name, level.river, level.time_ref) == (
         STATION, "Beispielstadt", "Musterbach", "MEZ")
-    assert (level.easting, level.northing, level.coord_ref) == (693161, 5335716, "ETRS89 / UTM Zone 32N")
-    assert (temperature.easting, temperature.northing) == (693170, 5335733)
-    assert level.gauge_zero == "500,33 m NHN (DHHN2016)" and temperature.gauge_zero is None
-    assert level.raw_meta["Datenbankabfrage"] == "26.12.2025 11:50"
+    assert (level.easting, level.northing, level.coord_ref) == (400100, 5200200, "Musternetz 1")
+    assert (temperature.easting, temperature.northing) == (400300, 5200400)
+    assert level.gauge_zero == "123,45 m MH" and temperature.gauge_zero is None
+    assert level.raw_meta["Datenbankabfrage"] == "03.04.2031 07:20"
+    assert {r.fetched_at for r in export.raw.collect()} == {"2031-04-03 07:20:00"}
 
 
-def test_golden_daily(export):
+def test_daily(export):
     rows = by_parameter(daily_rollup(export.raw, 2))
-    level, temperature = rows["water_level_cm"], rows["water_temperature_c"]
-    assert (level["count"], level["mean"], level["min"], level["max"], level["status_mode"]) == (
-        48, 93.25, 92.0, 95.0, "Rohdaten")
-    assert (temperature["count"], temperature["mean"], temperature["min"], temperature["max"]) == (
-        51, 218.5 / 51, 4.2, 4.3)
+    for name, readings in (("water_level_cm", LEVEL), ("water_temperature_c", TEMPERATURE)):
+        values, row = [v for _, v in readings], rows[name]
+        assert (row["count"], row["min"], row["max"], row["status_mode"]) == (len(values), min(values), max(values), "Rohdaten")
+        assert row["mean"] == pytest.approx(sum(values) / len(values), abs=1e-9)
 
 
-def test_golden_hourly(export):
+def test_hourly(export):
     rows = hourly_mean(export.raw, scale=2).orderBy("parameter", "x").collect()
-    level = [r.y for r in rows if r.parameter == "water_level_cm"]
-    temperature = [r.y for r in rows if r.parameter == "water_temperature_c"]
-    assert level == [94.25, 93.5, 93.5, 93.0, 93.5, 93.25, 93.0, 93.0, 94.0, 93.25, 92.75, 92.0]
-    assert temperature == pytest.approx([4.25, 4.2, 4.25] + [4.3] * 10, abs=1e-9)
-    assert rows[0].x == "2025-12-26 00:00:00"
+    for name, readings in (("water_level_cm", LEVEL), ("water_temperature_c", TEMPERATURE)):
+        hours: dict[str, list[float]] = {}
+        for at, v in readings:
+            hours.setdefault(at[:13] + ":00:00", []).append(v)
+        got = [(r.x, r.y) for r in rows if r.parameter == name]
+        assert got == [(x, pytest.approx(sum(v) / len(v), abs=1e-9)) for x, v in sorted(hours.items())]
 
 
-def test_golden_records(export):
+def test_records(export):
     rows = by_parameter(records(export.raw))
-    level, temperature = rows["water_level_cm"], rows["water_temperature_c"]
-    assert (str(level.min_ts), level.min_value, str(level.max_ts), level.max_value) == (
-        "2025-12-26 09:45:00", 92.0, "2025-12-26 00:45:00", 95.0)
-    assert (str(temperature.min_ts), temperature.min_value, str(temperature.max_ts), temperature.max_value) == (
-        "2025-12-26 00:30:00", 4.2, "2025-12-26 00:00:00", 4.3)
+    for name, readings in (("water_level_cm", LEVEL), ("water_temperature_c", TEMPERATURE)):
+        low, high = min(readings, key=lambda r: (r[1], r[0])), min(readings, key=lambda r: (-r[1], r[0]))
+        row = rows[name]
+        assert (str(row.min_ts)[:16], row.min_value, str(row.max_ts)[:16], row.max_value) == (*low, *high)
+
+
+@pytest.mark.parametrize("row", ['"2024-01-01 00:";2,0;R', '2024-01-01 00:;2,0;R', '"Messung:";3,0;R', '12:;4;R', 'x', ';;', '"a:b";1;R'])
+def test_every_line_is_accounted_for(spark, row):
+    text = lines(spark, [*level_lines(), row, ""])
+    export = exports.parse_export(text)
+    (n,) = exports.line_balance(text).collect()
+    assert n.n_lines == n.n_meta + n.n_header + n.n_rows + n.n_blank == len(level_lines()) + 2
+    assert n.n_rows == 49 and export.raw.count() == 48
+    (reject,) = export.rejects.collect()
+    assert reject.reject_reason == ("bad_preamble" if row.startswith('"Mess') else "short_row" if row == "x" else "bad_ts")
+    assert exports.file_meta(text).first().raw_meta.keys() == exports.file_meta(lines(spark, level_lines())).first().raw_meta.keys()
 
 
 def test_identity_from_path_equals_header(spark, root, export):
     by_path = exports.read_export(spark, exports.export_paths(root, STATION), identity="path").raw
-    assert by_path.exceptAll(export.raw).count() == 0 and export.raw.exceptAll(by_path).count() == 0
+    assert {r.fetched_at for r in by_path.collect()} == {"2031-04-03 00:00:00"}
+    by_path, raw = by_path.drop("fetched_at"), export.raw.drop("fetched_at")
+    assert by_path.exceptAll(raw).count() == 0 and raw.exceptAll(by_path).count() == 0
 
 
 def test_missing_station_is_an_error(spark, root):
@@ -131,13 +153,13 @@ def test_canonical_metadata_is_the_first_file(spark):
 
 def test_ingest_job(spark, root, tmp_path):
     out = ingest_exports(spark, exports.export_paths(root, STATION), str(tmp_path / "out"), scale=2)
-    raw = read_raw(spark, out.raw, parameter="water_level_cm", start="2025-12-26 06:00:00", end="2025-12-26 07:00:00")
+    raw = read_raw(spark, out.raw, parameter="water_level_cm", start="2031-04-03 06:00:00", end="2031-04-03 07:00:00")
     assert raw.count() == 5
-    assert read_daily(spark, out.daily, start="2025-12-26", end="2025-12-26").count() == 2
-    assert read_daily(spark, out.daily, start="2025-12-27").count() == 0
+    assert read_daily(spark, out.daily, start="2031-04-03", end="2031-04-03").count() == 2
+    assert read_daily(spark, out.daily, start="2031-04-04").count() == 0
     doc = spark.read.json(out.meta).first()
     assert len(doc.water_level_files) == 1 and len(doc.water_temperature_files) == 1
-    assert doc.station.station_name == "Beispielstadt" and doc.station.gauge_zero.startswith("500,33")
+    assert doc.station.station_name == "Beispielstadt" and doc.station.gauge_zero.startswith("123,45")
 
 
 def test_overlapping_exports_count_twice_unless_deduplicated(spark, root, tmp_path):

@@ -41,7 +41,7 @@ def root(tmp_path):
 
 
 def test_last_files_and_rejects(spark, root):
-    good, rejects = live.read_live(spark, root, DAY)
+    good, rejects = live.read_live(spark, root, DAY, 7)
     raw = live.live_to_raw(good)
     got = sorted((r.parameter, str(r.ts), r.value, r.status) for r in raw.collect())
     assert got == [
@@ -62,7 +62,7 @@ def test_revision_wins_the_merge(spark, root):
 
 
 def test_latest_is_by_time_and_fetch(spark, root):
-    raw = live.live_to_raw(live.read_live(spark, root, DAY)[0])
+    raw = live.live_to_raw(live.read_live(spark, root, DAY, 7)[0])
     got = {r.parameter: (str(r.ts)[11:16], r.value) for r in live.latest_live(raw).collect()}
     assert got == {"water_level_cm": ("17:00", 0.0), "water_temperature_c": ("16:00", 4.1)}
     early = raw.filter(F.hour("ts") < 17)
@@ -81,7 +81,21 @@ def test_live_lines_round_trip(spark, tmp_path):
     assert got == [("water_level_cm", 87.0, "f1", 1769353200, "2026-01-25", "cm"),
                    ("water_level_cm", 87.0, "f2", 1769353200, "2026-01-25", "cm"),
                    ("water_temperature_c", 4.1, "f1", 1769353200, "2026-01-25", "°C")]
-    assert live.read_live(spark, path, "2026-01-25")[0].count() == 4
+    assert live.read_live(spark, path, "2026-01-25", 7)[0].count() == 4
+
+
+def test_files_left_out_are_listed(spark, root):
+    got = {(r.path.rsplit("/", 1)[1], str(r.date)) for r in live.left_out_files(spark, root, DAY, 7).collect()}
+    assert got == {("water_level_2026-01-18.jsonl", "2026-01-18"), ("water_level_2026-01-26.jsonl", "2026-01-26")}
+
+
+def test_a_reading_from_the_future_is_rejected(spark, tmp_path):
+    write(tmp_path / "live", f"water_level_{DAY}.jsonl", [
+        reading("16:00", 87, fetched=f"{DAY}T16:05:00"), reading("16:00", 1, fetched="2026-01-23T00:00:00"),
+        reading("16:00", 2, timestamp="2099-01-01T00:00:00", fetched=f"{DAY}T16:05:00Z")])
+    good, rejects = live.read_live(spark, str(tmp_path / "live"), DAY, 7)
+    assert [r.value for r in good.collect()] == [87.0]
+    assert [r.reject_reason for r in rejects.collect()] == ["future_ts"] * 2
 
 
 def files_opened(node):
@@ -91,7 +105,7 @@ def files_opened(node):
 
 
 def test_only_the_named_days_are_opened(spark, root):
-    good, _ = live.read_live(spark, root, DAY)
+    good, _ = live.read_live(spark, root, DAY, 7)
     good.collect()
     assert files_opened(good._jdf.queryExecution().executedPlan()) == 3
 
@@ -100,6 +114,11 @@ def test_snapshot_is_newest_first_and_bounded_by_day(spark):
     raw = raw_rows(spark, [("2026-01-25 16:00", 87, "x"), ("2026-01-25 17:00", 88, "x"), ("2026-01-24 16:00", 86, "x")])
     docs = {str(r.window_start)[:10]: [m.value for m in r.measurements] for r in sinks.snapshot(raw).collect()}
     assert docs == {"2026-01-25": [88.0, 87.0], "2026-01-24": [86.0]}
+    sent = raw_rows(spark, [("2026-01-25 16:00", v, "x") for v in (1, 2, 3)]).withColumns(
+        {"fetched_at": F.col("value").cast("string"), "station_name": F.lit("Pegel")})
+    (doc,) = sinks.snapshot(sent).collect()
+    assert (doc.station_name, doc.fetched_at) == ("Pegel", "3.0")
+    assert [(m.value, m.unit, m.n_sent) for m in doc.measurements] == [(3.0, "cm", 3)]
 
 
 def test_local_epoch_in_summer_and_winter(spark):
@@ -122,6 +141,9 @@ def test_decimal_comma(spark, text, want):
 @pytest.mark.parametrize("text,want", [
     ("1328434200000", "2012-02-05 09:30:00"), ("2026-01-25T17:00:00", "2026-01-25 17:00:00"),
     ("2026-01-25 17:00", "2026-01-25 17:00:00"), ("2026-01-25", "2026-01-25 00:00:00"), ("gestern", None),
+    ("2026-01-25T17:00:00Z", "2026-01-25 17:00:00"), ("2026-01-25T17:00:00.1234567Z", "2026-01-25 17:00:00.123456"),
+    ("2026-01-25T17:00:00+0130", "2026-01-25 15:30:00"), ("2026-01-25 17:00-02:00", "2026-01-25 19:00:00"),
+    ("2026-01-25T17:00:00.123456789", "2026-01-25 17:00:00.123456"), ("2026-01-2517", None), ("2026-01-25 17:001", None),
     ("2026-13-25", None), ("99999999999999999999", None)])
 def test_mixed_timestamps(spark, text, want):
     got = scalar(spark, S.mixed_ts(F.lit(text)))

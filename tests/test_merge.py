@@ -146,3 +146,72 @@ def test_an_empty_batch_changes_nothing(spark, tmp_path):
     refresh.merge_into_store(spark, empty, raw_path, "run-2", daily_path=daily_path)
     assert values(read_raw(spark, raw_path)) == {"10:00": 7.0, "11:00": 1.0}
     assert read_daily(spark, daily_path).first()["count"] == 2
+
+
+def test_rows_without_a_key_or_an_instant_go_to_the_rejects(spark, tmp_path):
+    raw_path = str(tmp_path / "raw")
+    write_raw(raw_rows(spark, [(D + "10:00", 5, "x")]), raw_path)
+    bad = raw_rows(spark, [(D + "10:00", 1, "x")]).withColumn("parameter", F.lit(None).cast("string"))
+    bad = bad.unionByName(raw_rows(spark, [(None, 2, "x")]))
+    refresh.merge_into_store(spark, bad.unionByName(raw_rows(spark, [(D + "11:00", 6, "x")])), raw_path, "run/1")
+    assert values(read_raw(spark, raw_path)) == {"10:00": 5.0, "11:00": 6.0}
+    assert sorted(r.value for r in spark.read.json(f"{raw_path}_rejects").collect()) == [1.0, 2.0]
+
+
+def test_parameters_that_look_like_numbers_stay_text(spark, tmp_path):
+    raw_path, daily_path = str(tmp_path / "raw"), str(tmp_path / "daily")
+    rows = raw_rows(spark, [(D + "10:00", 5, "x")], 1, "007")
+    write_raw(rows, raw_path)
+    write_daily(daily_rollup(rows), daily_path)
+    refresh.merge_into_store(spark, raw_rows(spark, [(D + "10:00", 6, "x")], 1, "007"), raw_path, "r", daily_path=daily_path)
+    assert [(r.parameter, r.value) for r in read_raw(spark, raw_path).collect()] == [("007", 6.0)]
+    assert [(r.parameter, r.mean) for r in read_daily(spark, daily_path, "007").collect()] == [("007", 6.0)]
+
+
+def test_a_merge_rewrites_the_groups_of_its_stations_only(spark, tmp_path):
+    raw_path = str(tmp_path / "raw")
+    stored = raw_rows(spark, [(D + "10:00", 1, "x")], 1)
+    for station in range(2, 20):
+        stored = stored.unionByName(raw_rows(spark, [(D + "10:00", 1, "x")], station))
+    write_raw(stored, raw_path)
+    before = files_of(spark, raw_path)
+    refresh.merge_into_store(spark, raw_rows(spark, [(D + "11:00", 2, "x")], 1), raw_path, "run")
+    after = files_of(spark, raw_path)
+    gone = {p.rsplit("/", 1)[0] for p in before if p not in after}
+    assert len(gone) == 1 and read_raw(spark, raw_path).count() == 20
+
+
+def test_an_unreadable_store_is_not_taken_for_an_empty_one(spark, tmp_path):
+    (tmp_path / "raw" / "parameter=x").mkdir(parents=True)
+    (tmp_path / "raw" / "parameter=x" / "a.parquet").write_text("no parquet")
+    try:
+        refresh.merge_into_store(spark, new_rows(spark), str(tmp_path / "raw"), "run")
+    except Exception:
+        pass
+    assert (tmp_path / "raw" / "parameter=x" / "a.parquet").read_text() == "no parquet"
+
+
+def test_stages_of_similar_paths_differ(spark, tmp_path):
+    assert refresh.stage_name("merge", "/x/a-b") != refresh.stage_name("merge", "/x/a_b")
+
+
+def test_a_run_is_published_to_the_targets_it_was_staged_with(spark, tmp_path, monkeypatch):
+    raw_path, daily_path = str(tmp_path / "raw"), str(tmp_path / "daily")
+
+    def lost(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(refresh, "replace_daily", lost)
+        try:
+            refresh.merge_into_store(spark, new_rows(spark), raw_path, "run-1", daily_path=daily_path)
+        except RuntimeError:
+            pass
+    refresh.merge_into_store(spark, new_rows(spark), raw_path, "run-1")
+    assert read_daily(spark, daily_path).first()["count"] == 2
+
+
+def test_the_export_queried_last_wins(spark):
+    old = raw_rows(spark, [(D + "10:00", 90, "x")]).withColumns({"fetched_at": F.lit("2025-12-26 11:50:00"), "source_file": F.lit("b")})
+    new = raw_rows(spark, [(D + "10:00", 50, "x")]).withColumns({"fetched_at": F.lit("2026-01-02 08:00:00"), "source_file": F.lit("a")})
+    assert values(merge.dedup_last(old.unionByName(new))) == {"10:00": 50.0}

@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from gaugeworks.plans import registry
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -30,10 +30,10 @@ def plain(v):
     return "NaN" if isinstance(v, float) and math.isnan(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    sql = entry.oracle_sql().get(name)
+    df = registry.QUERIES[name](spark, SF_DIR)
+    sql = registry.ORACLES.get(name)
     columns = sorted(df.columns)
     got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
     assert got, "no rows"

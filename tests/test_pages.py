@@ -77,7 +77,7 @@ def test_catalogue(spark):
         station("u2", "B", None)], CATALOGUE)
     rows = catalogue.flatten_catalogue(df).collect()
     shown = [r for r in rows if r.uuid == "u1" and r.series == "LEVEL"]
-    assert [r.value_shortname for r in shown] == ["V0", "V1", "V2", "V3", "V4"]
+    assert [r.value_shortname for r in shown] == [f"V{i}" for i in range(7)]
     empty = [r for r in rows if r.series == "N/A"][0]
     assert (empty.uuid, empty.water, empty.value_value) == ("u2", "N/A", None)
     no_values = [r for r in rows if r.series == "TEMP"][0]
@@ -95,14 +95,29 @@ def test_last_search_wins(spark):
 
 def test_update_plan(spark, tmp_path):
     for name, text in (("new/a.csv", "1"), ("new/b.csv", "12"), ("new/deep/c.csv", "123"), ("new/d.txt", "x"),
-                       ("old/b.csv", "12"), ("old/c.csv", "1")):
+                       ("old/b.csv", "12"), ("old/deep/c.csv", "1"), ("new/deep/b.csv", "12"), ("old/deep/d.csv", "1")):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     updates = manifest.list_exports(spark, str(tmp_path / "new"))
     target = manifest.list_exports(spark, str(tmp_path / "old"))
     for policy, applied in (("skip", False), ("overwrite", True), ("backup", True)):
-        got = {r.name: (r.action, r.applied) for r in manifest.plan_updates(updates, target, policy).collect()}
-        assert got == {"a.csv": ("copy", True), "b.csv": ("already_applied", True), "c.csv": (policy, applied)}
+        got = {f"{r.folder}/{r.name}": (r.action, r.applied) for r in manifest.plan_updates(updates, target, policy).collect()}
+        assert got == {"/a.csv": ("copy", True), "/b.csv": ("already_applied", True), "deep/b.csv": ("copy", True),
+                       "deep/c.csv": (policy, applied)}
     with pytest.raises(ValueError):
         manifest.plan_updates(updates, target, "ask")
+
+
+def test_one_of_several_targets_of_equal_length_is_enough(spark):
+    updates = spark.createDataFrame([("f", "a.csv", 5)], "folder string, name string, length bigint")
+    target = spark.createDataFrame([("f", "a.csv", 5), ("f", "a.csv", 9), ("g", "a.csv", 1)], updates.schema)
+    assert [r.action for r in manifest.plan_updates(updates, target).collect()] == ["already_applied"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("a &amp; b", "a & b"), ("12,5&nbsp;&#176;C", "12,5 °C"), ("&minus;3", "-3"), ("&#x2212;4&#8722;", "-4-"), ("&amp;lt;", "&lt;"),
+    ("<b>1</b>&#xA0;2", "1 2"), ("&#128167; &#0;", "\U0001F4A7 &#0;"), ("plain", "plain"), ("&#55296;", "&#55296;")])
+def test_character_references(spark, text, want):
+    from pyspark.sql import functions as F
+    assert spark.range(1).select(pages.plain_text(F.lit(text)).alias("t")).first().t == want

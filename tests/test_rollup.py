@@ -109,13 +109,13 @@ def test_range_end_is_midnight_unless_inclusive(spark):
         "2025-12-26", "2025-12-27"]
 
 
-def test_resolution_is_reset_for_long_presets():
-    assert series.effective_resolution("raw", "week") == "raw"
-    assert series.effective_resolution("raw", "5y") == "daily"
-    assert series.effective_resolution("raw") == "raw"
-    assert series.effective_resolution("hourly", "all") == "hourly"
+def test_the_resolution_asked_for_is_kept_however_long_the_range(spark):
+    raw = raw_rows(spark, [("1990-01-01 00:00", 1, None), ("1990-01-01 00:15", 2, None), (D + "00:00", 3, None)])
+    daily = rollup.daily_rollup(raw)
+    got = series.series(raw, daily, "water_level_cm", "1973-01-01", "2026-01-01", "raw")
+    assert sorted(r.y for r in got.collect()) == [1.0, 2.0, 3.0]
     with pytest.raises(ValueError):
-        series.effective_resolution("weekly")
+        series.series(raw, daily, "water_level_cm", "1973-01-01", "2026-01-01", "weekly")
 
 
 def test_days_covered_counts_whole_periods(spark):
@@ -144,6 +144,8 @@ def test_since_takes_the_value_at_the_latest_time(spark):
 def test_newest_and_latest(spark):
     raw = raw_rows(spark, [(D + f"{h:02d}:00", h, None) for h in range(20)])
     assert [r.value for r in series.newest(raw, 3).orderBy("rank").collect()] == [19.0, 18.0, 17.0]
+    same = raw_rows(spark, [(D + "00:00", v, "x") for v in (3, 9, 5)])
+    assert [r.value for r in series.newest(same, 2).orderBy("rank").collect()] == [9.0, 5.0]
     days = raw_rows(spark, [(f"2025-12-{d:02d} 00:00", d, None) for d in (1, 9, 4)])
     assert one(series.latest_daily(rollup.daily_rollup(days)))["mean"] == 9.0
 
@@ -160,4 +162,4 @@ def test_text_flavours_are_normalised(spark):
 
 def test_start_date_cutoff(spark):
     raw = raw_rows(spark, [("1974-12-31 23:45", 1, None), ("1975-01-01 00:00", 2, None)])
-    assert [r.value for r in series.since_date(raw).collect()] == [2.0]
+    assert [r.value for r in series.since_date(raw, "1975-01-01").collect()] == [2.0]

@@ -8,6 +8,7 @@ import pytest
 
 from gauge_data import STATION, level_lines, raw_rows, temperature_lines, write_exports
 from gaugeworks.operators import rollup
+from gaugeworks.schema import RAW
 from gaugeworks.sinks.store import write_raw
 from gaugeworks.sources.exports import export_paths, read_export
 from gaugeworks.sources.live import live_to_raw, read_live
@@ -47,18 +48,33 @@ def test_refetched_readings_are_dropped_and_malformed_lines_isolated(spark, tmp_
         (7, "water_level_cm", 5.0), (7, "water_level_cm", 6.0)]
 
 
-def test_rows_older_than_the_watermark_are_ignored(spark, tmp_path):
+def test_late_readings_are_merged_and_a_wrong_clock_silences_nobody(spark, tmp_path):
     root = tmp_path / "live"
     root.mkdir()
-    stream = live.dedup_stream(live.live_stream(spark, str(root)))
+    stream = live.live_stream(spark, str(root))
     raw_path, checkpoint = str(tmp_path / "raw"), str(tmp_path / "c")
     drop(root, "water_level_2026-01-25.jsonl", [line(DAY, 5)])
     run(live.start_merge(stream, raw_path, checkpoint, available_now=True))
     drop(root, "water_level_2026-01-26.jsonl", [
-        line(DAY - dt.timedelta(days=8), 1), line(DAY - dt.timedelta(days=6), 2), line(DAY, 5, "again")])
+        line(DAY - dt.timedelta(days=8), 1), line(DAY - dt.timedelta(days=6), 2), line(DAY, 5, "again"),
+        line(dt.datetime(2099, 1, 1), 9, DAY.isoformat())])
+    run(live.start_merge(stream, raw_path, checkpoint, available_now=True))
+    drop(root, "water_level_2026-01-27.jsonl", [line(DAY + dt.timedelta(days=1), 6)])
     run(live.start_merge(stream, raw_path, checkpoint, available_now=True))
     got = sorted((r.ts, r.value) for r in read_raw(spark, raw_path).collect())
-    assert got == [(DAY - dt.timedelta(days=6), 2.0), (DAY, 5.0)]
+    assert got == [(DAY - dt.timedelta(days=8), 1.0), (DAY - dt.timedelta(days=6), 2.0), (DAY, 5.0),
+                   (DAY + dt.timedelta(days=1), 6.0)]
+
+
+def test_batches_of_a_rollup_leave_one_folder_per_date(spark, tmp_path):
+    root, out = tmp_path / "live", str(tmp_path / "partials")
+    for i in range(10):
+        drop(root, f"water_level_2026-01-25_{i}.jsonl", [line(DAY + dt.timedelta(minutes=i), i)])
+    stream = live.with_event_time(live.live_stream(spark, str(root), max_files_per_trigger=1))
+    run(live.start_rollup(live.rollup_stream(stream, "1 day", 1), out, str(tmp_path / "c"), available_now=True))
+    state = spark.read.parquet(out)
+    assert len({p.rsplit("/", 1)[0] for p in state.inputFiles()}) == 1 and state.count() == 1
+    assert live.latest_emission(state).first().n_values == 10
 
 
 def test_stream_merge_equals_batch_merge(spark, tmp_path):
@@ -66,7 +82,7 @@ def test_stream_merge_equals_batch_merge(spark, tmp_path):
     stored = raw_rows(spark, [("2026-01-25 00:00", 1, "Geprueft"), ("2025-12-01 00:00", 9, "Geprueft")], station=7)
     write_raw(stored, raw_path)
     root.mkdir()
-    stream = live.dedup_stream(live.live_stream(spark, str(root), max_files_per_trigger=1))
+    stream = live.live_stream(spark, str(root), max_files_per_trigger=1)
     drop(root, "water_level_2026-01-24.jsonl", [line(DAY - dt.timedelta(hours=1), 3)])
     drop(root, "water_level_2026-01-25.jsonl", [line(DAY, 5, "f1"), line(DAY, 6, "f2"), line(DAY + dt.timedelta(hours=1), 4)])
     run(live.start_merge(stream, raw_path, str(tmp_path / "c"), daily_path, available_now=True))
@@ -89,7 +105,8 @@ def test_rollup_of_the_stream_equals_the_batch(spark, tmp_path, width):
     out = str(tmp_path / "partials")
     run(live.start_rollup(live.rollup_stream(stream, width, scale=1), out, str(tmp_path / "c"), available_now=True))
     state = live.latest_emission(spark.read.parquet(out))
-    batch = live_to_raw(read_live(spark, str(root), "2026-01-27")[0])
+    batch = live_to_raw(read_live(spark, str(root), "2026-01-27", 7)[0])
+    assert all("emission=" not in p for p in spark.read.parquet(out).inputFiles())
     if width == "1 day":
         got, want = rollup.daily_from_partials(state), rollup.daily_rollup(batch, 1)
     else:
@@ -112,6 +129,7 @@ def test_export_files_are_picked_up_once(spark, tmp_path):
     run(exports.start_ingest(stream, raw_path, checkpoint, daily_path, str(tmp_path / "rejects"), 2, available_now=True))
     run(exports.start_ingest(stream, raw_path, checkpoint, daily_path, str(tmp_path / "rejects"), 2, available_now=True))
     batch = read_export(spark, export_paths(str(root), STATION)).raw
+    batch = batch.select(*RAW.names)
     assert sorted(map(str, read_raw(spark, raw_path).collect())) == sorted(map(str, batch.collect()))
     want = sorted(map(str, rollup.daily_rollup(batch, 2).collect()))
     assert sorted(map(str, read_daily(spark, daily_path).collect())) == want
