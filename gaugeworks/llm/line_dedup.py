@@ -33,8 +33,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.withColumn("id", F.xxhash64(F.lit(2), "line"))
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(RARITY_BUCKETS)).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(RARITY_BUCKETS)).cast("int")
 
 
 def rarity_classes(lines: DataFrame) -> bytes:
@@ -43,35 +43,35 @@ def rarity_classes(lines: DataFrame) -> bytes:
     Counted where the lines are; the table has a fixed size. A word is never rated rarer
     than it is.
     """
-    counts = lines.select(F.explode(_words("line")).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("c"))
+    words = lines.select(F.explode(_words("line")).alias("w"))
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("c"))
     table = bytearray(RARITY_BUCKETS)
     for row in counts.collect():  # at most RARITY_BUCKETS rows
         table[row["b"]] = row["c"].bit_length()
     return bytes(table)
 
 
-def _tokens() -> Column:
-    """Distinct shingles of the words ``w`` with their classes ``rated``, rarest first.
+def _with_tokens(lines: DataFrame, classes: bytes) -> DataFrame:
+    """``lines`` with ``tokens`` instead of ``line``: the distinct shingles, rarest first.
 
-    A token is a long: the rarity class of its rarest word on top, 57 bits of hash below,
-    so that the natural order of longs is the order by rarity.
+    A word is a long with its rarity class on top and 57 bits of hash below. A token has
+    the class of its rarest word on top and 57 bits of the hash of its words below, so
+    the natural order of longs is the order by rarity. Words are hashed and rated once
+    per line, not once per shingle.
     """
-    last = F.greatest(F.size("w") - SHINGLE, F.lit(0))
-
-    def shingle(i: Column) -> Column:
-        w = [F.get("w", i + k) for k in range(SHINGLE)]
-        r = F.array_min(F.slice("rated", i + 1, SHINGLE))
-        return F.shiftleft(r, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*w), 64 - _HASH_BITS))
-
-    return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), last), shingle)))
-
-
-def _with_tokens(lines: DataFrame, classes: bytes) -> DataFrame:
-    """``lines`` with ``tokens`` instead of ``line``. Words and classes are evaluated once per line, not per shingle."""
-    table = F.lit(classes)
-    rated = F.transform("w", lambda w: F.ascii(F.substr(table, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long"))
-    worded = evaluated_once(lines.withColumn("w", _words("line")).drop("line"))
-    return evaluated_once(worded.withColumn("rated", rated)).withColumn("tokens", _tokens()).drop("w", "rated")
+    table, low = F.lit(classes), F.lit((1 << _HASH_BITS) - 1)
+    rating = lambda h: F.ascii(F.substr(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    hashed = evaluated_once(lines.withColumn("w", F.transform(_words("line"), lambda w: F.xxhash64(w))).drop("line"))
+    rated = evaluated_once(hashed.withColumn(
+        "w", F.transform("w", lambda h: F.shiftleft(rating(h), _HASH_BITS).bitwiseOR(h.bitwiseAND(low)))))
+    number = F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))
+    shingles = F.arrays_zip(*[F.slice("w", k + 1, number).alias(f"w{k}") for k in range(SHINGLE)])
+
+    def token(s: Column) -> Column:
+        rarest = F.shiftright(F.least(*[s[f"w{k}"] for k in range(SHINGLE)]), _HASH_BITS)
+        return F.shiftleft(rarest, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(s), 64 - _HASH_BITS))
+
+    return rated.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(shingles, token)))).drop("w")
 
 
 def _same_lines(pairs: DataFrame, lines: DataFrame, classes: bytes) -> DataFrame:
