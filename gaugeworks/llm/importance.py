@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.llm.common import positions, row_key, stage
+from gaugeworks.llm.links import small_keys
 from gaugeworks.llm.shingles import text_words
 
 BUCKETS = 10_000
@@ -73,7 +74,7 @@ def resample(docs: DataFrame, targets: DataFrame, fraction: float, seed: int = 0
     text, so a run repeated gives the same sample; rows equal in both share their key
     and take neighbouring places. Null ids match no target. Other columns are ignored.
     """
-    marks = targets.select(F.col(id_col).alias("_target")).where("_target is not null").distinct()
+    marks = small_keys(stage(targets.select(F.col(id_col).alias("_target")).where("_target is not null").distinct(), "targets"))
     rows = docs.select(F.col(id_col), F.col(text_col))
     joined = rows.join(marks, F.col(id_col) == F.col("_target"), "left")
     raw, goal = bucket_counts(joined, F.col("_target").isNotNull(), buckets, text_col)
