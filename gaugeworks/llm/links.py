@@ -38,7 +38,7 @@ def reachable(na: Column, pa: Column, nb: Column, pb: Column, num: int, den: int
 
 
 def shared_postings(sets: DataFrame, name: str) -> DataFrame:
-    """``token, id, n, pos`` for the prefix tokens that at least two different sets have.
+    """``token, id, n, pos, copies`` for the prefix tokens that at least two different sets have.
 
     ``sets`` (``id, n, prefix``) may repeat sets; counting has a map-side step and lists
     of one set never leave their task when the shared tokens are few.
@@ -46,21 +46,22 @@ def shared_postings(sets: DataFrame, name: str) -> DataFrame:
     each = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = stage(each.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                    .where("low < high").select("token"), f"{name}-tokens")
-    return stage(each.join(small_keys(tokens), "token").distinct(), f"{name}-lists")
+    lists = each.join(small_keys(tokens), "token").groupBy("token", "id", "n", "pos").agg(F.count("*").alias("copies"))
+    return stage(lists, f"{name}-lists")
 
 
 def hub_pairs(lists: DataFrame, num: int, den: int, hubs: int = HUBS) -> DataFrame:
     """Each posting beside the first ``hubs`` members of its list: ``a`` (hub), ``b``, sizes, places, ``token``.
 
-    First are the sets in which the token stands first: what others changed, an original
-    lacks, so fewer rare tokens stand before its shared ones.
+    First are the sets with the most copies, then those in which the token stands first:
+    an original is copied more often than its variants are, and has fewer rare tokens.
     """
-    first = Window.partitionBy("token").orderBy("pos", "id")
+    first = Window.partitionBy("token").orderBy(F.desc("copies"), "pos", "id")
     heads = (lists.withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs)
-             .select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")))
-    return (lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+             .select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("copies").alias("ca")))
+    return (lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("copies").alias("cb"))
             .join(heads, "token")
-            .where((F.struct("pa", "a") < F.struct("pb", "b")) & long_enough("na", "nb", num, den)))
+            .where((F.struct(-F.col("ca"), "pa", "a") < F.struct(-F.col("cb"), "pb", "b")) & long_enough("na", "nb", num, den)))
 
 
 def rest_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int, name: str) -> DataFrame:

@@ -52,7 +52,7 @@ class Rarity:
     """
 
     def __init__(self, documents: np.ndarray, words: np.ndarray):
-        self.documents = np.floor(np.log2(documents + 1.0)).astype(np.int64)
+        self.documents = np.floor(8 * np.log2(documents + 1.0)).astype(np.int64)
         self.total = max(int(words.sum()), 1)
         self.words = np.log2(np.maximum(words, 1) / self.total)
 
