@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import stage
+from gaugeworks.llm.links import small_keys
 from gaugeworks.llm.tokens import ByteLevelIds, remembered
 
 BIN_ROWS = 50_000
@@ -120,7 +121,8 @@ def pack(pieces: DataFrame, length: int, bin_rows: int = BIN_ROWS) -> DataFrame:
     Every piece is placed once; offsets in a sequence are gapless from 0. The driver
     holds the histogram and its patterns, whose number depends on ``length``, never on
     the number of pieces. Pieces of one length are numbered in bins, so a length that
-    most pieces share is no hot group. Extra columns pass through; ``sequence_id``,
+    most pieces share is no hot group; only their numbers and lengths are moved for that.
+    Extra columns pass through; ``sequence_id``,
     ``offset`` and names with a leading ``_`` are rejected. Lengths that are null or out
     of range raise an error; an empty table gives an empty one.
     """
@@ -134,13 +136,13 @@ def pack(pieces: DataFrame, length: int, bin_rows: int = BIN_ROWS) -> DataFrame:
     spark = pieces.sparkSession
     ranges = pattern_ranges(shortest_pack_first(histogram, length))
     bins = max(1, max(histogram.values(), default=0) // bin_rows)
-    binned = pieces.withColumn("_bin", F.pmod(F.xxhash64("_id"), F.lit(bins)).cast("int"))
+    binned = pieces.select("_id", "length").withColumn("_bin", F.pmod(F.xxhash64("_id"), F.lit(bins)).cast("int"))
     counts = binned.groupBy("length", "_bin").agg(F.count("*").alias("_n"))
     by_length = Window.partitionBy("length").orderBy("_bin")
     before = counts.select("length", "_bin", (F.sum("_n").over(by_length) - F.col("_n")).alias("_before"))
     numbered = (binned.withColumn("_at", F.row_number().over(Window.partitionBy("length", "_bin").orderBy("_id")) - 1)
                 .join(before, ["length", "_bin"])
-                .withColumn("_rank", F.col("_before") + F.col("_at")).drop("_bin", "_before", "_at", "_id"))
+                .withColumn("_rank", F.col("_before") + F.col("_at")))
     per_length: dict[int, list] = {}
     for size, *rest in ranges:
         per_length.setdefault(size, []).append(tuple(rest))
@@ -148,11 +150,12 @@ def pack(pieces: DataFrame, length: int, bin_rows: int = BIN_ROWS) -> DataFrame:
     table = spark.createDataFrame(list(per_length.items()), schema)
     hit = _last_not_after(F.col("_ranges"), F.col("_rank"))
     inside = F.col("_rank") - F.col("_r.first")
-    return (numbered.join(F.broadcast(table), "length")  # at most one row per length, see the docstring
-            .withColumn("_r", hit)
-            .withColumn("sequence_id", F.col("_r.sequence") + F.floor(inside / F.col("_r.copies")).cast("long"))
-            .withColumn("offset", F.col("_r.offset") + (inside % F.col("_r.copies")) * F.col("length"))
-            .select(*[c for c in pieces.columns if c != "_id"], "sequence_id", "offset"))
+    placed = stage(numbered.join(F.broadcast(table), "length")  # at most one row per length, see the docstring
+                   .withColumn("_r", hit)
+                   .withColumn("sequence_id", F.col("_r.sequence") + F.floor(inside / F.col("_r.copies")).cast("long"))
+                   .withColumn("offset", F.col("_r.offset") + (inside % F.col("_r.copies")) * F.col("length"))
+                   .select("_id", "sequence_id", "offset"), "places")
+    return pieces.join(small_keys(placed), "_id").select(*[c for c in pieces.columns if c != "_id"], "sequence_id", "offset")
 
 
 def _last_not_after(ranges: Column, rank: Column) -> Column:
