@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import stage
+from gaugeworks.llm.links import small_keys
 
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 1500
@@ -129,7 +130,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
                 [batch.column(0), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())),
                  pa.array([c.astype(np.float64) for _, c in found], pa.list_(pa.float64()))], ["lang", "at", "counts"])
 
-    rows = known.join(chosen, ["lang", "id"], "left_semi").select("lang", "text")
+    rows = known.join(small_keys(stage(chosen, "chosen")), ["lang", "id"], "left_semi").select("lang", "text")
     sample = stage(rows.mapInArrow(vectors, "lang string, at array<int>, counts array<double>").where("size(at) > 0"), "sample")
     n = sample.count()
     seen = np.zeros(dimensions)
