@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 from pathlib import Path
 
@@ -19,6 +20,7 @@ ROW_BITS = 33
 """Bits below the partition number in ``monotonically_increasing_id``."""
 KEY = ["k1", "k2"]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_work: ContextVar[str | None] = ContextVar("work", default=None)
 
 
 def importable(fn: Callable) -> Callable:
@@ -42,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the shared one; nothing is there yet."""
-    return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one, or below that of the ``finished`` result in the making; nothing is there yet."""
+    return f"{_work.get() or shared_dir(spark).rstrip('/') + '/llm'}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +55,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The staged result of ``build``; the tables that were staged on the way to it are deleted.
+
+    Nothing reads them any more once the result is stored, so a lost executor costs a
+    reread of the result only.
+    """
+    work = new_folder(spark, f"{name}-work")
+    before = _work.set(work)
+    try:
+        result = build()
+    finally:
+        _work.reset(before)
+    result = stage(result, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(work)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def row_key(*columns: str | Column) -> list[Column]:
     """128 bits (two longs, KEY) that stand for the values of a row.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeworks.llm.common import KEY, lower_ascii, row_key, stage
+from gaugeworks.llm.common import KEY, finished, lower_ascii, row_key, stage
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -126,6 +126,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, perce
     listed. Rows equal in id and text give equal results, each its own row. Other
     columns are ignored; empty tables give empty or clean results.
     """
+    return finished(docs.sparkSession, lambda: _contamination(docs, items, window, percent, id_col, text_col, item_id), "contamination")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int, percent: int, id_col: str, text_col: str, item_id: str) -> DataFrame:
     terms = stage(item_words(items), "items")
     index = build_index(docs, terms, True, id_col, text_col)
     hits = stage(phrase_hits(index, terms, window), "hits")

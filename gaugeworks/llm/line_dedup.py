@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.plans import evaluated_once
-from gaugeworks.llm.common import KEY, row_key, stage
+from gaugeworks.llm.common import KEY, finished, row_key, stage
 from gaugeworks.llm.links import linked, reachable, small_keys
 
 SHINGLE = 5
@@ -121,7 +121,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     clash = [c for c in docs.columns if c in ("n_lines", "n_removed") or c.startswith("_")]
     if clash:
         raise ValueError(f"column names are taken: {clash}")
-    gone = stage(repeated_lines(docs, id_col, text_col).groupBy(*KEY).agg(F.collect_set("line_no").alias("_gone")), "repeated")
+    gone = finished(docs.sparkSession, lambda: repeated_lines(docs, id_col, text_col)
+                    .groupBy(*KEY).agg(F.collect_set("line_no").alias("_gone")), "repeated")
     gone = gone.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     k1, k2 = row_key(id_col, text_col)
     rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(gone, ["_k1", "_k2"], "left")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeworks.llm.common import components, stage
+from gaugeworks.llm.common import components, finished, stage
 
 HUBS = 3
 BROADCAST_KEYS = 1_000_000
@@ -86,14 +86,15 @@ def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], verify
     ``candidates`` reduces listed pairs to distinct ``a, b``, losing none that reaches the
     similarity; ``verify`` keeps those that do.
     """
+    spark = sets.sparkSession
     lists = shared_postings(sets, name)
     tried = stage(candidates(hub_pairs(lists, num, den)).select("a", "b"), f"{name}-tried")
-    found = stage(verify(tried).select("a", "b"), f"{name}-found")
-    roots = components(found, name)
+    found = finished(spark, lambda: verify(tried).select("a", "b"), f"{name}-found")
+    roots = finished(spark, lambda: components(found, name), f"{name}-roots")
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = candidates(rest_pairs(lists, roots, num, den, name)).select("a", "b").join(known, ["a", "b"], "left_anti")
-    more = stage(more, f"{name}-more")
+    more = finished(spark, lambda: candidates(rest_pairs(lists, roots, num, den, name)).select("a", "b")
+                    .join(known, ["a", "b"], "left_anti"), f"{name}-more")
     if more.isEmpty():
         return roots
-    again = stage(verify(more).select("a", "b"), f"{name}-found")
-    return roots if again.isEmpty() else components(found.union(again), name)
+    again = finished(spark, lambda: verify(more).select("a", "b"), f"{name}-found")
+    return roots if again.isEmpty() else finished(spark, lambda: components(found.union(again), name), f"{name}-roots")

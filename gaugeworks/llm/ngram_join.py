@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import KEY, row_key, stage
+from gaugeworks.llm.common import KEY, finished, row_key, stage
 from gaugeworks.llm.links import linked, reachable, small_keys
 from gaugeworks.llm.shingles import SPACES, mixed, shingle_set, shingles, text_words
 
@@ -172,6 +172,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
     has an empty set and links with nothing. Repeated rows give repeated results; null
     ids are rows like any other. Shingles and sets are told apart by 64-bit hashes.
     """
+    return finished(docs.sparkSession, lambda: _components(docs, width, num, den, id_col, text_col), "components")
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     sets = stage(document_sets(docs, count_rarity(docs, width, text_col), width, num, den, id_col, text_col), "sets")
     full = sets.where("id is not null")
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
