@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.llm.common import KEY, finished, row_key, stage
-from gaugeworks.llm.links import linked, reachable, small_keys
+from gaugeworks.llm.links import BROADCAST_KEYS, linked, reachable, small_keys
 
 SHINGLE = 5
 NUM, DEN = 4, 5
@@ -121,9 +121,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     clash = [c for c in docs.columns if c in ("n_lines", "n_removed") or c.startswith("_")]
     if clash:
         raise ValueError(f"column names are taken: {clash}")
-    gone = finished(docs.sparkSession, lambda: repeated_lines(docs, id_col, text_col)
-                    .groupBy(*KEY).agg(F.collect_set("line_no").alias("_gone")), "repeated")
-    gone = gone.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    repeated = finished(docs.sparkSession, lambda: repeated_lines(docs, id_col, text_col), "repeated")
+    gone = (repeated.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "line_no")
+            .groupBy("_k1", "_k2").agg(F.collect_set("line_no").alias("_gone")))
+    # The bound counts lines, so that the lists of line numbers are bounded too.
+    gone = F.broadcast(gone) if repeated.count() <= BROADCAST_KEYS else gone
     k1, k2 = row_key(id_col, text_col)
     rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(gone, ["_k1", "_k2"], "left")
     lines = F.split(text_col, "\n")
