@@ -37,6 +37,11 @@ def reachable(na: Column, pa: Column, nb: Column, pb: Column, num: int, den: int
     return (num + den) * (1 + F.least(na - 1 - pa, nb - 1 - pb)) >= num * (na + nb)
 
 
+def compatible(na: Column, pa: Column, nb: Column, pb: Column, num: int, den: int) -> Column:
+    """Whether sets with any common token at ``pa`` and ``pb`` can overlap enough; earlier tokens may be common too."""
+    return (num + den) * (F.least(pa, pb) + 1 + F.least(na - 1 - pa, nb - 1 - pb)) >= num * (na + nb)
+
+
 def shared_postings(sets: DataFrame, name: str) -> DataFrame:
     """``token, id, n, pos, copies`` for the prefix tokens that at least two different sets have.
 
@@ -65,7 +70,10 @@ def hub_pairs(lists: DataFrame, num: int, den: int, hubs: int = HUBS) -> DataFra
 
 
 def rest_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """All pairs of a list whose members lie in different components."""
+    """All pairs of a list whose members lie in different components, once per token that both have.
+
+    A pair that reaches the similarity keeps all its tokens, so they can be counted.
+    """
     known = roots.select(F.col("node").alias("id"), "root")
     rooted = lists.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = stage(rooted, f"{name}-rooted")
@@ -76,7 +84,7 @@ def rest_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int, name: str
     two = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
     return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
                                         & long_enough("na", "nb", num, den)
-                                        & reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den))
+                                        & compatible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den))
 
 
 def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame],

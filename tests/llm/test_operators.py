@@ -283,6 +283,14 @@ def test_links_through_members_that_no_hub_reaches(spark):
     assert {r["component_id"] for r in ngram_join.smallest_of_component(found).collect()} == {0}
 
 
+def test_links_of_exactly_the_least_overlap(spark):
+    """Chains of 20 shingles that share 19 with the next text, in lists longer than the hubs; inner words are equally rare."""
+    texts = [(1000 * c + i, " ".join(f"c{c}w{j}" for j in range(i, i + 22))) for c in range(3) for i in range(160)]
+    found = ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.smallest_of_component(found).collect()}
+    assert got == {doc: doc // 1000 * 1000 for doc, _ in texts}
+
+
 def test_word_and_shingle_hashes():
     assert len(shingles.text_words("Ab  cd\x0bab")) == 3
     a = shingles.text_words("Ab cd AB")
