@@ -36,9 +36,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the one with the smallest id, then row key.
 
-    Documents without words have no group and stay.
+    Documents link from a Jaccard similarity of 0.8 of their five-word shingles on. Documents without words have no group and stay.
     """
-    found = ngram_join.jaccard_components(docs).distinct()
+    found = ngram_join.jaccard_components(docs, width=5, num=4, den=5).distinct()
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", *KEY)).alias("first"))
     gone = (found.join(first, "component").where(F.struct("doc_id", *KEY) != F.col("first"))
             .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))

@@ -68,6 +68,35 @@ def test_one_of_each_group_stays(results):
         assert kept & members == {min(members)}
 
 
+def test_near_duplicates_by_five_words_at_four_fifths(spark):
+    """The kept ids against brute force; one replaced word in 50 leaves 41 of 51 five-word shingles, 45 of 51 of three words."""
+    rows = documents() + [(200 + i, " ".join(f"v{j}" if (i, j) not in ((1, 24), (2, 10), (2, 30)) else "other" for j in range(50)), "en", "s", 1)
+                          for i in range(3)]
+    rows = list({(r[0], r[1]): r for r in rows if r[0] is not None}.values())
+    sets = []
+    for r in rows:
+        w = (r[1] or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(j)] = find(i)
+    first = {}
+    for i, r in enumerate(rows):
+        first[find(i)] = min(r[0], first.get(find(i), r[0]))
+    want = sorted(r[0] for i, r in enumerate(rows) if not sets[i] or first[find(i)] == r[0])
+    assert 200 in want and 201 not in want and 202 in want
+    got = corpus_pipeline.join_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
 def test_contaminated_documents_go(spark, results):
     before, after = results["decontamination"]
     found = decontamination.contamination(before, table(spark, SF, "benchmark"))
