@@ -34,10 +34,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 @query()
 def op1_shard_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return sharding.shard(rows, 8, seed=20240501).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+    return sharding.shard(table(spark, sf_dir, "documents"), 8, seed=20240501).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -439,6 +439,14 @@ def test_shard_query(spark):
     assert {type(f.dataType) for f in queries.QUERIES["op1_shard_hypergeometric"](spark, SF).schema[5:7]} >= {T.LongType}
 
 
+def test_shard_query_moves_the_documents(spark, monkeypatch):
+    given, shard = [], sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda df, *args, **kw: given.append(df.columns) or shard(df, *args, **kw))
+    got = queries.QUERIES["op1_shard_hypergeometric"](spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert given == [docs.columns] and got.count() == docs.count()
+
+
 def test_pack_query_equals_the_library(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(BYTES[0])
