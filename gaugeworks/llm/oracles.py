@@ -53,3 +53,40 @@ r AS (SELECT doc_id AS s, doc_id AS e FROM documents UNION SELECT r.s, l.b FROM
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT s, min(e) AS c FROM r GROUP BY s) m ON m.s = d.doc_id
 """
+
+CRC_TABLE = """list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)),
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+def crc32(octets: str, table: str) -> str:
+    """CRC-32 of a list of bytes, by the table of its 256 remainders."""
+    return (f"xor(list_reduce(list_concat([4294967295], {octets}), "
+            f"lambda a, b: xor(a >> 8, list_extract({table}, (xor(a, b) & 255) + 1))), 4294967295)")
+
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE t AS (SELECT {CRC_TABLE} AS tab),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)", "tab")} % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM o), t),
+r AS (SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.base WHERE o.pos < c.h
+      UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id WHERE o.pos >= c.h),
+s AS (SELECT c.conv_id, coalesce(list(sha256(role || chr(1) || text) ORDER BY part, pos) FILTER (role IS NOT NULL), []) AS turns,
+             coalesce(list(len(list_filter(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '')) ORDER BY part, pos) FILTER (role IS NOT NULL), []) AS words
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, d, len(turns) AS n, sha256(array_to_string(turns[:d], ',')) AS node,
+             CASE WHEN d > 0 THEN sha256(array_to_string(turns[:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w
+      FROM s, unnest(range(0, len(turns) + 1)) AS x(d)),
+n AS (SELECT node, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+             sha256(coalesce(array_to_string(list(conv_id::VARCHAR ORDER BY conv_id) FILTER (n = d), ','), '')) AS ends_sha256
+      FROM p GROUP BY node, d),
+k AS (SELECT up AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT node AS top, d AS top_d, node, d FROM n UNION ALL SELECT n.up, n.d - 1, a.node, a.d FROM a JOIN n ON n.node = a.top AND n.d = a.top_d WHERE n.d > 0),
+u AS (SELECT a.top AS node, a.top_d AS d, sum(n.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+      FROM a JOIN n ON n.node = a.node AND n.d = a.d LEFT JOIN k ON k.node = a.node AND k.d = a.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+       u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN u USING (node, d) LEFT JOIN k USING (node, d) LEFT JOIN n m ON m.node = n.up AND m.d = n.d - 1
+"""

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, sharding, token_counts, warc
+from gaugeworks.llm import decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, prefix_trie, sharding, token_counts, warc
 from gaugeworks.llm import oracles as O
-from gaugeworks.llm.common import importable, table
+from gaugeworks.llm.common import importable, stage, table
 
 SEQUENCE, END_ID = 2048, 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ def op10_resample_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents, drawn towards those labelled good and not toxic."""
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     return importance.resample(table(spark, sf_dir, "documents"), good, 0.5, seed=20240501)
+
+
+@query(O.PREFIX_TRIE)
+def op13_collapse_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    marks = stage(prefix_trie.turn_marks(prefix_trie.numbered(conversations)), "turn-marks")
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    turns = prefix_trie.rebuilt(marks, head, F.col("conv_id") - F.col("conv_id") % 20)
+    return prefix_trie.prefix_trie(turns, conversations.select("conv_id")).nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
