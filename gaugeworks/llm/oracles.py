@@ -90,3 +90,14 @@ SELECT n.conv_id, n.d::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs,
        u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
 FROM n JOIN u USING (node, d) LEFT JOIN k USING (node, d) LEFT JOIN n m ON m.node = n.up AND m.d = n.d - 1
 """
+
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS t FROM d, unnest(range(1, len(w) - 48)) AS x(s)),
+f AS (SELECT t, min(doc_id) AS first FROM g GROUP BY t),
+h AS (SELECT DISTINCT r, p FROM g JOIN f USING (t), unnest(range(s, s + 50)) AS x(p) WHERE first < doc_id),
+k AS (SELECT r, list(p ORDER BY p) AS gone FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

@@ -24,9 +24,10 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * M1)
 _POWERS = np.cumprod(np.full(1 << 12, mixed(np.array([7], np.uint64))[0] | np.uint64(1), np.uint64))
 
 
-def text_words(text: str) -> np.ndarray:
-    """64-bit hashes of the words (split at white space, A-Z in lower case), in order."""
-    data = _SMALL[np.frombuffer(text.encode(), np.uint8)]
+def text_words(text: str | bytes, small: bool = True) -> np.ndarray:
+    """64-bit hashes of the words (split at white space; A-Z in lower case unless ``small`` is unset), in order."""
+    data = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
+    data = _SMALL[data] if small else data
     inside = ~_SPACE[data]
     edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
