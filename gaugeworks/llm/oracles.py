@@ -101,3 +101,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
        sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN k USING (r)
 """
+
+_OCTETS = """flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+    ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END))"""
+
+SPELLING = f"""
+WITH RECURSIVE t AS (SELECT {CRC_TABLE} AS tab),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {crc32(_OCTETS.format("concat(doc_id::VARCHAR, ':', run)"), "tab")} AS h FROM r, t),
+g AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM g WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS v FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+p AS (SELECT word, v AS near FROM x WHERE v IN (SELECT word FROM w) UNION SELECT v, word FROM x WHERE v IN (SELECT word FROM w)
+      UNION SELECT a.word, b.word FROM x a JOIN x b ON a.v = b.v AND a.i = b.i AND a.word <> b.word),
+b AS (SELECT p.word, count(*) AS n_near, list({{'m': -w.n, 'f': p.near}} ORDER BY -w.n, p.near)[1] AS best FROM p JOIN w ON w.word = p.near GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 10 * n THEN best.f END AS form,
+             CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n FROM w LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN c ON c.word = f.word JOIN f e ON e.word = c.at AND e.form IS NULL
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, prefix_trie, sharding, substring_dedup, token_counts, warc
+from gaugeworks.llm import decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, prefix_trie, sharding, spelling, substring_dedup, token_counts, warc
 from gaugeworks.llm import oracles as O
 from gaugeworks.llm.common import importable, stage, table
 
@@ -107,6 +107,11 @@ def op10_resample_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), good, 0.5, seed=20240501)
 
 
+@query(O.SPELLING)
+def op11_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), damaged=31))
+
+
 @query(O.SUBSTRINGS)
 def op12_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -16,7 +16,7 @@ TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VA
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
