@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -14,3 +15,11 @@ def evaluated_once(df: DataFrame) -> DataFrame:
     through one keeps the filter on the finished column.
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def observed(seen: Observation, name: str) -> int | None:
+    """A metric of a finished action; None where the optimiser left the metrics out with an empty input."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return None

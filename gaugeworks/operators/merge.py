@@ -9,6 +9,8 @@ from gaugeworks.schema import KEYS
 
 # Columns that order the new readings among themselves, where present.
 SEQUENCE = ["fetched_at", "source_file"]
+BROADCAST_CHANGES = 1_000_000
+"""Most keys of changes that go to every task."""
 
 
 def _tagged(df: DataFrame, origin: int, with_sequence: bool) -> DataFrame:
@@ -19,12 +21,35 @@ def _tagged(df: DataFrame, origin: int, with_sequence: bool) -> DataFrame:
     return df.select(*KEYS, "ts", "value", "status", F.lit(origin).alias("origin"), *extra)
 
 
+def lay_over(stored: DataFrame, changes: DataFrame, keys: list[str], n_changes: int) -> DataFrame:
+    """U2 as a change set: stored rows whose key does not change, and the changes.
+
+    Both sides hold a key once. Up to ``BROADCAST_CHANGES`` counted changes their keys go to
+    the stored rows, which are neither sorted nor shuffled; beyond, the same join shuffles.
+    """
+    changed = changes.select(*keys)
+    kept = stored.join(F.broadcast(changed) if n_changes <= BROADCAST_CHANGES else changed, keys, "left_anti")
+    return kept.unionByName(changes)
+
+
+def replaced_rows(stored: DataFrame, changes: DataFrame, keys: list[str], n_changes: int) -> DataFrame:
+    """Stored rows that ``lay_over`` leaves out."""
+    changed = changes.select(*keys)
+    return stored.join(F.broadcast(changed) if n_changes <= BROADCAST_CHANGES else changed, keys, "left_semi")
+
+
+def fold_new(new: DataFrame) -> DataFrame:
+    """One row per (station, parameter, ts) of new readings: the last by ``fetched_at``, then ``source_file``."""
+    return merge_last_wins(new.limit(0).select(*KEYS, "ts", "value", "status"), new)
+
+
 def merge_last_wins(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Concatenate and keep the last row per (station, parameter, ts).
 
     New beats stored, and among new rows the later ``fetched_at`` (then
     ``source_file``) wins. Copies are folded map-side, so an instant that was sent
-    a million times costs one row per task.
+    a million times costs one row per task. ``existing`` may repeat instants; where it
+    is known not to, as in a store, ``lay_over`` leaves its rows where they are.
     """
     rows = _tagged(existing, 0, False).unionByName(_tagged(new, 1, True))
     order = F.struct("origin", *SEQUENCE, "value", "status")

@@ -134,6 +134,21 @@ def live_json(raw: DataFrame) -> DataFrame:
                                      cut.alias("line")))
 
 
+def faulty_live_json(raw: DataFrame) -> DataFrame:
+    """``raw`` as JSON lines of live files by kind and day: cut short, without a station, or fetched days before they were read."""
+    level = F.col("parameter") == WATER_LEVEL
+    stamp = live_time_parts("ts")["timestamp"]
+    early = live_time_parts(F.col("ts") - F.expr("INTERVAL 2 DAYS"))["timestamp"]
+    case = F.col("k") % 10
+    line = F.to_json(F.struct(
+        stamp.alias("timestamp"), F.when(level, F.col("value")).alias("value_cm"), F.when(~level, F.col("value")).alias("value_celsius"),
+        F.when(case == 4, "").otherwise(F.col("station_id").cast("string")).alias("station_id"),
+        F.when(case == 5, early).otherwise(stamp).alias("fetched_at")))
+    return evaluated_once(raw.select(
+        F.when(level, LEVEL_KIND).otherwise(TEMPERATURE_KIND).alias("kind"), F.to_date("ts").cast("string").alias("day"),
+        F.when(case == 3, F.substring(line, 1, 30)).otherwise(line).alias("line")))
+
+
 def _cells(*cells: Column) -> Column:
     return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
 

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,11 +115,15 @@ def stage_name(job: str, path: str) -> str:
     return f"{job}_{re.sub(r'[^A-Za-z0-9]+', '_', path)}_{hashlib.sha1(path.encode()).hexdigest()[:12]}"
 
 
+def usable_key() -> Column:
+    """Whether a row has a station, a parameter and an instant that a stored series can hold."""
+    usable = F.col("station_id").isNotNull() & F.col("parameter").isNotNull() & (F.year("ts") > 0)
+    return F.coalesce(usable, F.lit(False))
+
+
 def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that a stored series can hold, and those without station, parameter or a usable instant."""
-    usable = F.col("station_id").isNotNull() & F.col("parameter").isNotNull() & (F.year("ts") > 0)
-    usable = F.coalesce(usable, F.lit(False))
-    return rows.filter(usable), rows.filter(~usable)
+    return rows.filter(usable_key()), rows.filter(~usable_key())
 
 
 def _touched(rows: DataFrame, folders: list[str]) -> DataFrame:

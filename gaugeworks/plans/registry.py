@@ -15,12 +15,13 @@ from pyspark.sql import types as T
 from gaugeworks.functions import scalars as S
 from gaugeworks.operators import asof, climate, merge, quality, ranges, records, rollup, series
 from gaugeworks.plans import driver_tables as D
-from gaugeworks.plans import refresh
+from gaugeworks.plans import refresh, series_store
 from gaugeworks.plans import sql as Q
-from gaugeworks.schema import CATALOGUE, KEYS
+from gaugeworks.schema import CATALOGUE, KEYS, WATER_LEVEL, WATER_TEMPERATURE
 from gaugeworks.session import shared_dir
 from gaugeworks.sinks import store as sinks
 from gaugeworks.sources import catalogue, exports, live, manifest, pages, store
+from gaugeworks.streaming import arrivals as late_streams
 from gaugeworks.streaming import exports as export_streams
 from gaugeworks.streaming import live as streams
 
@@ -532,8 +533,33 @@ def _merged_store(spark: SparkSession, sf: str) -> refresh.Layout:
     return out
 
 
+def _merged_series(spark: SparkSession, sf: str, days: bool, runs: int = 1, compact_after: int | None = None) -> str:
+    """The new readings merged into a versioned store, in runs by day of month."""
+    root = _folder(spark, "series")
+    raw = _gauge(spark, sf)
+    series_store.load_series(spark, raw, root, D.SCALE, days)
+    for run in range(runs):
+        new = D.refetched(raw).filter(F.dayofmonth("ts") % runs == run)
+        series_store.merge_series(spark, new, root, f"run {run}", D.SCALE, days, compact_after=compact_after)
+    return root
+
+
 @query(Q.merged_store())
 def store_merge(spark, sf):
+    """Changes laid over the base while it is read."""
+    return series_store.read_series(spark, _merged_series(spark, sf, days=False)).select(*KEYS, "ts", "value", "status")
+
+
+@query(Q.merged_store())
+def store_compacted(spark, sf):
+    """Changes of two runs, laid over the base for good after the second one."""
+    root = _merged_series(spark, sf, days=False, runs=2, compact_after=2)
+    return series_store.read_series(spark, root).select(*KEYS, "ts", "value", "status")
+
+
+@query(Q.merged_store())
+def store_merge_folders(spark, sf):
+    """The same merge into a plain store, whose touched folders are replaced."""
     return store.read_raw(spark, _merged_store(spark, sf).raw)
 
 
@@ -542,6 +568,12 @@ def store_merge_daily(spark, sf):
     return store.read_daily(spark, _merged_store(spark, sf).daily)
 
 
+@query(Q.merged_store_daily())
+def daily_refresh_partials(spark, sf):
+    """Daily rows from the state that the merges kept up; the series is not rolled up again."""
+    return series_store.read_days(spark, _merged_series(spark, sf, days=True), D.SCALE)
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream, in the raw schema.
 
@@ -562,11 +594,23 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(f"{root}/rows")
 
 
+@query(Q.stream_late())
+def stream_late(spark, sf):
+    """Readings of even events first, then all: those behind the watermark are late, those sent before repeated."""
+    root = _folder(spark, "late")
+    events = D.table(spark, sf, "events")
+    for run, rows in ((1, events.where("event_id % 2 = 0")), (2, events)):
+        rows.write.mode("append").parquet(f"{root}/sent")
+        sent = D.as_raw(spark.readStream.schema(events.schema).parquet(f"{root}/sent"))
+        late_streams.start_arrivals(sent, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return late_streams.read_arrivals(spark, f"{root}/rows")
+
+
 def _stream_partials(spark: SparkSession, sf: str, width: str) -> DataFrame:
     root = _folder(spark, "rollup")
     partials = streams.rollup_stream(streams.with_event_time(_event_stream(spark, sf)), width, D.SCALE)
-    streams.start_rollup(partials, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
-    return streams.latest_emission(spark.read.parquet(f"{root}/rows"))
+    streams.start_rollup(partials, f"{root}/state", f"{root}/checkpoint", D.SCALE, available_now=True).awaitTermination()
+    return streams.window_state(spark, f"{root}/state", D.SCALE)
 
 
 @query(Q.daily_rollup())
@@ -583,18 +627,36 @@ def stream_hourly(spark, sf):
 def stream_current(spark, sf):
     root = _folder(spark, "current")
     current = streams.current_values(series.with_value(_event_stream(spark, sf)))
-    streams.start_current(current, f"{root}/rows", f"{root}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{root}/rows")
+    streams.start_current(current, f"{root}/state", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return streams.read_current(spark, f"{root}/state")
 
 
 @query(Q.merged_store())
 def stream_merge(spark, sf):
-    """The new readings arrive as a stream and are merged into the stored series."""
+    """The new readings arrive as a stream and are merged into a versioned series."""
     root = _folder(spark, "stream_merge")
-    sinks.write_raw(_gauge(spark, sf), f"{root}/raw")
+    series_store.load_series(spark, _gauge(spark, sf), f"{root}/series", days=False)
     new = D.refetched(D.as_gauge(_event_stream(spark, sf)))
-    streams.start_merge(new, f"{root}/raw", f"{root}/checkpoint", available_now=True).awaitTermination()
-    return store.read_raw(spark, f"{root}/raw")
+    streams.start_series(new, f"{root}/series", f"{root}/checkpoint", days=False, available_now=True).awaitTermination()
+    return series_store.read_series(spark, f"{root}/series").select(*KEYS, "ts", "value", "status")
+
+
+@query(Q.live_stream_rejects())
+def live_stream_rejects(spark, sf):
+    """Live lines, some cut short, without a station, from the future or without a value: all are stored or rejected."""
+    root = _folder(spark, "live_rejects")
+    lines = D.faulty_live_json(_gauge(spark, sf))
+    lines.select("kind", "day", F.col("line").alias("value")).write.partitionBy("kind", "day").text(f"{root}/live")
+    found = streams.live_lines(spark, f"{root}/live", max_files_per_trigger=20)
+    streams.start_live(found, f"{root}/series", f"{root}/checkpoint", f"{root}/rejects", days=False, available_now=True).awaitTermination()
+    stored = series_store.read_series(spark, f"{root}/series").select(
+        F.lit("stored").alias("outcome"), "parameter", F.col("ts").cast("string").alias("ts"))
+    schema = "kind string, timestamp string, reject_reason string"
+    level = F.when(F.col("kind") == live.LEVEL_KIND, WATER_LEVEL).otherwise(WATER_TEMPERATURE)
+    rejected = spark.read.schema(schema).json(f"{root}/rejects").select(
+        F.col("reject_reason").alias("outcome"), level.alias("parameter"),
+        F.when(F.col("reject_reason") != "malformed", S.mixed_ts("timestamp").cast("string")).alias("ts"))
+    return stored.unionByName(rejected).groupBy("outcome", "parameter", "ts").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(Q.live_stream_store())

@@ -575,3 +575,29 @@ def merged_store_daily() -> str:
 
 def stream_dedup() -> str:
     return f"WITH {EVENTS} SELECT DISTINCT {KEYS}, CAST(ts AS VARCHAR) AS ts, value FROM raw"
+
+
+def stream_late() -> str:
+    """The first half sets the watermark, to milliseconds, for the second."""
+    return f"""WITH {EVENTS}, mark AS (
+  SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 7 DAYS AS w FROM raw WHERE event_id % 2 = 0
+), sent AS (
+  SELECT {KEYS}, ts, value, status, event_id, 1 AS run FROM raw WHERE event_id % 2 = 0
+  UNION ALL SELECT {KEYS}, ts, value, status, event_id, 2 FROM raw
+), placed AS (
+  SELECT *, run = 2 AND date_trunc('millisecond', ts) < w AS late FROM sent, mark
+)
+SELECT {KEYS}, CAST(ts AS VARCHAR) AS ts, value, status,
+       CASE WHEN late THEN 'late' WHEN row_number() OVER (PARTITION BY {KEYS}, ts, value, late ORDER BY run) > 1 THEN 'repeated'
+            ELSE 'on_time' END AS outcome FROM placed"""
+
+
+def live_stream_rejects() -> str:
+    return f"""WITH {EVENTS}, {GAUGE}, lines AS (
+  SELECT {KEYS}, date_trunc('second', ts) AS ts, CASE k % 10 WHEN 3 THEN 'malformed' WHEN 4 THEN 'no_station' WHEN 5 THEN 'future_ts'
+         ELSE CASE WHEN value IS NULL THEN 'no_value' ELSE 'stored' END END AS outcome FROM gauge
+), counted AS (
+  SELECT DISTINCT outcome, {KEYS}, ts, 0 AS line FROM lines WHERE outcome = 'stored'
+  UNION ALL SELECT outcome, {KEYS}, CASE WHEN outcome <> 'malformed' THEN ts END, row_number() OVER () FROM lines WHERE outcome <> 'stored'
+)
+SELECT outcome, parameter, CAST(ts AS VARCHAR) AS ts, COUNT(*) AS n FROM counted GROUP BY outcome, parameter, ts"""

@@ -2,40 +2,52 @@
 
 Watermarks need ``TIMESTAMP``, so ``ts`` is cast when a stream gets one and cast
 back in the sink; keep the session time zone at UTC. Lateness is measured in
-event time. Merges need no watermark and lose nothing; the append sinks of ST2 and the
-rollups of ST5 leave out a reading older than the newest one by more than the delay,
-and ``start_merge`` on the same source is where such readings are kept.
+event time. Merges need no watermark and lose nothing. ``streaming.arrivals`` tells on-time,
+repeated and late readings apart and keeps all three; ``dedup_stream`` and the rollups of
+ST5 work on the first kind and leave out what is behind the watermark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from gaugeworks.functions.plans import observed
 from gaugeworks.functions.scalars import hour_label
 from gaugeworks.operators.rollup import summand
-from gaugeworks.plans.refresh import parquet_or_empty, merge_into_store, stage_name
-from gaugeworks.schema import KEYS
+from gaugeworks.plans.refresh import merge_into_store, stage_name
+from gaugeworks.plans.series_store import merge_series
+from gaugeworks.schema import KEYS, RAW
 from gaugeworks.session import shared_dir
+from gaugeworks.sinks.store import station_bucket
+from gaugeworks.sinks.versions import Table, changes_waiting, compact, publish, read
 from gaugeworks.sources.live import (
-    LIVE_WITH_CORRUPT, json_reader_options, kind_of_path, live_to_raw, type_live,
+    CORRUPT, LIVE_WITH_CORRUPT, json_reader_options, kind_of_path, live_to_raw, type_live,
 )
 
 DELAY = "7 days"
+COMPACT_AFTER = 16
+"""Batches whose changes lie beside the base before they are laid over it."""
 
 
 def live_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """ST1: readings of JSON files that arrive in a folder, in the raw schema.
+    """ST1: good readings of JSON files that arrive in a folder, in the raw schema.
 
-    Malformed lines are dropped here, before any stateful operator sees them.
+    ``start_live`` on ``live_lines`` stores the rejected ones as well.
     """
+    return live_to_raw(live_lines(spark, path, max_files_per_trigger).filter(F.col("reject_reason").isNull()))
+
+
+def live_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST1: every line of JSON files that arrive in a folder, typed, with a reject reason where one applies."""
     reader = spark.readStream.schema(LIVE_WITH_CORRUPT).options(**json_reader_options())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.json(path).withColumns({
         "source_file": F.col("_metadata.file_name"), "kind": kind_of_path(F.col("_metadata.file_path"))})
-    return live_to_raw(type_live(lines).filter(F.col("reject_reason").isNull()))
+    return type_live(lines)
 
 
 def with_event_time(readings: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -70,6 +82,48 @@ def start_merge(readings: DataFrame, raw_path: str, checkpoint: str, daily_path:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _started(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_series(readings: DataFrame, root: str, checkpoint: str, scale: int | None = None, days: bool = True,
+                 rejects_path: str | None = None, compact_after: int = COMPACT_AFTER, available_now: bool = False) -> StreamingQuery:
+    """ST3: merge each micro-batch into a versioned series, last wins.
+
+    A batch writes its own readings and the state of their days only; every
+    ``compact_after`` batches the changes are laid over the base for good.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_series(batch.sparkSession, naive(batch), root, f"{checkpoint}#{batch_id}", scale, days, rejects_path, compact_after)
+
+    return _started(readings.writeStream.foreachBatch(merge), checkpoint, available_now)
+
+
+def start_live(lines: DataFrame, root: str, checkpoint: str, rejects_path: str, scale: int | None = None, days: bool = True,
+               compact_after: int = COMPACT_AFTER, available_now: bool = False) -> StreamingQuery:
+    """ST1 and ST3: good lines of ``live_lines`` into a versioned series, rejected ones with their reason into JSON.
+
+    A micro-batch is read and parsed once: it is written in two folders, one per outcome. Rejects
+    lie in a folder per batch, and the series knows its runs, so a batch that is repeated
+    changes neither.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('lines', root)}"
+        seen, rejected = Observation(), F.col("reject_reason").isNotNull()
+        typed = batch.withColumn("rejected", rejected).observe(seen, F.count_if("rejected").alias("rejects"))
+        typed.write.mode("overwrite").partitionBy("rejected").parquet(stage)
+        both = spark.read.schema(typed.schema).parquet(stage)
+        if observed(seen, "rejects") != 0:
+            (both.where("rejected").select("source_file", F.col(CORRUPT).alias("line"), "kind", "timestamp", "station_id", "value", "fetched_at", "reject_reason")
+             .write.mode("overwrite").json(f"{rejects_path}/batch={batch_id}"))
+        merge_series(spark, live_to_raw(both.where("not rejected")), root, f"{checkpoint}#{batch_id}", scale, days,
+                     f"{rejects_path}_keys", compact_after)
+
+    return _started(lines.writeStream.foreachBatch(store), checkpoint, available_now)
+
+
 def rollup_stream(readings: DataFrame, width: str = "1 day", scale: int | None = None) -> DataFrame:
     """ST5: running partial state per (station, parameter, window, status).
 
@@ -88,29 +142,40 @@ def rollup_stream(readings: DataFrame, width: str = "1 day", scale: int | None =
     )
 
 
-def start_rollup(partials: DataFrame, path: str, checkpoint: str,
-                 available_now: bool = False) -> StreamingQuery:
-    """ST5: keep the last emitted state of every window, one folder per date.
+def window_table(scale: int | None) -> Table:
+    """Rollup state of windows, by their date."""
+    total = T.DoubleType() if scale is None else T.DecimalType(28, scale)
+    schema = T.StructType([
+        *RAW.fields[:2], T.StructField("window_start", T.TimestampNTZType()), T.StructField("date", T.DateType()), RAW["status"],
+        T.StructField("n_rows", T.LongType()), T.StructField("n_values", T.LongType()), T.StructField("total", total),
+        T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType()), T.StructField("first_ts", T.TimestampNTZType()),
+        T.StructField("status_key", T.StringType())])
+    return Table(schema, [*KEYS, "window_start", "status_key"], ["date"], lambda df: df, ["station_id", "window_start"])
 
-    A batch is joined with the stored state of its dates and staged before those folders
-    are replaced, so the table does not grow with the number of batches and a batch that
-    is repeated changes nothing.
+
+def start_rollup(partials: DataFrame, root: str, checkpoint: str, scale: int | None = None,
+                 compact_after: int = COMPACT_AFTER, available_now: bool = False) -> StreamingQuery:
+    """ST5: keep the last emitted state of every window in a versioned table (``window_state`` reads it).
+
+    A batch writes the windows it changes. It counts from the moment its version does: one
+    that dies before leaves nothing behind that is read, and one that is repeated changes
+    nothing. Rows of one batch are whole states, so the last one wins.
     """
+    known = {"windows": window_table(scale)}
+
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('rollup', path)}"
-        emitted = batch.withColumn("emission", F.lit(batch_id).cast("bigint"))
-        emitted.write.mode("overwrite").parquet(f"{stage}/new")
-        new = spark.read.schema(emitted.schema).parquet(f"{stage}/new")
-        stored = parquet_or_empty(spark, path, emitted.schema).join(new.select("date").distinct(), "date", "left_semi")
-        state = latest_emission(stored.unionByName(new), keep_emission=True)
-        state.write.mode("overwrite").parquet(f"{stage}/state")
-        (spark.read.schema(state.schema).parquet(f"{stage}/state").hint("rebalance", "date")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
-
-    writer = partials.writeStream.outputMode("update").foreachBatch(store)
-    writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+        rows = batch.withColumn("status_key", F.coalesce(F.concat(F.lit("="), "status"), F.lit("")))
+        version = publish(spark, root, known, {"windows": rows}, f"{checkpoint}#{batch_id}")
+        if changes_waiting(version) >= compact_after:
+            compact(spark, root, known)
+
+    return _started(partials.writeStream.outputMode("update").foreachBatch(store), checkpoint, available_now)
+
+
+def window_state(spark: SparkSession, root: str, scale: int | None = None) -> DataFrame:
+    """ST5: stored state of all windows; feeds ``daily_from_partials`` and ``hourly_from_partials``."""
+    return read(spark, root, "windows", window_table(scale)).drop("status_key")
 
 
 def latest_emission(emitted: DataFrame, keep_emission: bool = False) -> DataFrame:
@@ -141,12 +206,28 @@ def current_values(readings: DataFrame) -> DataFrame:
             .select(*KEYS, "r.*"))
 
 
-def start_current(current: DataFrame, path: str, checkpoint: str,
+def current_table() -> Table:
+    schema = T.StructType([*RAW.fields[:2], RAW["ts"], RAW["value"], RAW["status"]])
+    return Table(schema, KEYS, ["bucket"], lambda df: df.withColumn("bucket", station_bucket()), ["station_id"])
+
+
+def start_current(current: DataFrame, root: str, checkpoint: str, compact_after: int = COMPACT_AFTER,
                   available_now: bool = False) -> StreamingQuery:
-    """ST6: keep a table with the current value of every series."""
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """ST6: keep the current value of every series in a versioned table (``read_current`` reads it).
 
-    writer = current.writeStream.outputMode("complete").foreachBatch(store)
-    writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    A batch writes the series that changed; the table is never missing, and groups of
+    stations without a change are not rewritten.
+    """
+    known = {"current": current_table()}
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        version = publish(batch.sparkSession, root, known, {"current": batch}, f"{checkpoint}#{batch_id}")
+        if changes_waiting(version) >= compact_after:
+            compact(batch.sparkSession, root, known)
+
+    return _started(current.writeStream.outputMode("update").foreachBatch(store), checkpoint, available_now)
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """ST6: the current value of every series."""
+    return read(spark, root, "current", current_table()).drop("bucket")

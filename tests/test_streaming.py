@@ -8,12 +8,14 @@ import pytest
 
 from gauge_data import STATION, level_lines, raw_rows, temperature_lines, write_exports
 from gaugeworks.operators import rollup
+from gaugeworks.plans import series_store
 from gaugeworks.schema import RAW
+from gaugeworks.sinks import versions
 from gaugeworks.sinks.store import write_raw
 from gaugeworks.sources.exports import export_paths, read_export
 from gaugeworks.sources.live import live_to_raw, read_live
 from gaugeworks.sources.store import read_daily, read_raw
-from gaugeworks.streaming import exports, live
+from gaugeworks.streaming import arrivals, exports, live
 
 DAY = dt.datetime(2026, 1, 25)
 
@@ -66,15 +68,15 @@ def test_late_readings_are_merged_and_a_wrong_clock_silences_nobody(spark, tmp_p
                    (DAY + dt.timedelta(days=1), 6.0)]
 
 
-def test_batches_of_a_rollup_leave_one_folder_per_date(spark, tmp_path):
+def test_batches_of_a_rollup_do_not_pile_up(spark, tmp_path):
     root, out = tmp_path / "live", str(tmp_path / "partials")
     for i in range(10):
         drop(root, f"water_level_2026-01-25_{i}.jsonl", [line(DAY + dt.timedelta(minutes=i), i)])
     stream = live.with_event_time(live.live_stream(spark, str(root), max_files_per_trigger=1))
-    run(live.start_rollup(live.rollup_stream(stream, "1 day", 1), out, str(tmp_path / "c"), available_now=True))
-    state = spark.read.parquet(out)
-    assert len({p.rsplit("/", 1)[0] for p in state.inputFiles()}) == 1 and state.count() == 1
-    assert live.latest_emission(state).first().n_values == 10
+    run(live.start_rollup(live.rollup_stream(stream, "1 day", 1), out, str(tmp_path / "c"), 1, compact_after=4, available_now=True))
+    state = live.window_state(spark, out, 1)
+    assert versions.changes_waiting(versions.latest(spark, out)) < 4
+    assert [r.n_values for r in state.collect()] == [10]
 
 
 def test_stream_merge_equals_batch_merge(spark, tmp_path):
@@ -103,10 +105,9 @@ def test_rollup_of_the_stream_equals_the_batch(spark, tmp_path, width):
              [line(at + dt.timedelta(minutes=15 * i), rnd.randrange(80, 120)) for i in range(40)])
     stream = live.with_event_time(live.live_stream(spark, str(root), max_files_per_trigger=1))
     out = str(tmp_path / "partials")
-    run(live.start_rollup(live.rollup_stream(stream, width, scale=1), out, str(tmp_path / "c"), available_now=True))
-    state = live.latest_emission(spark.read.parquet(out))
+    run(live.start_rollup(live.rollup_stream(stream, width, scale=1), out, str(tmp_path / "c"), 1, available_now=True))
+    state = live.window_state(spark, out, 1)
     batch = live_to_raw(read_live(spark, str(root), "2026-01-27", 7)[0])
-    assert all("emission=" not in p for p in spark.read.parquet(out).inputFiles())
     if width == "1 day":
         got, want = rollup.daily_from_partials(state), rollup.daily_rollup(batch, 1)
     else:
@@ -134,3 +135,97 @@ def test_export_files_are_picked_up_once(spark, tmp_path):
     want = sorted(map(str, rollup.daily_rollup(batch, 2).collect()))
     assert sorted(map(str, read_daily(spark, daily_path).collect())) == want
     assert len(level_lines()) + len(temperature_lines()) > 100
+
+
+def failing_once(monkeypatch):
+    """The announcement of a version is lost the first time."""
+    tries, real = [], versions._announce
+
+    def lost(*args):
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("lost")
+        real(*args)
+
+    monkeypatch.setattr(versions, "_announce", lost)
+    return tries
+
+
+def fail(query):
+    try:
+        query.awaitTermination(120)
+    except Exception:
+        pass
+    assert query.exception() is not None
+
+
+def test_a_rollup_that_stops_before_its_version_counts_loses_no_window(spark, tmp_path, monkeypatch):
+    root, out, checkpoint = tmp_path / "live", str(tmp_path / "state"), str(tmp_path / "c")
+    root.mkdir()
+
+    def start():
+        stream = live.with_event_time(live.live_stream(spark, str(root), max_files_per_trigger=1))
+        return live.start_rollup(live.rollup_stream(stream, "1 hour", 1), out, checkpoint, 1, available_now=True)
+
+    drop(root, "water_level_2026-01-25_0.jsonl", [line(DAY + dt.timedelta(hours=h), h) for h in range(5)])
+    run(start())
+    before = sorted(map(str, live.window_state(spark, out, 1).collect()))
+    drop(root, "water_level_2026-01-25_1.jsonl", [line(DAY + dt.timedelta(hours=1, minutes=5), 7)])
+    with monkeypatch.context() as m:
+        failing_once(m)
+        fail(start())
+    assert sorted(map(str, live.window_state(spark, out, 1).collect())) == before
+    run(start())
+    state = {r.window_start.hour: (r.n_rows, float(r.total)) for r in live.window_state(spark, out, 1).collect()}
+    assert state == {0: (1, 0.0), 1: (2, 8.0), 2: (1, 2.0), 3: (1, 3.0), 4: (1, 4.0)}
+
+
+def test_current_values_are_kept_per_series(spark, tmp_path):
+    root, out, checkpoint = tmp_path / "live", str(tmp_path / "state"), str(tmp_path / "c")
+    for i in range(5):
+        drop(root, f"water_level_2026-01-25_{i}.jsonl", [line(DAY + dt.timedelta(hours=i), i).replace('"7"', f'"{7 + i % 2}"')])
+    current = live.current_values(live.live_stream(spark, str(root), max_files_per_trigger=1))
+    run(live.start_current(current, out, checkpoint, compact_after=3, available_now=True))
+    assert sorted((r.station_id, r.value) for r in live.read_current(spark, out).collect()) == [(7, 4.0), (8, 3.0)]
+
+
+def test_rejected_lines_of_a_stream_are_kept_with_their_reason(spark, tmp_path, monkeypatch):
+    root, series, rejects = tmp_path / "live", str(tmp_path / "series"), str(tmp_path / "rejects")
+    drop(root, "water_level_2026-01-25.jsonl", [
+        line(DAY, 5), "{broken", line(DAY, None), line(dt.datetime(2099, 1, 1), 9, DAY.isoformat()), line(DAY, 6).replace('"7"', '"x"')])
+
+    def start():
+        return live.start_live(live.live_lines(spark, str(root)), series, str(tmp_path / "c"), rejects, scale=1, available_now=True)
+
+    with monkeypatch.context() as m:
+        failing_once(m)
+        fail(start())
+    run(start())
+    drop(root, "water_level_2026-01-26.jsonl", [line(DAY, 8, "g")])
+    run(start())
+    found = spark.read.json(rejects).collect()
+    assert sorted(r.reject_reason for r in found) == ["future_ts", "malformed", "no_station", "no_value"]
+    assert [r.line for r in found if r.reject_reason == "malformed"] == ["{broken"]
+    assert [(r.ts, r.value) for r in series_store.read_series(spark, series).collect()] == [(DAY, 8.0)]
+    assert [(r["count"], r["mean"]) for r in series_store.read_days(spark, series, 1).collect()] == [(1, 8.0)]
+
+
+def test_on_time_repeated_and_late_readings_are_all_kept(spark, tmp_path):
+    root, out, checkpoint = tmp_path / "sent", str(tmp_path / "rows"), str(tmp_path / "c")
+
+    def send(rows):
+        raw_rows(spark, rows, 7).write.mode("append").parquet(str(root))
+        sent = spark.readStream.schema(RAW).parquet(str(root))
+        run(arrivals.start_arrivals(sent, out, checkpoint, "2 days", available_now=True))
+
+    send([("2026-01-25 10:00", 1, "x"), ("2026-01-25 10:00", 1, "y"), ("2026-01-25 10:00", 2, "x"), ("2026-01-25 11:00", None, "x"),
+          ("2026-01-25 11:00", None, "x"), ("2026-01-22 00:00", 9, "x")])
+    send([("2026-01-23 09:59", 1, "x"), ("2026-01-23 11:00", 3, "x"), ("2026-01-25 10:00", 1, "x"), ("2026-01-30 00:00", 4, "x"), (None, 5, "x")])
+    send([("2026-01-25 10:00", 1, "x"), ("2026-01-30 00:00", 4, "x"), ("2026-01-28 00:00", 4, "x")])
+    got = sorted((str(r.ts), r.value or 0, r.outcome) for r in arrivals.read_arrivals(spark, out).collect())
+    assert got == sorted([
+        ("2026-01-25 10:00:00", 1.0, "on_time"), ("2026-01-25 10:00:00", 1.0, "repeated"), ("2026-01-25 10:00:00", 2.0, "on_time"),
+        ("2026-01-25 11:00:00", 0, "on_time"), ("2026-01-25 11:00:00", 0, "repeated"), ("2026-01-22 00:00:00", 9.0, "on_time"),
+        ("2026-01-23 09:59:00", 1.0, "late"), ("2026-01-23 11:00:00", 3.0, "on_time"), ("2026-01-25 10:00:00", 1.0, "repeated"),
+        ("2026-01-30 00:00:00", 4.0, "on_time"), ("None", 5.0, "late"), ("2026-01-25 10:00:00", 1.0, "late"),
+        ("2026-01-30 00:00:00", 4.0, "repeated"), ("2026-01-28 00:00:00", 4.0, "on_time")])
