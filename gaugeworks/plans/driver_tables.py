@@ -117,6 +117,19 @@ def write_export_files(lines: DataFrame, path: str) -> str:
     return path
 
 
+def name_exports(spark: SparkSession, path: str, tree: str, folder: str) -> str:
+    """Export files of ``write_export_files`` moved to ``<tree>/<folder>/<series>.csv``: one move per series."""
+    files = spark._jvm.org.apache.hadoop.fs
+    system = files.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(files.Path(f"{tree}/{folder}"))
+    for series in system.listStatus(files.Path(path)):
+        name = series.getPath().getName()
+        if name.startswith("series="):
+            parts = [f.getPath() for f in system.listStatus(series.getPath()) if f.getPath().getName().endswith(".csv")]
+            system.rename(parts[0], files.Path(f"{tree}/{folder}/{name.partition('=')[2]}.csv"))
+    return tree
+
+
 def live_json(raw: DataFrame) -> DataFrame:
     """``raw`` as JSON lines of live readings with their kind, some of them cut short."""
     level = F.col("parameter") == WATER_LEVEL

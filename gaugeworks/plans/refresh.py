@@ -27,7 +27,7 @@ from gaugeworks.sinks.store import (
     DAILY_FOLDERS, RAW_FOLDERS, replace_daily, replace_partitions, station_bucket, with_period, write_daily, write_meta,
     write_raw,
 )
-from gaugeworks.sources.exports import read_export, read_lines, store_meta
+from gaugeworks.sources.exports import read_lines, stage_export
 from gaugeworks.sources.store import normalise_daily, normalise_raw
 
 
@@ -65,18 +65,17 @@ def ingest_exports(spark: SparkSession, paths: str | list[str], root: str, dedup
                    scale: int | None = None, identity: str = "header") -> Layout:
     """Exports to raw, daily, metadata and rejects below ``root``.
 
-    File metadata is stored first, so that the join of rows with files is planned
-    with a known size. The daily rollup reads the stored raw series instead of
-    parsing the text twice. Overlapping exports count twice unless ``dedup``, which keeps
+    The text is read and parsed once, into the shared folder; metadata, series and rejects
+    come from there, and the daily rollup from the stored series. Overlapping exports count twice unless ``dedup``, which keeps
     the row of the file that was queried last.
     """
     out = Layout(root.rstrip("/"))
-    meta = store_meta(read_lines(spark, paths), out.files)
-    export = read_export(spark, paths, meta=meta, identity=identity)
+    export = stage_export(read_lines(spark, paths), f"{shared_dir(spark).rstrip('/')}/{stage_name('ingest', out.root)}", identity)
+    export.meta.write.mode("overwrite").parquet(out.files)
     write_raw(dedup_last(export.raw) if dedup else export.raw, out.raw)
     export.rejects.write.mode("overwrite").json(out.rejects)
     write_daily(daily_rollup(normalise_raw(spark.read.parquet(out.raw)), scale), out.daily)
-    write_meta(meta, out.meta)
+    write_meta(export.meta, out.meta)
     return out
 
 

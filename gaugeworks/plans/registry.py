@@ -333,10 +333,32 @@ def export_listing(spark, sf):
     return manifest.list_exports(spark, path).groupBy("folder").agg(F.sum("length").alias("n_bytes"))
 
 
+@query(Q.export_files())
+def export_files(spark, sf):
+    """Export files with the names of the format, found by their paths and read."""
+    root = _folder(spark, "named")
+    D.name_exports(spark, D.write_export_files(D.export_lines(D.raw_events(spark, sf)), f"{root}/written"), f"{root}/exports", "all")
+    raw = exports.read_export(spark, exports.export_paths(f"{root}/exports")).raw
+    return raw.select(*KEYS, "ts", "value", "status", F.regexp_extract("source_file", r"([^/]+)$", 1).alias("file_name"))
+
+
+@query(Q.update_files())
+def update_files(spark, sf):
+    """Update files in two folders with equal names against what is there: station 0 is older, station 1 missing, a folder new."""
+    root = _folder(spark, "updates")
+    raw = D.raw_events(spark, sf)
+    older = raw.filter((F.col("station_id") > 1) | ((F.col("station_id") == 0) & (F.col("k") < 50)))
+    for rows, tree, folder in ((raw, "updates", "a"), (raw, "updates", "b/c"), (older, "target", "a")):
+        written = D.write_export_files(D.export_lines(rows), f"{root}/written/{tree}/{folder}")
+        D.name_exports(spark, written, f"{root}/{tree}", folder)
+    plan = manifest.plan_updates(manifest.list_exports(spark, f"{root}/updates"), manifest.list_exports(spark, f"{root}/target"), "backup")
+    return plan.select("folder", "name", "length", "target_length", "action", "applied")
+
+
 @query(Q.export_dedup())
 def export_dedup(spark, sf):
     """Every series exported twice; the file queried later has smaller values and an earlier name."""
-    raw = series.with_value(D.raw_events(spark, sf)).filter(F.col("parameter").isin("click", "view"))
+    raw = series.with_value(D.raw_events(spark, sf))
     minute = raw.withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
     files = []
     for name, queried, change in (("26.12.2024", "26.12.2024 11:50", 1000), ("02.01.2025", "02.01.2025 08:00", 0)):

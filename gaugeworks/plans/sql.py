@@ -337,30 +337,46 @@ SELECT {EXPORT_PATH} AS file_path, COUNT(*) + {LINES_OF_HEAD} AS n_lines, CAST(6
 FROM raw GROUP BY ALL"""
 
 
-def export_listing() -> str:
+def _export_bytes(condition: str = "true") -> str:
     """Bytes of the rows and of the head lines, a line end each; the writer leaves the blank line out."""
-    return f"""WITH {EVENTS}, rows_ AS (
+    return f"""rows_ AS (
   SELECT station_id || '_' || parameter AS s, station_id AS n, parameter AS p,
          strlen('"' || substr(CAST(ts AS VARCHAR), 1, 16) || CASE WHEN k % 10 = 2 THEN ' Uhr' ELSE '' END || '";' ||
                 COALESCE(replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || CASE WHEN k % 10 = 1 THEN 'abc' ELSE '' END, '')
-                || ';' || CASE status WHEN 'Geprueft' THEN 'Geprüft' ELSE ' ' || status END) + 1 AS b FROM raw
+                || ';' || CASE status WHEN 'Geprueft' THEN 'Geprüft' ELSE ' ' || status END) + 1 AS b FROM raw WHERE {condition}
 ), heads AS (
   SELECT DISTINCT s, strlen('Quelle:;"Pegeldienst"') + strlen('Zeitbezug:;MEZ') + strlen('Messstellen-Name:;Pegel ' || n)
        + strlen('Messstellen-Nr.:;' || (n + 1)) + strlen('Gewässer:;Musterbach')
        + strlen('Ostwert:;69' || n || ';Nordwert:;53' || n || ';"UTM 32N"')
        + strlen('Datum;"' || CASE p WHEN 'click' THEN 'Wasserstand [cm]' WHEN 'view' THEN 'Wassertemperatur [°C]'
                                     ELSE 'Abfluss [m³/s]' END || '";Prüfstatus') + {LINES_OF_HEAD - 1} AS b FROM rows_)
-SELECT 'series=' || s AS folder, CAST(SUM(b) AS BIGINT) AS n_bytes
-FROM (SELECT s, b FROM rows_ UNION ALL SELECT s, b FROM heads) GROUP BY s"""
+SELECT s, CAST(SUM(b) AS BIGINT) AS n_bytes FROM (SELECT s, b FROM rows_ UNION ALL SELECT s, b FROM heads) GROUP BY s"""
+
+
+def export_listing() -> str:
+    return f"""WITH {EVENTS}, {_export_bytes().replace("SELECT s, CAST", "SELECT 'series=' || s AS folder, CAST")}"""
+
+
+def export_files() -> str:
+    return f"""SELECT * EXCLUDE (source_file), replace(source_file, 'exports/', '') AS file_name FROM ({csv_roundtrip()})"""
+
+
+def update_files() -> str:
+    older = _export_bytes("station_id > 1 OR (station_id = 0 AND k < 50)")
+    return f"""WITH {EVENTS}, u AS (WITH {_export_bytes()}), t AS (WITH {older}), p AS (
+  SELECT 'a' AS folder, u.s || '.csv' AS name, u.n_bytes AS length, t.n_bytes AS target_length FROM u LEFT JOIN t USING (s)
+  UNION ALL SELECT 'b/c', s || '.csv', n_bytes, NULL FROM u)
+SELECT *, CASE WHEN target_length IS NULL THEN 'copy' WHEN target_length = length THEN 'already_applied' ELSE 'backup' END AS action,
+       true AS applied FROM p"""
 
 
 def export_dedup() -> str:
     return f"""WITH {EVENTS}, ranked AS (
   SELECT CAST(station_id + 1 AS INTEGER) AS station_id,
-         CASE parameter WHEN 'click' THEN 'water_level_cm' ELSE 'water_temperature_c' END AS parameter,
-         date_trunc('minute', ts) AS ts, value, status,
-         row_number() OVER (PARTITION BY station_id, parameter, date_trunc('minute', ts) ORDER BY value DESC, status DESC) AS rn
-  FROM raw WHERE value IS NOT NULL AND parameter IN ('click', 'view'))
+         {EXPORT_PARAMETER} AS parameter, date_trunc('minute', ts) AS ts, value, status,
+         row_number() OVER (PARTITION BY station_id, {EXPORT_PARAMETER}, date_trunc('minute', ts)
+                            ORDER BY raw.parameter DESC, value DESC, status DESC) AS rn
+  FROM raw WHERE value IS NOT NULL)
 SELECT {KEYS}, CAST(ts AS VARCHAR) AS ts, value, status FROM ranked WHERE rn = 1"""
 
 

@@ -13,10 +13,12 @@ the rejects, or both.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.functions.scalars import (
@@ -174,25 +176,54 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     ``rows`` has ``line``, ``station_id`` and ``parameter``; a row without a station
     is rejected too, so nothing is lost unseen.
     """
-    typed = rows.withColumn("parts", F.split("line", ";")).withColumns({
+    return evaluated_once(_judged(_cells(rows)))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """What the text of a row says, whatever file it is in."""
+    return rows.withColumn("parts", F.split("line", ";")).withColumns({
         "n_fields": F.size("parts"),
-        "ts_text": clean_text(F.get("parts", 0)),
-        "value_text": clean_text(F.get("parts", 1)),
+        "ts": parse_ts(clean_text(F.get("parts", 0))),
+        "value": decimal_comma(clean_text(F.get("parts", 1))),
+        "has_value": clean_text(F.get("parts", 1)).isNotNull(),
         "status": fold_status(F.get("parts", 2)),
+        "is_key": F.col("line").rlike(QUOTED_KEY) & ~F.col("line").rlike(r'^"\d'),
     }).drop("parts")
+
+
+def _judged(cells: DataFrame) -> DataFrame:
+    """Cells of rows whose station and parameter are known, or not, with the reason to reject them."""
     usable = F.col("station_id").isNotNull() & F.col("parameter").isNotNull() & (F.col("n_fields") >= 3)
-    parsed = typed.withColumns({
-        "ts": F.when(usable, parse_ts("ts_text")),
-        "value": decimal_comma("value_text"),
-    }).withColumn(
+    return cells.withColumn("ts", F.when(usable, F.col("ts"))).withColumn(
         "reject_reason",
-        F.when(F.col("line").rlike(QUOTED_KEY) & ~F.col("line").rlike(r'^"\d'), "bad_preamble")
+        F.when(F.col("is_key"), "bad_preamble")
         .when(F.col("parameter").isNull(), "no_header")
         .when(F.col("station_id").isNull(), "no_station")
         .when(F.col("n_fields") < 3, "short_row")
         .when(F.col("ts").isNull(), "bad_ts")
-        .when(F.col("value").isNull() & F.col("value_text").isNotNull(), "bad_value"))
-    return evaluated_once(parsed)
+        .when(F.col("value").isNull() & F.col("has_value"), "bad_value"))
+
+
+STAGED = T.StructType([
+    T.StructField("file_path", T.StringType()), T.StructField("line", T.StringType()), T.StructField("n_fields", T.IntegerType()),
+    T.StructField("ts", T.TimestampNTZType()), T.StructField("value", T.DoubleType()), T.StructField("has_value", T.BooleanType()),
+    T.StructField("status", T.StringType()), T.StructField("is_key", T.BooleanType()), T.StructField("kind", T.StringType())])
+
+
+def stage_export(lines: DataFrame, path: str, identity: str = "header") -> Export:
+    """``parse_export`` with the text read and parsed once.
+
+    Lines go to ``path`` in two folders, head lines and parsed rows; metadata, series and
+    rejects are all made from there. Rows meet their file's metadata when they are read
+    back, with its stored size known.
+    """
+    kind = F.when(_is_meta() | _is_header(), "head").otherwise("row")
+    cells = _cells(lines.filter(F.col("line") != "").select("file_path", "line").withColumn("kind", kind))
+    cells.select(*STAGED.names).write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{path}/lines")
+    staged = lines.sparkSession.read.schema(STAGED).parquet(f"{path}/lines")
+    station_meta(staged.filter("kind = 'head'").select("file_path", "line")).write.mode("overwrite").parquet(f"{path}/meta")
+    meta = lines.sparkSession.read.schema(STATION_META).parquet(f"{path}/meta")
+    return _export_of(staged.filter("kind = 'row'"), meta, identity, _judged)
 
 
 def name_date(path: str) -> Column:
@@ -233,15 +264,18 @@ def parse_export(lines: DataFrame, meta: DataFrame | None = None, identity: str
     rows may be shuffled by file first. ``identity="path"`` avoids the join.
     """
     _, _, rows = split_preamble(lines)
-    if meta is None:
-        meta = file_meta(lines)
+    return _export_of(rows, file_meta(lines) if meta is None else meta, identity, parse_rows)
+
+
+def _export_of(rows: DataFrame, meta: DataFrame, identity: str, parse: Callable[[DataFrame], DataFrame]) -> Export:
+    """Rows that get station and parameter from their file, split into series and rejects."""
     if identity == "path":
         rows = identity_from_path(rows).withColumn("fetched_at", name_date("file_path").cast("string"))
     elif identity == "header":
         rows = rows.join(meta.select("file_path", "station_id", "parameter", queried_at().alias("fetched_at")), "file_path", "left")
     else:
         raise ValueError("identity must be 'header' or 'path'")
-    good, rejects = split_rejects(parse_rows(rows))
+    good, rejects = split_rejects(parse(rows))
     raw = good.select(*RAW.names, F.col("file_path").alias("source_file"), "fetched_at")
     return Export(raw, rejects.select("file_path", "line", "reject_reason"), meta)
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks.plans.refresh import merge_into_store, stage_name
 from gaugeworks.session import shared_dir
-from gaugeworks.sources.exports import line_text, parse_export, store_meta
+from gaugeworks.sources.exports import line_text, stage_export
 
 
 def export_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -26,11 +26,12 @@ def start_ingest(lines: DataFrame, raw_path: str, checkpoint: str, daily_path: s
                  available_now: bool = False) -> StreamingQuery:
     """ST7: parse the files of each micro-batch and merge them into the stored series.
 
-    A file is never split over micro-batches, so its preamble meets its rows.
+    A file is never split over micro-batches, so its preamble meets its rows; its text is
+    parsed once.
     """
     def ingest(batch: DataFrame, batch_id: int) -> None:
         stage = f"{shared_dir(batch.sparkSession).rstrip('/')}/{stage_name('files', raw_path)}"
-        export = parse_export(batch, store_meta(batch, stage), identity)
+        export = stage_export(batch, stage, identity)
         if rejects_path is not None:
             export.rejects.write.mode("overwrite").json(f"{rejects_path}/batch={batch_id}")
         merge_into_store(batch.sparkSession, export.raw, raw_path, f"{checkpoint}#{batch_id}",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from gauge_data import LEVELS, STATION, TENTHS, clock, level_lines, write_exports
 from gaugeworks.operators.records import records
 from gaugeworks.operators.rollup import daily_rollup, hourly_mean
+from gaugeworks.plans import refresh
 from gaugeworks.plans.refresh import ingest_exports
 from gaugeworks.sources import exports
 from gaugeworks.sources.store import read_daily, read_raw
+from gaugeworks.streaming import exports as export_streams
 
 
 @pytest.fixture(scope="module")
@@ -170,3 +172,48 @@ def test_overlapping_exports_count_twice_unless_deduplicated(spark, root, tmp_pa
     assert counts == {"water_level_cm": 96, "water_temperature_c": 102}
     counts = {r.parameter: r["count"] for r in read_daily(spark, once.daily).collect()}
     assert counts == {"water_level_cm": 48, "water_temperature_c": 51}
+
+
+def counting(spark, read):
+    """Lines that pass are counted each time they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def counted(*args):
+        found = read(*args)
+        return found.mapInArrow(passing, found.schema)
+
+    return counted, seen
+
+
+def test_the_text_of_an_ingest_is_read_once(spark, root, tmp_path, monkeypatch):
+    paths = exports.export_paths(root, STATION)
+    n_lines = exports.read_lines(spark, paths).count()
+    counted, seen = counting(spark, exports.read_lines)
+    monkeypatch.setattr(refresh, "read_lines", counted)
+    out = ingest_exports(spark, paths, str(tmp_path / "out"), scale=2)
+    assert seen.value == n_lines and read_raw(spark, out.raw).count() == len(LEVELS) + len(TENTHS) + 1
+
+
+def test_the_text_of_a_batch_of_files_is_read_once(spark, root, tmp_path, monkeypatch):
+    n_lines = exports.read_lines(spark, exports.export_paths(root, STATION)).count()
+    counted, seen = counting(spark, lambda batch: batch)
+    real = export_streams.stage_export
+    monkeypatch.setattr(export_streams, "stage_export", lambda batch, *a: real(counted(batch), *a))
+    lines = export_streams.export_stream(spark, root)
+    query = export_streams.start_ingest(lines, str(tmp_path / "raw"), str(tmp_path / "c"), rejects_path=str(tmp_path / "rejects"), available_now=True)
+    query.awaitTermination()
+    assert seen.value == n_lines and read_raw(spark, str(tmp_path / "raw")).count() == len(LEVELS) + len(TENTHS) + 1
+
+
+def test_staged_parse_equals_the_parse_of_lines(spark, tmp_path):
+    text = ["Messstellen-Nr.:;7", "Datum;Wasserstand [cm];x", '"2031-04-03 00:00";1,5;Geprüft', '"2031-04-03 00:15";x;y', "kaputt", '"2031-04-03";1', "", '"Quelle:";a']
+    both = lines(spark, text, "a/7_b.csv").unionByName(lines(spark, text[2:4], "a/8_no_head.csv"))
+    for identity in ("header", "path"):
+        plain, staged = exports.parse_export(both, identity=identity), exports.stage_export(both, str(tmp_path / identity), identity)
+        for one, two in zip(plain, staged):
+            assert sorted(map(str, one.collect())) == sorted(map(str, two.select(one.columns).collect())) != []
