@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from gaugeworks.functions import scalars as S
 from gaugeworks.operators import asof, climate, merge, quality, ranges, records, rollup, series
 from gaugeworks.plans import driver_tables as D
-from gaugeworks.plans import refresh, series_store
+from gaugeworks.plans import refresh, series_lookup, series_store
 from gaugeworks.plans import sql as Q
 from gaugeworks.schema import CATALOGUE, KEYS, WATER_LEVEL, WATER_TEMPERATURE
 from gaugeworks.session import shared_dir
@@ -579,6 +579,27 @@ def store_compacted(spark, sf):
     return series_store.read_series(spark, root).select(*KEYS, "ts", "value", "status")
 
 
+def _halves_series(spark: SparkSession, sf: str) -> str:
+    """All readings in a versioned store: even events as its base, odd ones as changes."""
+    root = _folder(spark, "halves")
+    raw = D.raw_events(spark, sf)
+    series_store.load_series(spark, raw.filter("event_id % 2 = 0"), root, D.SCALE)
+    series_store.merge_series(spark, raw.filter("event_id % 2 = 1"), root, "odd", D.SCALE)
+    return root
+
+
+@query(Q.records())
+def records_stored(spark, sf):
+    """Records by way of the stored daily state; only the folders that hold them are opened."""
+    return series_lookup.stored_records(spark, _halves_series(spark, sf), D.SCALE)
+
+
+@query(Q.nearest_observation())
+def nearest_stored(spark, sf):
+    """Probes against the stored series; folders of their days and of the nearest days with a value are opened."""
+    return series_lookup.stored_nearest(spark, _halves_series(spark, sf), _probes(D.raw_events(spark, sf)), D.SCALE)
+
+
 @query(Q.merged_store())
 def store_merge_folders(spark, sf):
     """The same merge into a plain store, whose touched folders are replaced."""

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from gauge_data import raw_rows
 from gaugeworks.operators import merge
+from gaugeworks.operators.asof import nearest_observation
+from gaugeworks.operators.records import records
 from gaugeworks.operators.rollup import daily_rollup
-from gaugeworks.plans import series_store
+from gaugeworks.plans import series_lookup, series_store
 from gaugeworks.schema import RAW
 from gaugeworks.sinks import versions
 
@@ -152,3 +154,50 @@ def test_rows_without_a_key_and_odd_parameters(spark, tmp_path):
     assert sorted(r.value for r in spark.read.json(f"{path}/rejects").collect()) == [1.0, 2.0]
     series_store.merge_series(spark, rows.limit(0), path, "empty", 1)
     assert series_store.read_series(spark, path).count() == 2
+
+
+def spoil(root, wanted):
+    """Makes the raw files of other folders unreadable: whoever opens one fails."""
+    for at, _, names in os.walk(f"{root}/data/raw"):
+        for n in names:
+            if n.endswith(".parquet") and not any(w in at for w in wanted):
+                open(os.path.join(at, n), "w").write("no parquet")
+                os.remove(os.path.join(at, f".{n}.crc"))
+
+
+@pytest.fixture
+def years(spark, tmp_path):
+    """Two series over months with gaps; some readings are changes beside the base."""
+    rows = [(f"{y}-{m:02d}-{d:02d} {h:02d}:30", float((7 * m + 3 * d + h + y) % 23) if (d + m) % 4 else None, "x")
+            for y in (2023, 2024) for m in (1, 2, 5, 9) for d in (3, 4, 20) for h in (9, 10, 21)]
+    raw = raw_rows(spark, rows + [("2024-02-20 12:00", 99, "hi"), ("2024-05-20 12:00", 99, "hi"), ("2023-09-04 01:00", -5, "lo")])
+    raw = raw.unionByName(raw_rows(spark, rows[:20], 2))
+    path = str(tmp_path / "years")
+    series_store.load_series(spark, raw.filter("hour(ts) <> 10"), path, 1)
+    series_store.merge_series(spark, raw.filter("hour(ts) = 10"), path, "rest", 1)
+    return path, raw
+
+
+def test_records_open_only_the_folders_that_hold_them(spark, years):
+    path, raw = years
+    want = sorted(map(str, records(raw).collect()))
+    held = {f"year={t.year}/month={t.month}/" for r in records(raw).collect() for t in (r.min_ts, r.max_ts)}
+    spoil(path, held)
+    assert sorted(map(str, series_lookup.stored_records(spark, path, 1).collect())) == want
+
+
+def test_probes_open_their_days_and_the_neighbours_only(spark, years):
+    path, raw = years
+    probes = raw_rows(spark, [("2023-05-20 23:00", 0, "p"), ("2023-07-01 00:00", 0, "p"), ("2023-05-04 09:31", 0, "p")]).select(
+        "station_id", "parameter", F.col("ts").alias("probe_ts"))
+    want = sorted(map(str, nearest_observation(probes, raw).collect()))
+    spoil(path, {"year=2023/month=5/", "year=2023/month=9/"})
+    assert sorted(map(str, series_lookup.stored_nearest(spark, path, probes, 1).collect())) == want
+
+
+def test_probes_outside_and_without_a_series(spark, years):
+    path, raw = years
+    probes = raw_rows(spark, [("2020-01-01 00:00", 0, "p"), ("2030-01-01 00:00", 0, "p"), (None, 0, "p")]).unionByName(
+        raw_rows(spark, [("2023-05-04 09:31", 0, "p")], 77)).select("station_id", "parameter", F.col("ts").alias("probe_ts"))
+    want = sorted(map(str, nearest_observation(probes, raw).collect()))
+    assert sorted(map(str, series_lookup.stored_nearest(spark, path, probes, 1).collect())) == want
