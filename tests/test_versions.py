@@ -191,7 +191,7 @@ def test_probes_open_their_days_and_the_neighbours_only(spark, years):
     probes = raw_rows(spark, [("2023-05-20 23:00", 0, "p"), ("2023-07-01 00:00", 0, "p"), ("2023-05-04 09:31", 0, "p")]).select(
         "station_id", "parameter", F.col("ts").alias("probe_ts"))
     want = sorted(map(str, nearest_observation(probes, raw).collect()))
-    spoil(path, {"year=2023/month=5/", "year=2023/month=9/"})
+    spoil(path, {"year=2023/month=2/", "year=2023/month=5/", "year=2023/month=9/"})  # 3 May has no value
     assert sorted(map(str, series_lookup.stored_nearest(spark, path, probes, 1).collect())) == want
 
 
