@@ -3,7 +3,8 @@
 How many rows of each input partition go to each shard is drawn first, exactly as a
 uniform permutation of all rows would distribute them (multivariate hypergeometric).
 Partitions permute their rows locally, cut them by their row of the matrix, exchange
-once and permute again inside the shard.
+once and permute again inside the shard: a second draw orders its rows, and the number of
+rows per range of that draw, counted before, gives each range its place.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeworks.llm.common import ROW_BITS, positions, stage
+from gaugeworks.llm.common import ROW_BITS, stage
 
 SPREAD = 12.0
 """Standard deviations on either side of the mode that a draw looks at; what lies beyond weighs under 1e-30."""
 
+BROADCAST_CELLS = 4_000_000
+"""Most cells of the matrix that go to every task; beyond, its join shuffles."""
+RANGE_ROWS, RANGES = 4096, 1 << 20
+"""Rows planned for a range of a shard, which is sorted in one piece, and most ranges of all shards."""
+
 
 def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` rows out of ``total`` are among the ``good`` ones, by inversion with ``u`` in [0, 1).
@@ -89,6 +95,12 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int = 0) -> DataFr
     return nodes.join(sizes.select("at", "part"), "at").select("part", ends.alias("ends"))
 
 
+def _range_bits(total: int, shards: int) -> int:
+    """Leading bits of the second draw that name a range: ranges of some thousand rows, ``RANGES`` in all at most."""
+    wanted = min(-(-total // (shards * RANGE_ROWS)), max(RANGES // shards, 1))
+    return max(wanted, 1).bit_length() - 1
+
+
 def shard(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (place in the shard, from 0, gapless).
 
@@ -106,13 +118,21 @@ def shard(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
              .withColumn("_id", F.monotonically_increasing_id()).drop("_draw"))
     part = F.shiftright("_id", ROW_BITS)
     local = stage(local, "permuted").withColumn("_part", part)
-    sizes = local.groupBy(F.col("_part").alias("part")).agg(F.count("*").alias("n"))
-    matrix = communication_matrix(sizes, shards, seed)
+    sizes = stage(local.groupBy(F.col("_part").alias("part")).agg(F.count("*").alias("n")), "part-sizes")
+    matrix = stage(communication_matrix(sizes, shards, seed), "matrix")
+    count, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    matrix = F.broadcast(matrix) if count * shards <= BROADCAST_CELLS else matrix
+    bits = _range_bits(total, shards)
     rank = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    draw = F.xxhash64(F.lit(seed + 1), "_id")
     dealt = (local.join(matrix, F.col("_part") == F.col("part"))
-             .withColumn("shard", F.size(F.filter("ends", lambda e: e <= rank)))
-             .withColumn("_draw", F.xxhash64(F.lit(seed + 1), "_id")).drop("part", "ends", "_part"))
-    placed = positions(stage(dealt, "dealt"), ["shard", "_draw", "_id"], "shards", "_place")
-    first = placed.groupBy("shard").agg(F.min("_place").alias("_first"))
-    return (placed.join(F.broadcast(first), "shard")  # one row per shard
-            .withColumn("slot", F.col("_place") - F.col("_first")).select(*df.columns, "shard", "slot"))
+             .withColumn("shard", F.size(F.filter("ends", lambda e: e <= rank))).withColumn("_draw", draw)
+             .withColumn("_range", F.shiftrightunsigned("_draw", 64 - bits) if bits else F.lit(0).cast("long"))
+             .drop("part", "ends", "_part"))
+    # Where each range of draws starts in its shard is counted without the rows' other columns.
+    by_range = Window.partitionBy("shard").orderBy("_range")
+    first = stage(dealt.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
+                  .select("shard", "_range", (F.sum("_n").over(by_range) - F.col("_n")).alias("_first")), "range-starts")
+    within = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_draw", "_id")) - 1
+    return (dealt.withColumn("_within", within).join(F.broadcast(first), ["shard", "_range"])  # at most RANGES rows
+            .withColumn("slot", F.col("_first") + F.col("_within")).select(*df.columns, "shard", "slot"))

@@ -58,6 +58,28 @@ def test_shards_are_exact_and_gapless(docs, shards):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
 
 
+def test_documents_are_exchanged_once(docs):
+    plan = sharding.shard(docs, 8, seed=3)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) == 1 and "SortMergeJoin" not in plan
+
+
+def test_every_place_is_equally_likely(spark):
+    """15 shuffles of 40 rows in 4 partitions: where rows come from says nothing about shard or half."""
+    rows = spark.range(40).repartition(4).select("id")
+    seen = Counter()
+    for seed in range(15):
+        for r in sharding.shard(rows, 2, seed=seed).collect():
+            seen[(r["id"] < 20, r["shard"], r["slot"] < 10)] += 1
+    assert len(seen) == 8 and max(abs(n - 75) for n in seen.values()) < 42  # five standard deviations
+
+
+def test_ranges_give_the_same_law(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 3)
+    got = sharding.shard(spark.range(1000).repartition(7), 3, seed=1).collect()
+    assert sorted(r["id"] for r in got) == list(range(1000))
+    assert [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(3)] == [list(range(n)) for n in (334, 333, 333)]
+
+
 def test_shards_of_nothing_and_clashes(spark, docs):
     assert sharding.shard(spark.createDataFrame([], DOCS), 8).count() == 0
     with pytest.raises(ValueError):
