@@ -26,6 +26,8 @@ from gaugeworks.llm.links import small_keys
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 1500
 """Bound of the labelled rows that a language's centroids are fitted on (chosen by a hash of the id)."""
+SLACK = 4
+"""How many times the sample is sorted to choose it; fewer than a sample among so many has odds below 1e-300."""
 CENTROIDS = 3
 ROUNDS = 10
 TAIL, EASE = 0.002, 0.6
@@ -109,6 +111,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.nd
     return centers, np.stack([near.argmax(axis=1), near.max(axis=1)], axis=1)
 
 
+def _smallest_hashes(ids: DataFrame, most: int) -> DataFrame:
+    """``lang, id`` of the ``most`` rows of each language whose ids have the smallest hashes.
+
+    Hashes are uniform, so rows far above the place sought are left out where they are
+    read; only about ``SLACK`` times the sample is sorted, whatever the size of a language.
+    """
+    share = ids.groupBy("lang").agg((F.lit(float(SLACK * most)) / F.count("*")).alias("share"))
+    hashed = ids.withColumn("h", F.xxhash64("id")).join(small_keys(stage(share, "shares")), "lang")
+    low = hashed.where(F.col("h") / F.lit(float(1 << 64)) + 0.5 <= F.col("share"))
+    by_hash = Window.partitionBy("lang").orderBy("h", "id")
+    return low.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most).select("lang", "id").distinct()
+
+
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS,
         dimensions: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Centroids from at most ``per_language`` labelled rows per language, whole texts.
@@ -119,9 +134,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.select("lang", "id").withColumn("place", F.row_number().over(by_hash))
-              .where(F.col("place") <= per_language).select("lang", "id").distinct())
+    chosen = _smallest_hashes(known.select("lang", "id"), per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -496,3 +496,12 @@ def test_count_query_equals_the_library(spark):
     for r in queries.QUERIES["op9_count_resynchronised"](spark, SF).collect():
         n = len(tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 2048)
+
+
+def test_the_sample_is_the_smallest_hashes_of_a_language(spark):
+    ids = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, "de").otherwise("en").alias("lang"), "id").union(
+        spark.createDataFrame([("fr", i) for i in range(30)], "lang string, id bigint"))
+    got = {(r.lang, r.id) for r in language_id._smallest_hashes(ids, 100).collect()}
+    hashed = ids.withColumn("h", F.xxhash64("id")).collect()
+    want = {(x.lang, x.id) for lang in ("de", "en", "fr") for x in sorted((r for r in hashed if r.lang == lang), key=lambda r: (r.h, r.id))[:100]}
+    assert got == want and len(got) == 230

@@ -118,3 +118,16 @@ def test_run_is_registered(spark):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_repeated_rows_empty_tables_and_clashes(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "b", 5), (1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, "x " + text, "en", "s", 5), (3, None, "en", "s", 0), (3, None, "en", "s", 0)]
+    got = corpus_pipeline.join_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, text, "en", "a", 5), (3, None, "en", "s", 0), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame([], DOCS)
+    for _, fn in corpus_pipeline.STAGES:
+        assert fn(spark, docs, SF).count() == 0
+    for stage_fn in (corpus_pipeline.join_near_duplicates, corpus_pipeline.decontaminate):
+        with pytest.raises(ValueError, match="_k1"):
+            stage_fn(spark, docs.withColumn("_k1", docs["doc_id"]), SF)
