@@ -46,9 +46,8 @@ def byte_pieces(docs: DataFrame) -> DataFrame:
 
 @query()
 def op2_pack_shortest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = byte_pieces(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces, SEQUENCE).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack(byte_pieces(table(spark, sf_dir, "documents")), SEQUENCE)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query(O.CONTAMINATION)
