@@ -10,13 +10,13 @@ from pyspark.sql import types as T
 
 from gaugeworks.llm.tokens import WordCounts, remembered, tokenizer
 
-CHUNK, OVERLAP = 48_000, 256
+CHUNK, OVERLAP = 4_000, 256
 
 
-def _starts(tok, text: str, begin: int, end: int) -> dict[int, int]:
-    """Id of the token that starts at each place of ``text[begin:end]``.
+def _starts(tok, text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
+    """Ids of the tokens of ``text[begin:end]`` and the places in ``text`` where they start.
 
-    Several tokens may report one place (parts of a character); the last one counts.
+    Several tokens may report one place (parts of a character).
     """
     enc = tok.encode(text[begin:end], add_special_tokens=False)
     return enc.ids, [begin + a for a, _ in enc.offsets]

@@ -505,3 +505,20 @@ def test_the_sample_is_the_smallest_hashes_of_a_language(spark):
     hashed = ids.withColumn("h", F.xxhash64("id")).collect()
     want = {(x.lang, x.id) for lang in ("de", "en", "fr") for x in sorted((r for r in hashed if r.lang == lang), key=lambda r: (r.h, r.id))[:100]}
     assert got == want and len(got) == 230
+
+
+def test_counts_and_packed_ids_on_the_given_documents(spark):
+    """Both queries against the library on whole texts, some of them above the chunk of op9."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sum(len(t) > token_counts.CHUNK for _, t in docs) > 5
+    tok = tokens.tokenizer(WORDS)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in queries.QUERIES["op9_count_resynchronised"](spark, sf).collect()}
+    assert got == {i: (len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in docs}
+    tok = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in docs}
+    pieces = queries.QUERIES["op2_pack_shortest_first"](spark, sf).collect()
+    for r in pieces:
+        ids = np.array(want[r["doc_id"]][r["start"]:r["start"] + r["length"]], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(ids.tobytes()) and r["doc_tokens"] == len(want[r["doc_id"]])
+    assert sum(r["length"] for r in pieces) == sum(map(len, want.values()))
