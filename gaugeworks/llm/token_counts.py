@@ -3,36 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Encoding
 
 from gaugeworks.llm.tokens import WordCounts, remembered, tokenizer
 
 CHUNK, OVERLAP = 4_000, 256
 
 
-def _starts(tok, text: str, begin: int, end: int) -> tuple[list[int], list[int]]:
-    """Ids of the tokens of ``text[begin:end]`` and the places in ``text`` where they start.
+class Piece(NamedTuple):
+    """An encoding of ``text[begin:...]``; tokens before ``first`` are counted already."""
 
-    Several tokens may report one place (parts of a character).
-    """
-    enc = tok.encode(text[begin:end], add_special_tokens=False)
-    return enc.ids, [begin + a for a, _ in enc.offsets]
+    encoding: Encoding
+    begin: int
+    first: int = 0
+
+    def starting(self, place: int) -> int | None:
+        """The token that starts at a place of the text, if one does."""
+        token = self.encoding.char_to_token(place - self.begin)
+        return token if token is not None and self.encoding.token_to_chars(token)[0] == place - self.begin else None
+
+
+def _encode(tok, text: str, begin: int, end: int) -> Piece:
+    return Piece(tok.encode(text[begin:end], add_special_tokens=False), begin)
 
 
-def _common_boundary(text: str, left, right, low: int, high: int) -> int | None:
-    """A place in (low, high) where both encodings start a token and that no token can cross.
+def _common_boundary(text: str, left: Piece, right: Piece, low: int, high: int) -> tuple[int, int] | None:
+    """Tokens of both encodings that start at one place in (low, high) that no token can cross.
 
     The place follows white space, which the tokenizer drops and never merges across,
     so what stands left of it cannot change the tokens right of it and the reverse.
     The token there must be the same in both encodings. The place nearest to the
     middle is taken, away from the cut ends.
     """
-    a, b = dict(zip(left[1], left[0])), dict(zip(right[1], right[0]))
-    places = [x for x in a.keys() & b.keys() if low < x < high and text[x - 1] in " \n\t\r" and a[x] == b[x]]
-    return min(places, key=lambda x: (abs(2 * x - low - high), x), default=None)
+    places = [x for x in range(low + 1, high) if text[x - 1] in " \n\t\r"]
+    for x in sorted(places, key=lambda x: (abs(2 * x - low - high), x)):
+        i, j = left.starting(x), right.starting(x)
+        if i is not None and j is not None and left.encoding.ids[i] == right.encoding.ids[j]:
+            return i, j
+    return None
 
 
 def count_resynchronised(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
@@ -42,26 +55,25 @@ def count_resynchronised(tok, text: str, chunk: int = CHUNK, overlap: int = OVER
     boundary. Where there is none (a run without white space) the overlap is doubled
     by moving the end of the left chunk, in the end to the end of the text.
     """
-    total, begin, end = 0, 0, min(len(text), chunk)
-    left = _starts(tok, text, begin, end)
+    total, end = 0, min(len(text), chunk)
+    left = _encode(tok, text, 0, end)
     while end < len(text):
-        wide, splice = overlap, None
+        wide = overlap
         while True:
-            low = max(begin, end - wide)
+            low = max(left.begin, end - wide)
             next_end = min(len(text), low + max(chunk, 2 * wide))
-            right = _starts(tok, text, low, next_end)
+            right = _encode(tok, text, low, next_end)
             splice = _common_boundary(text, left, right, low, end)
-            if splice is not None:
+            if splice is not None and splice[0] >= left.first:
                 break
             wide *= 2
             end = min(len(text), end + wide)
-            left = _starts(tok, text, begin, end)
+            left = _encode(tok, text, left.begin, end)._replace(first=left.first)
             if end == len(text):
-                return total + len(left[0])
-        total += sum(x < splice for x in left[1])
-        keep = [(i, x) for i, x in zip(*right) if x >= splice]
-        left, begin, end = ([i for i, _ in keep], [x for _, x in keep]), splice, next_end
-    return total + len(left[0])
+                return total + len(left.encoding) - left.first
+        total += splice[0] - left.first
+        left, end = right._replace(first=splice[1]), next_end
+    return total + len(left.encoding) - left.first
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text",
