@@ -184,7 +184,9 @@ def publish(spark: SparkSession, root: str, tables: dict[str, Table], changes: d
 
 
 def announce(spark: SparkSession, root: str, now: Version, written: list[Part], run_id: str) -> Version:
-    """The version after ``now``, with what a run has written for it."""
+    """The version after ``now``, with what a run has written for it; a run without rows leaves ``now`` as it is."""
+    if not any(p.n_rows for p in written):
+        return now
     version = Version(now.number + 1, [*now.runs, run_id], [*now.parts, *[p for p in written if p.n_rows]])
     _announce(spark, root, version)
     return version
