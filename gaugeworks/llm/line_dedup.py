@@ -74,11 +74,13 @@ def _with_tokens(lines: DataFrame, classes: bytes) -> DataFrame:
     return rated.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(shingles, token)))).drop("w")
 
 
-def _same_lines(pairs: DataFrame, lines: DataFrame, classes: bytes) -> DataFrame:
-    """Pairs whose shingle sets reach the similarity, from the lines' texts."""
-    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted-lines")
-    sets = stage(_with_tokens(lines.select("id", "line").join(small_keys(wanted), "id"), classes)
-                 .select("id", "tokens").dropDuplicates(["id"]), "line-sets")
+def _line_sets(ids: DataFrame, lines: DataFrame, classes: bytes) -> DataFrame:
+    """``id, tokens`` of the lines asked for, one row per id."""
+    return _with_tokens(lines.select("id", "line").join(small_keys(ids), "id").dropDuplicates(["id"]), classes).select("id", "tokens")
+
+
+def _same_lines(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose shingle sets reach the similarity."""
     left, right = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     common = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(left, "a").join(right, "b").where(DEN * common >= NUM * (F.size("ta") + F.size("tb") - common)).select("a", "b")
@@ -101,7 +103,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pairs.where(fits).select("a", "b").distinct()
 
     # One shingle is shared by equal sets only; two such lines differ in blanks at most.
-    roots = linked(rows.select("id", "n", "prefix"), candidates, lambda p: _same_lines(p, lines, classes), NUM, DEN, "lines")
+    roots = linked(rows.select("id", "n", "prefix"), candidates, lambda ids: _line_sets(ids, lines, classes),
+                   _same_lines, NUM, DEN, "lines")
     grouped = (rows.select("doc_id", *KEY, "line_no", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
                .select("doc_id", *KEY, "line_no", F.coalesce("root", "id").alias("root")))
     place = F.struct("doc_id", *KEY, "line_no")

@@ -3,9 +3,11 @@
 A set is an id, its size and its prefix: the first tokens in one global order (rarest
 first). Two sets of Jaccard similarity ``num / den`` or more share a prefix token. Only
 connectivity is wanted, so each inverted list is first compared with its first
-members (hubs); pairs are listed in full only where a list still holds members of
-different components. No pair is dropped, and a group of copies costs a multiple of
-its size, not its square.
+members (hubs). Where a list still holds members of different components, its other
+pairs are compared by bit signatures, whose distance never exceeds the number of tokens
+that only one of the sets has, and those that may reach the similarity are listed. No
+pair that reaches it is dropped, and a group of copies costs a multiple of its size, not
+its square.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql.window import Window
 from gaugeworks.llm.common import components, finished, stage
 
 HUBS = 3
+SIGN_WORDS = 8
+"""Longs of a bit signature; a power of two."""
 BROADCAST_KEYS = 1_000_000
 """Most 64-bit keys that are broadcast as a filter; beyond, the same join shuffles."""
 
@@ -69,40 +73,71 @@ def hub_pairs(lists: DataFrame, num: int, den: int, hubs: int = HUBS) -> DataFra
             .where((F.struct(-F.col("ca"), "pa", "a") < F.struct(-F.col("cb"), "pb", "b")) & long_enough("na", "nb", num, den)))
 
 
-def rest_pairs(lists: DataFrame, roots: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """All pairs of a list whose members lie in different components, once per token that both have.
+def signatures(sets: DataFrame) -> DataFrame:
+    """``id, sign`` from ``id, tokens``: each token flips one bit of the signature, chosen by its low bits."""
+    word = "aggregate(filter(tokens, t -> (shiftright(t, 6) & {last}) = {k}), 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 as int)))"
+    return sets.select("id", F.array(*[F.expr(word.format(last=SIGN_WORDS - 1, k=k)) for k in range(SIGN_WORDS)]).alias("sign"))
 
-    A pair that reaches the similarity keeps all its tokens, so they can be counted.
+
+def near_signatures(na: str, sa: str, nb: str, sb: str, num: int, den: int) -> Column:
+    """Whether two signatures leave the similarity possible.
+
+    A bit differs only where an odd number of tokens of one set alone fall on it, so there
+    are at least as many such tokens as differing bits; the similarity bounds their number.
     """
-    known = roots.select(F.col("node").alias("id"), "root")
+    apart = sum((F.bit_count(F.col(sa)[k].bitwiseXOR(F.col(sb)[k])) for k in range(1, SIGN_WORDS)),
+                F.bit_count(F.col(sa)[0].bitwiseXOR(F.col(sb)[0])))
+    return (num + den) * apart <= (den - num) * (F.col(na) + F.col(nb))
+
+
+def open_lists(lists: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """The postings, with ``root``, of lists whose members lie in different components."""
+    known = small_keys(roots.select(F.col("node").alias("id"), "root"))
     rooted = lists.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = stage(rooted, f"{name}-rooted")
-    open_tokens = (rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                   .where("low < high").select("token"))
-    left = stage(rooted.join(open_tokens, "token"), f"{name}-open")
-    one = left.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    two = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    tokens = stage(rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                   .where("low < high").select("token"), f"{name}-open-tokens")
+    return stage(rooted.join(small_keys(tokens), "token").select("token", "id", "n", "pos", "root"), f"{name}-open")
+
+
+def rest_pairs(left: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of open lists in different components that their signatures leave possible, once per token that both have.
+
+    A pair that reaches the similarity keeps all its tokens, so they can be counted.
+    """
+    left = left.join(signs, "id")
+    one, two = (left.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"),
+                            F.col("root").alias(f"r{x}"), F.col("sign").alias(f"s{x}")) for x in "ab")
     return one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
                                         & long_enough("na", "nb", num, den)
-                                        & compatible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den))
+                                        & compatible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)
+                                        & near_signatures("na", "sa", "nb", "sb", num, den)).drop("sa", "sb")
 
 
-def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame],
-           num: int, den: int, name: str) -> DataFrame:
+def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame],
+           verify: Callable[[DataFrame, DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
     """``node, root`` for every set with a link.
 
     ``candidates`` reduces listed pairs to distinct ``a, b``, losing none that reaches the
-    similarity; ``verify`` keeps those that do.
+    similarity; ``tokens`` gives ``id, tokens`` (all of a set) for a frame of ids; ``verify``
+    keeps the pairs whose tokens reach the similarity.
     """
     spark = sets.sparkSession
     lists = shared_postings(sets, name)
     tried = stage(candidates(hub_pairs(lists, num, den)).select("a", "b"), f"{name}-tried")
-    found = finished(spark, lambda: verify(tried).select("a", "b"), f"{name}-found")
+
+    def first() -> DataFrame:
+        wanted = stage(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct(), f"{name}-wanted")
+        return verify(tried, stage(tokens(wanted), f"{name}-sets")).select("a", "b")
+
+    def rest() -> DataFrame:
+        left = open_lists(lists, roots, name)
+        wanted = stage(left.select("id").distinct(), f"{name}-wanted")
+        held = stage(tokens(wanted), f"{name}-sets")
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = candidates(rest_pairs(left, stage(signatures(held), f"{name}-signs"), num, den)).select("a", "b")
+        return verify(stage(pairs.join(known, ["a", "b"], "left_anti"), f"{name}-more"), held).select("a", "b")
+
+    found = finished(spark, first, f"{name}-found")
     roots = finished(spark, lambda: components(found, name), f"{name}-roots")
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = finished(spark, lambda: candidates(rest_pairs(lists, roots, num, den, name)).select("a", "b")
-                    .join(known, ["a", "b"], "left_anti"), f"{name}-more")
-    if more.isEmpty():
-        return roots
-    again = finished(spark, lambda: verify(more).select("a", "b"), f"{name}-found")
+    again = finished(spark, rest, f"{name}-found")
     return roots if again.isEmpty() else finished(spark, lambda: components(found.union(again), name), f"{name}-roots")

@@ -188,27 +188,31 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
         return counted.where((F.col("times") >= F.least(F.lit(SHORT), least("na"), least("nb")))
                              & reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted-sets")
-        one = full.join(small_keys(wanted), "id").groupBy("id").agg(F.min(F.struct(*KEY)).alias("key")).select("id", "key.*")
+    def tokens(ids: DataFrame) -> DataFrame:
+        """``id, tokens``: the ascending shingles of the sets asked for, from one text of each."""
+        one = full.join(small_keys(ids), "id").groupBy("id").agg(F.min(F.struct(*KEY)).alias("key")).select("id", "key.*")
         one = stage(one, "wanted-rows")
-        held = stage(texts.join(small_keys(one), KEY).select("id", "text").dropDuplicates(["id"]), "wanted-texts")
-        left, right = (held.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens"])
+
+        held = texts.join(small_keys(one), KEY).select("id", "text").mapInArrow(build, "id bigint, tokens array<bigint>")
+        return held.dropDuplicates(["id"])
+
+    def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        left, right = (held.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            text, hub = None, None
             for batch in batches:
-                keep = []
-                for ta, tb in zip(batch.column("ta"), batch.column("tb")):
-                    if ta.as_py() != text:
-                        text = ta.as_py()
-                        hub = shingle_set(text, width)
-                    keep.append(reaches(shingle_set(tb.as_py(), width), hub, num, den))
+                keep = [reaches(tb.values.to_numpy().view(np.uint64), ta.values.to_numpy().view(np.uint64), num, den)
+                        for ta, tb in zip(batch.column("ta"), batch.column("tb"))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(probe, "a bigint, b bigint")
 
-    roots = linked(full.select("id", "n", "prefix"), candidates, verify, num, den, "documents")
+    roots = linked(full.select("id", "n", "prefix"), candidates, tokens, verify, num, den, "documents")
     return (sets.select("doc_id", *KEY, "id", F.col("n").alias("n_shingles"))
             .join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
             .select("doc_id", *KEY, "n_shingles", F.coalesce("root", "id").alias("component")))

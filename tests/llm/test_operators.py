@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm import (decontamination, importance, language_id, line_dedup, neighbours, ngram_join, packing, queries,
+from gaugeworks.llm import (decontamination, importance, language_id, line_dedup, links, neighbours, ngram_join, packing, queries,
                             sharding, shingles, token_counts, tokens, warc)
 from gaugeworks.llm.common import components, positions, stage
 from llm_data import DOCS, documents
@@ -313,6 +313,25 @@ def test_links_of_exactly_the_least_overlap(spark):
     assert got == {doc: doc // 1000 * 1000 for doc, _ in texts}
 
 
+def test_signatures_pass_every_pair_that_reaches_the_similarity(spark):
+    """Pairs around the least overlap, sets from one token to more than a signature has bits."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 2, 9, 40, 150, 900):
+        base = rng.integers(-2 ** 63, 2 ** 63, size)
+        for share in (0, 0.05, 0.1, 0.2, 0.5, 1):
+            other = base.copy()
+            other[:int(share * size)] = rng.integers(-2 ** 63, 2 ** 63, int(share * size))
+            sets.append((len(sets), sorted({int(x) for x in other})))
+    rows = spark.createDataFrame(sets, "id bigint, tokens array<bigint>")
+    signed = stage(rows.join(links.signatures(rows), "id").withColumn("n", F.size("tokens")), "signed")
+    one, two = (signed.select(*[F.col(c).alias(f"{c[0]}{x}") for c in ("id", "n", "sign")]) for x in "ab")
+    both = one.join(two, F.col("ia") < F.col("ib"))
+    passed = {(r["ia"], r["ib"]) for r in both.where(links.near_signatures("na", "sa", "nb", "sb", 4, 5)).collect()}
+    alike = {(i, j) for i, a in sets for j, b in sets if i < j and 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b})}
+    assert alike and alike <= passed and len(passed) < 2 * len(alike)
+
+
 def test_word_and_shingle_hashes():
     assert len(shingles.text_words("Ab  cd\x0bab")) == 3
     a = shingles.text_words("Ab cd AB")
