@@ -24,8 +24,8 @@ from gaugeworks.operators.rollup import daily_rollup
 from gaugeworks.schema import DAILY, KEYS, RAW
 from gaugeworks.session import shared_dir
 from gaugeworks.sinks.store import (
-    DAILY_FOLDERS, RAW_FOLDERS, replace_daily, replace_partitions, station_bucket, with_period, write_daily, write_meta,
-    write_raw,
+    DAILY_FOLDERS, RAW_FOLDERS, counted_depths, daily_depths, grouped, replace_daily, replace_partitions, stored_depths, with_period,
+    write_daily, write_meta, write_raw,
 )
 from gaugeworks.sources.exports import read_lines, stage_export
 from gaugeworks.sources.store import normalise_daily, normalise_raw
@@ -72,9 +72,11 @@ def ingest_exports(spark: SparkSession, paths: str | list[str], root: str, dedup
     out = Layout(root.rstrip("/"))
     export = stage_export(read_lines(spark, paths), f"{shared_dir(spark).rstrip('/')}/{stage_name('ingest', out.root)}", identity)
     export.meta.write.mode("overwrite").parquet(out.files)
-    write_raw(dedup_last(export.raw) if dedup else export.raw, out.raw)
+    depths = counted_depths(with_period(export.raw), RAW_FOLDERS)
+    write_raw(dedup_last(export.raw) if dedup else export.raw, out.raw, depths=depths)
     export.rejects.write.mode("overwrite").json(out.rejects)
-    write_daily(daily_rollup(normalise_raw(spark.read.parquet(out.raw)), scale), out.daily)
+    stored = spark.read.parquet(out.raw)
+    write_daily(daily_rollup(normalise_raw(stored), scale), out.daily, depths=daily_depths(stored))
     write_meta(export.meta, out.meta)
     return out
 
@@ -125,14 +127,16 @@ def keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(usable_key()), rows.filter(~usable_key())
 
 
-def _touched(rows: DataFrame, folders: list[str]) -> DataFrame:
-    return with_period(rows).select(*folders).distinct()
+def plain_depths(spark: SparkSession, path: str, staged: T.StructType) -> dict[str, int]:
+    """Depth of each period of a plain store; a store that is not there has none. A merge keeps them."""
+    return stored_depths(parquet_or_empty(spark, path, staged), path)
 
 
 def merged_with_store(spark: SparkSession, new: DataFrame, raw_path: str) -> DataFrame:
     """U1 and U2 against the stored folders that ``new`` touches, and no others."""
-    stored = parquet_or_empty(spark, raw_path, RAW_STAGED)
-    stored = in_folders(stored, _touched(new, RAW_FOLDERS), RAW_FOLDERS)
+    depths = plain_depths(spark, raw_path, RAW_STAGED)
+    touched = grouped(with_period(new), RAW_FOLDERS, depths).select(*RAW_FOLDERS).distinct()
+    stored = in_folders(parquet_or_empty(spark, raw_path, RAW_STAGED), touched, RAW_FOLDERS)
     return merge_last_wins(stored.select(*RAW.names), new)
 
 
@@ -143,7 +147,8 @@ def refreshed_daily(spark: SparkSession, rows: DataFrame, new: DataFrame, daily_
     ``rows`` holds all raw rows of each day of a series that ``new`` has a reading of.
     """
     days = new.select(*KEYS, F.to_date("ts").alias("date")).distinct()
-    folders = days.select("parameter", F.year("date").alias("year"), station_bucket().alias("bucket")).distinct()
+    placed = grouped(days.withColumn("year", F.year("date")), DAILY_FOLDERS, plain_depths(spark, daily_path, DAILY_STAGED))
+    folders = placed.select(*DAILY_FOLDERS).distinct()
     stored = parquet_or_empty(spark, daily_path, DAILY_STAGED)
     kept = in_folders(stored, folders, DAILY_FOLDERS).join(days, [*KEYS, "date"], "left_anti")
     again = rows.withColumn("date", F.to_date("ts")).join(days, [*KEYS, "date"], "left_semi").drop("date")
@@ -159,6 +164,7 @@ def merge_into_store(spark: SparkSession, new: DataFrame, raw_path: str, run_id:
     stays as it is. Rows without station, parameter or instant go to ``rejects_path`` (by
     default beside the series). Where a run is published to is noted with the run, so an
     interrupted one is finished as it was begun. Runs on one store follow one another.
+    Copies must have the station groups of the series (``ValueError`` otherwise).
     """
     stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('merge', raw_path)}"
     staged_note, published_note = f"{stage}/staged", f"{stage}/published"
@@ -176,13 +182,18 @@ def merge_into_store(spark: SparkSession, new: DataFrame, raw_path: str, run_id:
         published = staged
     if published is not None and published["run_id"] == run_id:
         return
+    depths = plain_depths(spark, raw_path, RAW_STAGED)
+    for copy in copies or []:
+        other = [p for p, d in plain_depths(spark, copy, RAW_STAGED).items() if depths.get(p, d) != d]
+        if other:
+            raise ValueError(f"{copy} has other station groups than {raw_path}: {sorted(other)[:5]}")
     usable, unusable = keyed(new)
     unusable.write.mode("overwrite").json(f"{rejects_path or raw_path.rstrip('/') + '_rejects'}/run={quote(run_id, safe='')}")
     usable.write.mode("overwrite").parquet(new_rows)
     fresh = spark.read.schema(usable.schema).parquet(new_rows)
-    write_raw(merged_with_store(spark, fresh, raw_path), raw_rows)
+    write_raw(merged_with_store(spark, fresh, raw_path), raw_rows, depths=depths)
     if daily_path is not None:
         rows = parquet_or_empty(spark, raw_rows, RAW_STAGED).select(*RAW.names)
-        write_daily(refreshed_daily(spark, rows, fresh, daily_path, scale), daily_rows)
+        write_daily(refreshed_daily(spark, rows, fresh, daily_path, scale), daily_rows, depths=plain_depths(spark, daily_path, DAILY_STAGED))
     _note(spark, staged_note, run_id, copies or [], daily_path)
     publish(_noted(spark, staged_note))

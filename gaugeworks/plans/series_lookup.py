@@ -23,7 +23,7 @@ DAY = [*KEYS, "date"]
 
 def days_of(spark: SparkSession, root: str, days: DataFrame, version: Version) -> DataFrame:
     """Stored readings of the series and days in ``days``; a name per folder of them reaches the driver."""
-    folders = versions.touched(days.withColumn("ts", F.col("date").cast("timestamp_ntz")), raw_table())
+    folders = versions.touched(days.withColumn("ts", F.col("date").cast("timestamp_ntz")), raw_table(), version.depths("raw"))
     rows = versions.read(spark, root, "raw", raw_table(), version, folders)
     return rows.withColumn("date", F.to_date("ts")).join(days, DAY, "left_semi").drop("date")
 

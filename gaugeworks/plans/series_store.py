@@ -21,7 +21,7 @@ from gaugeworks.plans.refresh import keyed, stage_name, usable_key
 from gaugeworks.schema import KEYS, RAW
 from gaugeworks.session import shared_dir
 from gaugeworks.sinks import versions
-from gaugeworks.sinks.store import DAILY_FOLDERS, RAW_FOLDERS, station_bucket, with_period
+from gaugeworks.sinks.store import DAILY_FOLDERS, RAW_FOLDERS, depth_of, period_key, with_period
 from gaugeworks.sinks.versions import Part, Table, Version
 
 SUMS = ["n_rows", "n_values", "total"]
@@ -44,7 +44,7 @@ def partial_table(scale: int | None) -> Table:
     schema = T.StructType([*partial_schema(scale).fields, T.StructField("status_key", T.StringType())])
 
     def place(df: DataFrame) -> DataFrame:
-        return df.withColumns({"year": F.year("date"), "bucket": station_bucket()})
+        return df.withColumn("year", F.year("date"))
 
     return Table(schema, [*KEYS, "date", "status_key"], DAILY_FOLDERS, place, ["station_id", "date"])
 
@@ -71,10 +71,10 @@ def load_series(spark: SparkSession, raw: DataFrame, root: str, scale: int | Non
     now, found = versions.latest(spark, root), tables(scale)
     if run_id in now.runs:
         return now
-    written = [versions.write(spark, root, "raw", found["raw"], raw, now.number + 1, is_base=True)]
+    written = [versions.write(spark, root, "raw", found["raw"], raw, now, is_base=True)]
     if days:
         stored = versions.read(spark, root, "raw", found["raw"], Version(now.number + 1, [], written))
-        written.append(versions.write(spark, root, "partials", found["partials"], _with_key(_partials(stored, scale)), now.number + 1, is_base=True))
+        written.append(versions.write(spark, root, "partials", found["partials"], _with_key(_partials(stored, scale)), now, is_base=True))
     return versions.announce(spark, root, now, written, run_id)
 
 
@@ -138,26 +138,42 @@ def merge_series(spark: SparkSession, new: DataFrame, root: str, run_id: str, sc
         return now
     seen = Observation()
     counted = new.observe(seen, F.count_if(~usable_key()).alias("unusable"))
-    written = [versions.write(spark, root, "raw", found["raw"], fold_new(counted.filter(usable_key())), now.number + 1)]
+    written = [versions.write(spark, root, "raw", found["raw"], fold_new(counted.filter(usable_key())), now)]
     if observed(seen, "unusable") != 0:
         keyed(new)[1].write.mode("overwrite").json(f"{rejects_path or root.rstrip('/') + '/rejects'}/run={quote(run_id, safe='')}")
     if days and written[0].n_rows:
         stage = f"{shared_dir(spark).rstrip('/')}/{stage_name('series', root)}"
         written.append(versions.write(spark, root, "partials", found["partials"],
-                                      _changed_state(spark, root, now, found, written[0], scale, stage), now.number + 1))
+                                      _changed_state(spark, root, now, found, written[0], scale, stage), now))
     version = versions.announce(spark, root, now, written, run_id)
     if compact_after is not None and versions.changes_waiting(version) >= compact_after:
         version = versions.compact(spark, root, found)
     return version
 
 
+def folders_of_years(folders: list[str], depths: dict[str, int]) -> list[str]:
+    """Folders of the state that can hold the stations and days of raw folders.
+
+    Both number their station groups by low bits of one hash: a deeper raw group has one
+    group of the state above it, a shallower one has several below.
+    """
+    found = set()
+    for folder in folders:
+        parameter, year, _, bucket = folder.split("/")
+        raw_depth, depth = depth_of(folder), depths.get(period_key(f"{parameter}/{year}"), 0)
+        slot = int(bucket.partition("=")[2]) - (1 << raw_depth)
+        step = 1 << min(raw_depth, depth)
+        found |= {f"{parameter}/{year}/bucket={(1 << depth) + s}" for s in range(slot % step, 1 << depth, step)}
+    return sorted(found)
+
+
 def _changed_state(spark: SparkSession, root: str, now: Version, found: dict[str, Table], written: Part, scale: int | None,
                    stage: str) -> DataFrame:
     """State of the days that the written readings touch, after them."""
     raw, partials, n = found["raw"], found["partials"], written.n_rows
     changes = versions.read(spark, root, "raw", raw, Version(written.gen, [], [written._replace(is_base=True)]))
     folders = versions.folders_of(spark, root, "raw", raw, written)
-    in_years = sorted({f"{parameter}/{year}/{bucket}" for parameter, year, _, bucket in (f.split("/") for f in folders)})
+    in_years = folders_of_years(folders, now.depths("partials"))
     out = replaced_rows(versions.read(spark, root, "raw", raw, now, folders), changes, raw.keys, n)
     old = versions.read(spark, root, "partials", partials, now, in_years)
     seen = Observation()
@@ -168,7 +184,7 @@ def _changed_state(spark: SparkSession, root: str, now: Version, found: dict[str
     if not n_again:
         return state.select(columns)
     again = state.where("again").select(*day).distinct()
-    reread = versions.touched(again.withColumn("ts", F.col("date").cast("timestamp_ntz")), raw)
+    reread = versions.touched(again.withColumn("ts", F.col("date").cast("timestamp_ntz")), raw, now.depths("raw"))
     rows = lay_over(versions.read(spark, root, "raw", raw, now, reread), changes, raw.keys, n)
     few = F.broadcast(again) if n_again <= BROADCAST_CHANGES else again
     fresh = _with_key(_partials(rows.withColumn("date", F.to_date("ts")).join(few, day, "left_semi").drop("date"), scale))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,67 @@ from gaugeworks.sources.live import LEVEL_KIND, TEMPERATURE_KIND
 
 RAW_FOLDERS = ["parameter", "year", "month", "bucket"]
 DAILY_FOLDERS = ["parameter", "year", "bucket"]
-BUCKETS = 32
-"""Station groups of a folder; a merge rewrites the groups it touches. Fixed, since stored tables depend on it."""
+FOLDER_ROWS = 1 << 24
+"""Rows of a folder beyond which its stations are dealt over two; so many readings are about 100 to 200 MB."""
 
 
-def station_bucket() -> Column:
-    return F.pmod(F.hash("station_id"), F.lit(BUCKETS))
+def with_period(raw: DataFrame) -> DataFrame:
+    """The period of a stored raw series, without its station group."""
+    return raw.withColumns({"year": F.year("ts"), "month": F.month("ts")})
 
 
-def with_period(raw: DataFrame) -> DataFrame:
-    """The folder columns of a stored raw series."""
-    return raw.withColumns({"year": F.year("ts"), "month": F.month("ts"), "bucket": station_bucket()})
+def period_of(folders: list[str]) -> list[str]:
+    return [c for c in folders if c != "bucket"]
+
+
+def period_key(folder: str) -> str:
+    """The period in the path of a folder (``parameter=x/year=2024/bucket=5``), as ``grouped`` writes it."""
+    levels = [level.partition("=") for level in folder.split("/")]
+    return "/".join(unquote(value) for name, _, value in levels if name != "bucket")
+
+
+def depth_for(n_rows: int) -> int:
+    """How often the stations of a period are halved, so that a folder has ``FOLDER_ROWS`` or less on average."""
+    return (-(-n_rows // FOLDER_ROWS) - 1).bit_length() if n_rows else 0
+
+
+def _key(period: list[str]) -> Column:
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in period])
+
+
+def counted_depths(placed: DataFrame, folders: list[str]) -> dict[str, int]:
+    """Depth of the periods that need more than one folder: a row for each of them reaches the driver."""
+    period = period_of(folders)
+    counts = placed.groupBy(_key(period).alias("period")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLDER_ROWS)
+    return {r["period"]: depth_for(r["n"]) for r in counts.collect()}
+
+
+def grouped(placed: DataFrame, folders: list[str], depths: dict[str, int]) -> DataFrame:
+    """Adds the station group where ``folders`` has one; a period that ``depths`` does not name has a single one.
+
+    A group is numbered by a 1 and then ``depth`` bits of the hash of the station, so a
+    number tells its depth, and groups of different depths never share a folder. ``depths``
+    has an entry per ``FOLDER_ROWS`` stored rows at most.
+    """
+    if "bucket" not in folders:
+        return placed
+    if not depths:
+        return placed.withColumn("bucket", F.lit(1))
+    known = placed.sparkSession.createDataFrame(list(depths.items()), "_period string, _depth int")
+    deep = placed.withColumn("_period", _key(period_of(folders))).join(F.broadcast(known), "_period", "left")
+    size = "shiftleft(1, coalesce(_depth, 0))"
+    return deep.withColumn("bucket", F.expr(f"{size} + (hash(station_id) & ({size} - 1))")).drop("_period", "_depth")
+
+
+def depth_of(folder: str) -> int:
+    return int(folder.rpartition("bucket=")[2]).bit_length() - 1
+
+
+def stored_depths(stored: DataFrame, path: str) -> dict[str, int]:
+    """Depth of every period of a plain store, from the names of its folders."""
+    mark = f"{path.rstrip('/')}/"
+    folders = {unquote(f).rpartition(mark)[2].rpartition("/")[0] for f in stored.inputFiles()}
+    return {period_key(f): depth_of(f) for f in folders}
 
 
 def laid_out(df: DataFrame, folders: list[str], order: list[str]) -> DataFrame:
@@ -40,36 +92,45 @@ def _write(df: DataFrame, path: str, folders: list[str], mode: str, **options: s
     writer.partitionBy(*folders).parquet(path)
 
 
-def write_raw(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1."""
+def write_raw(raw: DataFrame, path: str, mode: str = "overwrite", depths: dict[str, int] | None = None) -> None:
+    """K1. Without ``depths`` the rows of each period are counted first, which reads parameter and time of ``raw`` once more."""
     rows = with_period(raw.select(*RAW.names))
+    rows = grouped(rows, RAW_FOLDERS, counted_depths(rows, RAW_FOLDERS) if depths is None else depths)
     _write(laid_out(rows, RAW_FOLDERS, ["station_id", "ts"]), path, RAW_FOLDERS, mode)
 
 
-def write_daily(daily: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: the count is stored as a 32-bit integer."""
-    _write(laid_out(_daily_cells(daily), DAILY_FOLDERS, ["station_id", "date"]), path, DAILY_FOLDERS, mode)
+def write_daily(daily: DataFrame, path: str, mode: str = "overwrite", depths: dict[str, int] | None = None) -> None:
+    """K2: the count is stored as a 32-bit integer. ``depths`` as in ``write_raw``; ``daily_depths`` spares a second rollup."""
+    rows = daily.select(*DAILY.names).withColumns({"count": F.col("count").cast("int"), "year": F.year("date")})
+    rows = grouped(rows, DAILY_FOLDERS, counted_depths(rows, DAILY_FOLDERS) if depths is None else depths)
+    _write(laid_out(rows, DAILY_FOLDERS, ["station_id", "date"]), path, DAILY_FOLDERS, mode)
 
 
-def _daily_cells(daily: DataFrame) -> DataFrame:
-    return daily.select(*DAILY.names).withColumns({"count": F.col("count").cast("int"), "year": F.year("date"),
-                                                    "bucket": station_bucket()})
+def daily_depths(stored: DataFrame) -> dict[str, int]:
+    """Depths of the daily rows of a stored raw series: a row per station and day of the year at most.
+
+    Stations are counted approximately, since depths only decide how large folders are.
+    """
+    stations = stored.groupBy(_key(period_of(DAILY_FOLDERS)).alias("period")).agg((366 * F.approx_count_distinct("station_id")).alias("n"))
+    return {r["period"]: depth_for(r["n"]) for r in stations.where(F.col("n") > FOLDER_ROWS).collect()}
 
 
 def replace_partitions(merged: DataFrame, paths: list[str]) -> None:
     """K5: publish merged raw rows, staged in their folders, to each of ``paths``, touched folders only.
 
-    ``merged`` must not read one of ``paths``; ``plans.refresh`` has the staged form. The
-    rows already lie in the files they belong to, so nothing is shuffled again.
+    ``merged`` has the folder columns it was staged by and must not read one of ``paths``;
+    ``plans.refresh`` has the staged form. The rows already lie in the files they belong
+    to, so nothing is shuffled again.
     """
-    rows = with_period(merged.select(*RAW.names)).sortWithinPartitions(*RAW_FOLDERS, "station_id", "ts")
+    rows = merged.select(*RAW.names, *RAW_FOLDERS[1:]).sortWithinPartitions(*RAW_FOLDERS, "station_id", "ts")
     for path in paths:
         _write(rows, path, RAW_FOLDERS, "overwrite", partitionOverwriteMode="dynamic")
 
 
 def replace_daily(daily: DataFrame, path: str) -> None:
     """K5 for daily rows, staged in their folders: the folders that occur in ``daily`` are replaced."""
-    rows = _daily_cells(daily).sortWithinPartitions(*DAILY_FOLDERS, "station_id", "date")
+    rows = daily.select(*DAILY.names, *DAILY_FOLDERS[1:]).withColumn("count", F.col("count").cast("int"))
+    rows = rows.sortWithinPartitions(*DAILY_FOLDERS, "station_id", "date")
     _write(rows, path, DAILY_FOLDERS, "overwrite", partitionOverwriteMode="dynamic")
 
 

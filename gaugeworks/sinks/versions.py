@@ -6,6 +6,10 @@ or not at all, so a reader sees the version before or the one after, and a run t
 leaves folders that no list names. Readers lay the changes over the base; ``compact``
 does so for good, for the folders that have changes. Files are never changed, and are
 removed by ``vacuum`` only. Runs on one store follow one another.
+
+The stations of a period lie in as many folders as its rows need, noted in the list as a
+depth. A first load counts its rows; later a period gets more folders when it is
+compacted, so that base and changes always have the same ones.
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from pyspark.sql import types as T
 
 from gaugeworks.functions.plans import observed
 from gaugeworks.operators.merge import lay_over
-from gaugeworks.sinks.store import laid_out
+from gaugeworks.sinks.store import counted_depths, grouped, laid_out, period_key
 
 NOTE = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("table", T.StringType()), T.StructField("gen", T.LongType()),
-    T.StructField("part", T.StringType()), T.StructField("is_base", T.BooleanType()), T.StructField("n_rows", T.LongType())])
+    T.StructField("part", T.StringType()), T.StructField("is_base", T.BooleanType()), T.StructField("n_rows", T.LongType()),
+    T.StructField("depths", T.MapType(T.StringType(), T.IntegerType()))])
 RUNS_KNOWN = 100
 """Runs that a version remembers; a stream repeats its last batch only."""
 
 
 class Table(NamedTuple):
-    """What a table holds: columns, those that tell its rows apart, its folders, and the order inside files."""
+    """What a table holds: columns, those that tell its rows apart, its folders, and the order inside files; ``place`` adds the folder columns but ``bucket``."""
 
     schema: T.StructType
     keys: list[str]
@@ -45,13 +50,17 @@ class Table(NamedTuple):
 
 
 class Part(NamedTuple):
-    """A folder that counts: all of what a run wrote to a table, or one folder of it."""
+    """A folder that counts: all of what a run wrote to a table, or one folder of it.
+
+    ``depths`` names the periods that got more folders with this part.
+    """
 
     table: str
     gen: int
     part: str | None
     is_base: bool
     n_rows: int
+    depths: dict[str, int] = {}
 
 
 class Version(NamedTuple):
@@ -62,6 +71,13 @@ class Version(NamedTuple):
     def of(self, name: str) -> list[Part]:
         return [p for p in self.parts if p.table == name]
 
+    def depths(self, name: str) -> dict[str, int]:
+        """Depth of each period that has more than one folder; it only ever grows."""
+        found: dict[str, int] = {}
+        for part in self.of(name):
+            found |= {p: max(d, found.get(p, 0)) for p, d in part.depths.items()}
+        return found
+
 
 def _names(spark: SparkSession, path: str) -> list[str]:
     """What a folder holds; nothing if it is not there."""
@@ -83,12 +99,13 @@ def latest(spark: SparkSession, root: str) -> Version:
         return Version(0, [], [])
     notes = spark.read.schema(NOTE).json(f"{root}/versions/number={number}").collect()  # one row per folder and known run
     runs = [n["run_id"] for n in notes if n["run_id"] is not None]
-    return Version(number, runs, [Part(n["table"], n["gen"], n["part"], n["is_base"], n["n_rows"]) for n in notes if n["table"] is not None])
+    parts = [Part(n["table"], n["gen"], n["part"], n["is_base"], n["n_rows"], n["depths"] or {}) for n in notes if n["table"] is not None]
+    return Version(number, runs, parts)
 
 
 def _announce(spark: SparkSession, root: str, version: Version) -> None:
     """The list of a version as one file; what a run left that died here has no file yet and goes."""
-    rows = [(run, None, None, None, None, None) for run in version.runs[-RUNS_KNOWN:]] + [(None, *p) for p in version.parts]
+    rows = [(run, None, None, None, None, None, None) for run in version.runs[-RUNS_KNOWN:]] + [(None, *p) for p in version.parts]
     spark.createDataFrame(rows, NOTE).coalesce(1).write.mode("overwrite").json(f"{root}/versions/number={version.number}")
 
 
@@ -96,17 +113,23 @@ def _data(root: str, name: str) -> str:
     return f"{root}/data/{name}"
 
 
-def write(spark: SparkSession, root: str, name: str, table: Table, rows: DataFrame, gen: int, is_base: bool = False) -> Part:
-    """Rows into a folder of their own, which no version names yet; what an earlier try left there goes.
+def write(spark: SparkSession, root: str, name: str, table: Table, rows: DataFrame, now: Version, is_base: bool = False,
+          grown: dict[str, int] | None = None) -> Part:
+    """Rows into a folder of their own, which the version after ``now`` is to name; what an earlier try left there goes.
 
-    ``gen`` is the number of the version that is to name them.
+    They go to the station groups of ``now``, but for periods that are ``grown``. The rows
+    of a base that is the first of its table are counted by period, to choose the groups.
     """
+    gen = now.number + 1
     path = f"{_data(root, name)}/gen={gen}"
+    placed = table.place(rows.select(table.schema.fieldNames()))
+    if grown is None:
+        grown = counted_depths(placed, table.folders) if is_base and "bucket" in table.folders and not now.of(name) else {}
     seen = Observation()
-    placed = table.place(rows.select(table.schema.fieldNames())).observe(seen, F.count(F.lit(1)).alias("n"))
+    placed = grouped(placed, table.folders, now.depths(name) | grown).observe(seen, F.count(F.lit(1)).alias("n"))
     (laid_out(placed, table.folders, table.order).write.mode("overwrite").option("compression", "zstd")
      .partitionBy(*table.folders).parquet(path))
-    return Part(name, gen, None, is_base, observed(seen, "n") or 0)
+    return Part(name, gen, None, is_base, observed(seen, "n") or 0, grown)
 
 
 def folders_of(spark: SparkSession, root: str, name: str, table: Table, part: Part) -> list[str]:
@@ -147,7 +170,7 @@ def read(spark: SparkSession, root: str, name: str, table: Table, version: Versi
     parts = (version or latest(spark, root)).of(name)
     if only is not None:
         wanted = set(only)
-        parts = [Part(p.table, p.gen, f, p.is_base, p.n_rows) for p in parts for f in folders_of(spark, root, name, table, p) if f in wanted]
+        parts = [p._replace(part=f) for p in parts for f in folders_of(spark, root, name, table, p) if f in wanted]
     base, changes = [p for p in parts if p.is_base], [p for p in parts if not p.is_base]
     stored = _scan(spark, root, name, table, base).select(table.stored.fieldNames())
     if not changes:
@@ -158,9 +181,9 @@ def read(spark: SparkSession, root: str, name: str, table: Table, version: Versi
     return lay_over(stored, last, [*table.keys, *[c for c in table.folders if c not in table.keys]], sum(rows.values()))
 
 
-def touched(rows: DataFrame, table: Table) -> list[str]:
+def touched(rows: DataFrame, table: Table, depths: dict[str, int]) -> list[str]:
     """Folders of ``rows`` by their names in paths: a row per folder reaches the driver."""
-    found = table.place(rows).select(*[F.col(c).cast("string") for c in table.folders]).distinct().collect()
+    found = grouped(table.place(rows), table.folders, depths).select(*[F.col(c).cast("string") for c in table.folders]).distinct().collect()
     return ["/".join(f"{c}={_escaped(r[c])}" for c in table.folders) for r in found]
 
 
@@ -180,7 +203,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, Table], changes: d
     now = latest(spark, root)
     if run_id in now.runs:
         return now
-    return announce(spark, root, now, [write(spark, root, name, tables[name], rows, now.number + 1, base) for name, rows in changes.items()], run_id)
+    return announce(spark, root, now, [write(spark, root, name, tables[name], rows, now, base) for name, rows in changes.items()], run_id)
 
 
 def announce(spark: SparkSession, root: str, now: Version, written: list[Part], run_id: str) -> Version:
@@ -197,26 +220,42 @@ def changes_waiting(version: Version) -> int:
     return len({p.gen for p in version.parts if not p.is_base})
 
 
+def _grown(spark: SparkSession, root: str, name: str, table: Table, now: Version, held: list[tuple[Part, list[str]]], changed: set[str]) -> dict[str, int]:
+    """Periods with changes that need more folders than they have, by their rows; files are not read beyond their footers."""
+    if "bucket" not in table.folders:
+        return {}
+    periods, known = {period_key(f) for f in changed}, now.depths(name)
+    parts = [p._replace(part=f) for p, folders in held for f in folders if period_key(f) in periods]
+    needed = counted_depths(_scan(spark, root, name, table, parts), table.folders)
+    return {p: d for p, d in needed.items() if d > known.get(p, 0)}
+
+
 def compact(spark: SparkSession, root: str, tables: dict[str, Table]) -> Version:
-    """Lays all changes over the base for good; folders without changes keep their files."""
+    """Lays all changes over the base for good; folders without changes keep their files.
+
+    A period that has outgrown its folders is written anew as a whole, with more of them.
+    """
     now = latest(spark, root)
     if not changes_waiting(now):
         return now
-    gen, parts = now.number + 1, []
+    parts = []
     for name, table in tables.items():
         known = now.of(name)
-        changes = [p for p in known if not p.is_base]
-        if not changes:
+        if all(p.is_base for p in known):
             parts += known
             continue
-        changed = {f for p in changes for f in folders_of(spark, root, name, table, p)}
-        for part in (p for p in known if p.is_base):
-            folders = folders_of(spark, root, name, table, part)
-            kept = [f for f in folders if f not in changed]
-            parts += [part] if len(kept) == len(folders) else [Part(name, part.gen, f, True, part.n_rows) for f in kept]
+        held = {i: folders_of(spark, root, name, table, p) for i, p in enumerate(known)}
+        changed = {f for i, p in enumerate(known) if not p.is_base for f in held[i]}
+        grown = _grown(spark, root, name, table, now, [(p, held[i]) for i, p in enumerate(known)], changed)
+        changed |= {f for folders in held.values() for f in folders if period_key(f) in grown}
+        for i, part in enumerate(known):
+            kept = [f for f in held[i] if f not in changed] if part.is_base else []
+            # Depths are noted with the part that is written now, for what is left of an older one may go.
+            parts += [part._replace(depths={})] if part.is_base and kept == held[i] else [part._replace(part=f, depths={}) for f in kept]
         rows = read(spark, root, name, table, now, sorted(changed))
-        parts.append(write(spark, root, name, table, rows, gen, is_base=True))
-    version = Version(gen, now.runs, parts)
+        written = write(spark, root, name, table, rows, now, True, grown)
+        parts.append(written._replace(depths=now.depths(name) | grown))
+    version = Version(now.number + 1, now.runs, parts)
     _announce(spark, root, version)
     return version
 

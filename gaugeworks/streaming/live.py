@@ -21,7 +21,6 @@ from gaugeworks.plans.refresh import merge_into_store, stage_name
 from gaugeworks.plans.series_store import merge_series
 from gaugeworks.schema import KEYS, RAW
 from gaugeworks.session import shared_dir
-from gaugeworks.sinks.store import station_bucket
 from gaugeworks.sinks.versions import Table, changes_waiting, compact, publish, read
 from gaugeworks.sources.live import (
     CORRUPT, LIVE_WITH_CORRUPT, json_reader_options, kind_of_path, live_to_raw, type_live,
@@ -208,7 +207,7 @@ def current_values(readings: DataFrame) -> DataFrame:
 
 def current_table() -> Table:
     schema = T.StructType([*RAW.fields[:2], RAW["ts"], RAW["value"], RAW["status"]])
-    return Table(schema, KEYS, ["bucket"], lambda df: df.withColumn("bucket", station_bucket()), ["station_id"])
+    return Table(schema, KEYS, ["bucket"], lambda df: df, ["station_id"])
 
 
 def start_current(current: DataFrame, root: str, checkpoint: str, compact_after: int = COMPACT_AFTER,
