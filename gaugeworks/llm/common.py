@@ -20,6 +20,9 @@ ROW_BITS = 33
 """Bits below the partition number in ``monotonically_increasing_id``."""
 KEY = ["k1", "k2"]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH_BYTES = "4m"
+"""Size of an Arrow batch, unless the session sets it: Spark's 64 MB are held several times over by JVM and Python in each task."""
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _work: ContextVar[str | None] = ContextVar("work", default=None)
 
 
@@ -27,7 +30,8 @@ def importable(fn: Callable) -> Callable:
     """Lets tasks import this package from where the driver has it.
 
     On a cluster the package is installed or sent along (``--py-files``); this serves a
-    driver that found it on ``sys.path`` only.
+    driver that found it on ``sys.path`` only. The session's Arrow batches are
+    bounded for these tasks.
     """
     @wraps(fn)
     def run(spark: SparkSession, *args):
@@ -35,6 +39,8 @@ def importable(fn: Callable) -> Callable:
         known = spark.sparkContext.environment.get("PYTHONPATH", "")
         if root not in known.split(os.pathsep):
             spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+        if spark.conf.get(_BATCH_CONF, None) is None:
+            spark.conf.set(_BATCH_CONF, BATCH_BYTES)
         return fn(spark, *args)
     return run
 

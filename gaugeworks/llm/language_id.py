@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import stage
 from gaugeworks.llm.links import small_keys
+from gaugeworks.llm.tokens import forget
 
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 1500
@@ -137,6 +138,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
     chosen = _smallest_hashes(known.select("lang", "id"), per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [ngram_counts(t.as_py(), dimensions) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -152,6 +154,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
     idf = np.log((1.0 + n) / (1.0 + seen)) + 1.0
 
     def cluster(group: pa.Table) -> pa.Table:
+        forget()
         x = np.zeros((group.num_rows, dimensions), np.float32)
         for i, (at, counts) in enumerate(zip(group.column("at"), group.column("counts"))):
             at = np.asarray(at.as_py())
@@ -183,6 +186,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     names, at = [*docs.columns, "lang_pred", "score", "rejected"], docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(at)]
             lang, score, rejected = zip(*found) if found else ((), (), ())

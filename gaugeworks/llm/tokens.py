@@ -122,3 +122,11 @@ def remembered(kind, *args):
     if key not in _MEMO:
         _MEMO[key] = kind(*args)
     return _MEMO[key]
+
+
+def forget() -> None:
+    """Empties what the encoders of this worker remember, for tasks of other operators that reuse the worker."""
+    for encoder in _MEMO.values():
+        encoder.known.clear()
+    _MEMO.clear()
+    _LOADED.clear()

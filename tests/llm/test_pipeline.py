@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeworks.llm import decontamination, line_dedup, ngram_join
-from gaugeworks.llm.common import stage, table
+from gaugeworks.llm import decontamination, line_dedup, ngram_join, tokens
+from gaugeworks.llm.common import importable, stage, table
 from llm_data import DOCS, documents
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +134,39 @@ def test_repeated_rows_empty_tables_and_clashes(spark):
     for stage_fn in (corpus_pipeline.join_near_duplicates, corpus_pipeline.decontaminate):
         with pytest.raises(ValueError, match="_k1"):
             stage_fn(spark, docs.withColumn("_k1", docs["doc_id"]), SF)
+
+
+def test_batches_for_tasks_are_bounded_in_bytes(spark):
+    """4,000 texts of 10 kB were four batches of Spark's default; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    def read(spark):
+        texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+        return texts.mapInArrow(sizes, "size bigint, n bigint").collect()
+
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        found = importable(read)(spark)
+        assert sum(r["n"] for r in found) == 4000 and max(r["size"] for r in found) < 5 << 20
+        spark.conf.set(key, "16m")
+        importable(read)(spark)
+        assert spark.conf.get(key) == "16m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_language_tasks_empty_what_encoders_remember(monkeypatch):
+    """Packing leaves its words in workers that language tasks reuse."""
+    monkeypatch.setattr(tokens, "_MEMO", {})
+    monkeypatch.setattr(tokens, "_LOADED", {})
+    encoder = tokens.remembered(tokens.WordCounts, public_tokenizers.path("word_bpe_49k.json"))
+    n = encoder.text("one two three")
+    assert len(encoder.known) > 3 and tokens._LOADED
+    tokens.forget()
+    assert not encoder.known and not tokens._MEMO and not tokens._LOADED
+    assert tokens.remembered(tokens.WordCounts, public_tokenizers.path("word_bpe_49k.json")).text("one two three") == n
