@@ -190,16 +190,19 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
 
     def tokens(ids: DataFrame) -> DataFrame:
         """``id, tokens``: the ascending shingles of the sets asked for, from one text of each."""
-        one = full.join(small_keys(ids), "id").groupBy("id").agg(F.min(F.struct(*KEY)).alias("key")).select("id", "key.*")
-        one = stage(one, "wanted-rows")
+        each = full.join(small_keys(ids), "id").groupBy("id", *KEY).agg(F.count("*").alias("rows"))
+        one = stage(each.groupBy("id").agg(F.min(F.struct(*KEY, "rows")).alias("key")).select("id", "key.*"), "wanted-rows")
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens"])
 
-        held = texts.join(small_keys(one), KEY).select("id", "text").mapInArrow(build, "id bigint, tokens array<bigint>")
-        return held.dropDuplicates(["id"])
+        held = texts.join(small_keys(one), KEY).select("id", "rows", "text")
+        # Only rows that come twice give a set twice; the others need no exchange of their texts or tokens.
+        if not one.where("rows > 1").isEmpty():
+            held = held.where("rows = 1").union(held.where("rows > 1").dropDuplicates(["id"]))
+        return held.select("id", "text").mapInArrow(build, "id bigint, tokens array<bigint>")
 
     def verify(pairs: DataFrame, held: DataFrame) -> DataFrame:
         left, right = (held.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")

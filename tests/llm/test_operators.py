@@ -293,6 +293,25 @@ def test_jaccard_components(docs):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == want
 
 
+def test_jaccard_sets_are_exchanged_only_where_rows_repeat(spark, monkeypatch):
+    """The tokens of a set come from one row; only texts of rows that come twice are dealt out for that."""
+    seen, real = [], ngram_join.linked
+
+    def spied(sets, candidates, tokens, *rest):
+        held = tokens(sets.select("id").distinct())
+        seen.append(("dropduplicates" in (p := held._jdf.queryExecution().analyzed().toString().lower()) or "deduplicate" in p, held.collect()))
+        return real(sets, candidates, tokens, *rest)
+
+    monkeypatch.setattr(ngram_join, "linked", spied)
+    once = [(i, " ".join(f"w{i}_{j}" for j in range(10))) for i in range(4)] + [(9, " ".join(f"w0_{j}" for j in range(10)))]
+    for rows in (once, once + once[:2]):
+        found = ngram_join.smallest_of_component(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+        assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter((i, i % 9) for i, _ in rows)
+    (plain, sets), (dealt, again) = seen
+    assert not plain and dealt and len(sets) == len(again) == 4
+    assert sorted((r["id"], sorted(r["tokens"])) for r in sets) == sorted((r["id"], sorted(r["tokens"])) for r in again)
+
+
 def test_jaccard_of_nothing(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
