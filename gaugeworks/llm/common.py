@@ -23,6 +23,7 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = "4m"
 """Size of an Arrow batch, unless the session sets it: Spark's 64 MB are held several times over by JVM and Python in each task."""
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _work: ContextVar[str | None] = ContextVar("work", default=None)
 
 
@@ -55,10 +56,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts lineage and fixes what a recomputation could change."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read back: cuts lineage and fixes what a recomputation could change.
+
+    The shuffle files of the write go when it ends, as nothing reads them again; else they
+    stay until the driver happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP_CONF, None)
+    spark.conf.set(_CLEANUP_CONF, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP_CONF)
+        else:
+            spark.conf.set(_CLEANUP_CONF, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def finished(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:

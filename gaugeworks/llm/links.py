@@ -113,6 +113,12 @@ def rest_pairs(left: DataFrame, signs: DataFrame, num: int, den: int) -> DataFra
                                         & near_signatures("na", "sa", "nb", "sb", num, den)).drop("sa", "sb")
 
 
+def asked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The sets of ``held`` that a pair asks for; the others need no exchange of their tokens."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    return held.join(small_keys(ids), "id", "left_semi")
+
+
 def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame],
            verify: Callable[[DataFrame, DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
     """``node, root`` for every set with a link.
@@ -135,7 +141,8 @@ def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], tokens
         held = stage(tokens(wanted), f"{name}-sets")
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = candidates(rest_pairs(left, stage(signatures(held), f"{name}-signs"), num, den)).select("a", "b")
-        return verify(stage(pairs.join(known, ["a", "b"], "left_anti"), f"{name}-more"), held).select("a", "b")
+        more = stage(pairs.join(known, ["a", "b"], "left_anti"), f"{name}-more")
+        return verify(more, asked(more, held)).select("a", "b")
 
     found = finished(spark, first, f"{name}-found")
     roots = finished(spark, lambda: components(found, name), f"{name}-roots")

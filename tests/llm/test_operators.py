@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -37,6 +38,25 @@ def test_positions_are_gapless_in_order(spark):
     assert [(r["k"], r["id"]) for r in got] == sorted((i % 7, i) for i in range(1000))
 
 
+def test_staging_leaves_no_shuffle_files(spark):
+    """The files go with the write, though the frame they were made for is still held; the setting is as before."""
+    blocks, conf = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def files():
+        each = blocks.getAllFiles()
+        return {n for i in range(each.size()) if (n := each.apply(i).getName()).startswith("shuffle_")}
+
+    before, set_before = files(), spark.conf.get(conf)
+    df = spark.range(1000).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n")).withColumn("at", F.rand(3))
+    held = df.repartition(4, "k")
+    assert sorted(r["k"] for r in stage(held, "t").collect()) == list(range(50))
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(conf) == set_before
+    assert held.count() == 50
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(i, 99) for i in range(100, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint"), "t").collect()}
@@ -324,6 +344,25 @@ def test_links_through_members_that_no_hub_reaches(spark):
     assert {r["component_id"] for r in ngram_join.smallest_of_component(found).collect()} == {0}
 
 
+def test_only_the_sets_of_listed_pairs_are_exchanged(spark, monkeypatch):
+    """Texts that share a rare phrase keep its list open, but most are sorted out by their signatures."""
+    seen, real = [], ngram_join.linked
+
+    def spied(sets, candidates, tokens, verify, *rest):
+        def checked(pairs, held):
+            seen.append(({x for r in pairs.collect() for x in r}, sorted(r["id"] for r in held.select("id").collect())))
+            return verify(pairs, held)
+        return real(sets, candidates, tokens, checked, *rest)
+
+    monkeypatch.setattr(ngram_join, "linked", spied)
+    texts = [(i, " ".join(f"w{j}" for j in range(i, i + 22))) for i in range(160)]
+    texts += [(1000 + i, " ".join(["rare phrase here", *(f"c{i}w{j}" for j in range(60))])) for i in range(20)]
+    found = ngram_join.smallest_of_component(ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {doc: 0 if doc < 1000 else doc for doc, _ in texts}
+    (_, _), (paired, held) = seen
+    assert paired and held == sorted(paired)
+
+
 def test_links_of_exactly_the_least_overlap(spark):
     """Chains of 20 shingles that share 19 with the next text, in lists longer than the hubs; inner words are equally rare."""
     texts = [(1000 * c + i, " ".join(f"c{c}w{j}" for j in range(i, i + 22))) for c in range(3) for i in range(160)]
