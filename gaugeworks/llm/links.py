@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gaugeworks.functions.plans import evaluated_once
 from gaugeworks.llm.common import components, finished, stage
 
 HUBS = 3
@@ -113,10 +114,9 @@ def rest_pairs(left: DataFrame, signs: DataFrame, num: int, den: int) -> DataFra
                                         & near_signatures("na", "sa", "nb", "sb", num, den)).drop("sa", "sb")
 
 
-def asked(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The sets of ``held`` that a pair asks for; the others need no exchange of their tokens."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return held.join(small_keys(ids), "id", "left_semi")
+def asked(pairs: DataFrame) -> DataFrame:
+    """``id`` of the sets that a pair asks for."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
 def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame],
@@ -132,17 +132,18 @@ def linked(sets: DataFrame, candidates: Callable[[DataFrame], DataFrame], tokens
     tried = stage(candidates(hub_pairs(lists, num, den)).select("a", "b"), f"{name}-tried")
 
     def first() -> DataFrame:
-        wanted = stage(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct(), f"{name}-wanted")
+        wanted = stage(asked(tried), f"{name}-wanted")
         return verify(tried, stage(tokens(wanted), f"{name}-sets")).select("a", "b")
 
     def rest() -> DataFrame:
         left = open_lists(lists, roots, name)
         wanted = stage(left.select("id").distinct(), f"{name}-wanted")
-        held = stage(tokens(wanted), f"{name}-sets")
+        signs = stage(signatures(evaluated_once(tokens(wanted))), f"{name}-signs")  # the tokens of all open lists are not stored
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = candidates(rest_pairs(left, stage(signatures(held), f"{name}-signs"), num, den)).select("a", "b")
+        pairs = candidates(rest_pairs(left, signs, num, den)).select("a", "b")
         more = stage(pairs.join(known, ["a", "b"], "left_anti"), f"{name}-more")
-        return verify(more, asked(more, held)).select("a", "b")
+        paired = stage(asked(more), f"{name}-wanted")
+        return verify(more, stage(tokens(paired), f"{name}-sets")).select("a", "b")
 
     found = finished(spark, first, f"{name}-found")
     roots = finished(spark, lambda: components(found, name), f"{name}-roots")
