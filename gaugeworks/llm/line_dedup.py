@@ -54,24 +54,28 @@ def rarity_classes(lines: DataFrame) -> bytes:
 def _with_tokens(lines: DataFrame, classes: bytes) -> DataFrame:
     """``lines`` with ``tokens`` instead of ``line``: the distinct shingles, rarest first.
 
-    A word is a long with its rarity class on top and 57 bits of hash below. A token has
-    the class of its rarest word on top and 57 bits of the hash of its words below, so
-    the natural order of longs is the order by rarity. Words are hashed and rated once
-    per line, not once per shingle.
+    A token has the rarity class of its first word on top and 57 bits of the hash of its
+    words below, so the natural order of longs is the order by rarity. Words are hashed
+    once per line, not once per shingle. The hash of a shingle is the exclusive or of its
+    words' hashes, that of word k shifted by k bits, so that order counts; hashing five
+    longs in a lambda takes longer than the three steps to it. Places after the last word
+    of a line with fewer than five count as 0.
     """
-    table, low = F.lit(classes), F.lit((1 << _HASH_BITS) - 1)
-    rating = lambda h: F.ascii(F.substr(table, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-    hashed = evaluated_once(lines.withColumn("w", F.transform(_words("line"), lambda w: F.xxhash64(w))).drop("line"))
-    rated = evaluated_once(hashed.withColumn(
-        "w", F.transform("w", lambda h: F.shiftleft(rating(h), _HASH_BITS).bitwiseOR(h.bitwiseAND(low)))))
-    number = F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))
-    shingles = F.arrays_zip(*[F.slice("w", k + 1, number).alias(f"w{k}") for k in range(SHINGLE)])
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # folded to a literal
+    padding = F.array(*[F.lit(0).cast("long")] * (SHINGLE - 1))
+    hashed = evaluated_once(lines.withColumn(
+        "w", F.concat(F.transform(_words("line"), lambda w: F.xxhash64(w)), padding)).drop("line"))
+    number = F.greatest(F.size("w") - 2 * (SHINGLE - 1), F.lit(1))
 
-    def token(s: Column) -> Column:
-        rarest = F.shiftright(F.least(*[s[f"w{k}"] for k in range(SHINGLE)]), _HASH_BITS)
-        return F.shiftleft(rarest, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(s), 64 - _HASH_BITS))
+    def mixed(left: Column, right: Column, bits: int) -> Column:
+        return F.zip_with(left, right, lambda x, y: x.bitwiseXOR(F.shiftrightunsigned(y, bits)))
 
-    return rated.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(shingles, token)))).drop("w")
+    twos = evaluated_once(hashed.withColumn("two", mixed(F.slice("w", 1, number + 2), F.slice("w", 2, number + 2), 1)))
+    fours = mixed(F.slice("two", 1, number), F.slice("two", 3, number), 2)
+    fives = mixed(fours, F.slice("w", SHINGLE, number), 4)
+    tokens = F.zip_with(fives, F.slice("w", 1, number), lambda x, w: F.shiftleft(F.get(table, _bucket(w)), _HASH_BITS)
+                        .bitwiseOR(F.shiftrightunsigned(x, 64 - _HASH_BITS)))
+    return twos.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("w", "two")
 
 
 def _line_sets(ids: DataFrame, lines: DataFrame, classes: bytes) -> DataFrame:
@@ -131,11 +135,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = F.broadcast(gone) if repeated.count() <= BROADCAST_KEYS else gone
     k1, k2 = row_key(id_col, text_col)
     rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(gone, ["_k1", "_k2"], "left")
-    lines = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    rows = evaluated_once(rows.withColumn("_lines", F.split(text_col, "\n")))  # else lambdas split the text anew for each line
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
+        F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    n_lines = F.coalesce(F.size(F.filter("_lines", lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
     counted = rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n_lines)).withColumn(
         "n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     counted = counted.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))

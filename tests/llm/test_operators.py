@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import time
@@ -282,6 +283,24 @@ def test_line_dedup_of_nothing(spark, docs):
         line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit(1)))
 
 
+def test_line_dedup_splits_a_text_once(docs):
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(get(split(" not in plan and plan.count("split(text") == 1
+
+
+def test_line_tokens(spark):
+    words = ["a", "b", "c", "d", "e"]
+    texts = [" ".join(w) for n in range(1, 6) for w in itertools.product(words[:4], repeat=n)]
+    texts += [" ".join(w) for w in itertools.permutations(words)]
+    lines = spark.createDataFrame([(x,) for x in sorted(set(texts))], "line string")
+    tokens = line_dedup._with_tokens(lines, bytes(range(64)) * 1024)
+    got = [r["tokens"] for r in tokens.collect()]
+    assert all(len(x) == 1 for x in got) and len({x[0] for x in got}) == len(set(texts))
+    rows = spark.createDataFrame([("  a b c d  e f a b c d e",), ("a b c d e f a b c d e f a b c d e f",)], "line string")
+    one, two = (set(r["tokens"]) for r in line_dedup._with_tokens(rows, bytes(1 << 16)).collect())
+    assert len(one) == len(two) == 6 and len(one & two) == 6
+
+
 # --- n-gram join -----------------------------------------------------------------------------
 
 def _shingles(text):
