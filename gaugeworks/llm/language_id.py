@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import stage
 from gaugeworks.llm.links import small_keys
-from gaugeworks.llm.tokens import forget
+from gaugeworks.llm.tokens import forget, give_back
 
 DIMENSIONS = 8192
 SAMPLE_PER_LANGUAGE = 1500
@@ -144,6 +144,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())),
                  pa.array([c.astype(np.float64) for _, c in found], pa.list_(pa.float64()))], ["lang", "at", "counts"])
+        give_back()
 
     rows = known.join(small_keys(stage(chosen, "chosen")), ["lang", "id"], "left_semi").select("lang", "text")
     sample = stage(rows.mapInArrow(vectors, "lang string, at array<int>, counts array<double>").where("size(at) > 0"), "sample")
@@ -193,5 +194,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names)
+        give_back()
 
     return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *extra]))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from gaugeworks.llm.common import KEY, finished, row_key, stage
 from gaugeworks.llm.links import linked, reachable, small_keys
 from gaugeworks.llm.shingles import SPACES, mixed, shingle_set, shingles, text_words
+from gaugeworks.llm.tokens import give_back
 
 WIDTH = 3
 NUM, DEN = 9, 10
@@ -76,6 +77,7 @@ def count_rarity(docs: DataFrame, width: int, text_col: str = "text") -> Rarity:
                 if len(hashes):
                     words += np.bincount(_bucket(hashes, WORD_BITS), minlength=len(words))
                     np.add.at(documents, _bucket(np.unique(shingles(hashes, width)), RARITY_BITS), 1)
+        give_back()
         for table, total in ((0, documents), (1, words)):
             at = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array([table] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(total[at])],
@@ -108,6 +110,7 @@ def document_sets(docs: DataFrame, rarity: Rarity, width: int, num: int, den: in
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(prefixes, pa.list_(pa.int64()))], schema.fieldNames())
+        give_back()
 
     return docs.select(id_col, *row_key(id_col, text_col), text_col).mapInArrow(build, schema)
 
@@ -197,6 +200,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
             for batch in batches:
                 found = [shingle_set(text.as_py(), width).view(np.int64) for text in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens"])
+            give_back()
 
         held = texts.join(small_keys(one), KEY).select("id", "rows", "text")
         # Only rows that come twice give a set twice; the others need no exchange of their texts or tokens.
@@ -212,6 +216,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int, id_col: str, te
                 keep = [reaches(tb.values.to_numpy().view(np.uint64), ta.values.to_numpy().view(np.uint64), num, den)
                         for ta, tb in zip(batch.column("ta"), batch.column("tb"))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(probe, "a bigint, b bigint")
 

@@ -19,10 +19,10 @@ from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import stage
 from gaugeworks.llm.links import small_keys
-from gaugeworks.llm.tokens import ByteLevelIds, remembered
+from gaugeworks.llm.tokens import ByteLevelIds, give_back, remembered
 
 BIN_ROWS = 50_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def token_pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int, end_id: int,
@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, leng
                     yield _batch(names, rows)
                     rows, held = ([], [], [], [], []), 0
             yield _batch(names, rows)
+            give_back()
 
     def _batch(names, rows):
         return pa.RecordBatch.from_arrays(

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugeworks.llm import decontamination, line_dedup, ngram_join, tokens
+from gaugeworks.llm import decontamination, line_dedup, ngram_join, packing, tokens
 from gaugeworks.llm.common import importable, stage, table
 from llm_data import DOCS, documents
 
@@ -170,3 +170,33 @@ def test_language_tasks_empty_what_encoders_remember(monkeypatch):
     tokens.forget()
     assert not encoder.known and not tokens._MEMO and not tokens._LOADED
     assert tokens.remembered(tokens.WordCounts, public_tokenizers.path("word_bpe_49k.json")).text("one two three") == n
+
+
+def test_a_packing_worker_holds_little():
+    """Distinct words by the hundred thousand filled 150 MB, and a batch took 8 MB; the ids are those of an empty memory."""
+    class Given:
+        schema = {"doc_id": packing.T.StructField("doc_id", packing.T.LongType())}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, _):
+            return fn
+
+    cut = packing.token_pieces(Given(), *(public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")),
+                               public_tokenizers.PATTERN, 2048, 1)
+    texts = [" ".join(f"q{i * 10_000 + j}" for j in range(10_000)) for i in range(25)] + ["q1 q2", None]
+    tokens.forget()
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    batches = list(cut(iter([given])))
+    encoder, = tokens._MEMO.values()
+    assert len(encoder.known) <= 200_000
+    assert len(batches) > 1 and max(b.nbytes for b in batches) < 3 << 20
+    got = defaultdict(bytes)
+    for r in pa.Table.from_batches(batches).to_pylist():
+        got[r["doc_id"]] += r["ids"]
+    tokens.forget()
+    fresh = tokens.remembered(tokens.ByteLevelIds, encoder.path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    end = (1).to_bytes(4, "little")
+    assert set(got) == set(range(27)) and all(got[i] == fresh.text(texts[i] or "") + end for i in (0, 7, 24, 25, 26))
+    tokens.forget()
